@@ -46,3 +46,14 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, bucket:
     inside = df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
     joined = inside.join(base, (inside[group] == base["_g"]) & (inside[bucket] == base["_b"]))
     return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_g", "_b", "_base", "_in")
+
+
+def map_arrow(df: DataFrame, make, schema) -> DataFrame:
+    """df through make(), which gives a function from a record batch to record batches; batches are of few rows, as texts may be long."""
+
+    def run(batches):
+        call = make()
+        for batch in batches:
+            yield from call(batch)
+
+    return df.mapInArrow(run, schema)

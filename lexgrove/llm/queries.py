@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import mixing
+from lexgrove.llm import bpe_count, mixing
 from lexgrove.llm.common import table
+from lexgrove.llm.encoders import tokenizer_path
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+    "op4_token_counts": lambda spark, d: bpe_count.token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
 }
