@@ -33,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a table that is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def with_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a table of narrow rows that is broadcast if it has few of them; else Spark joins and splits skewed partitions."""
+    return df.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
+
+
 def running_sum(df: DataFrame, group: str, order: list[str], value: str, bucket: str, out: str) -> DataFrame:
     """df with out: the sum of value over the rows of its group that come before it by (bucket, *order).
 

@@ -17,19 +17,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import WORD, materialise, running_sum
+from lexgrove.llm.common import WORD, materialise, running_sum, with_small
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
-#: Words of a block, slots of a counting chunk, cells of [0, 1), hexadecimal digits that make a stream's buckets, and the most
-#: rows of a broadcast table of sources.
+#: Words of a block, slots of a counting chunk, cells of [0, 1), and hexadecimal digits that make a stream's buckets.
 BLOCK = 2048
 CHUNK = 4096
 CELLS = 4096
 DIGITS = 3
-BROADCAST_ROWS = 10_000
 GOLDEN = 0.6180339887498949
 
 
@@ -64,11 +62,6 @@ def targets(sized: DataFrame) -> DataFrame:
     return w.select("source", "_s", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def with_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a table that is broadcast if it has few rows; else Spark joins and splits skewed partitions."""
-    return df.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
-
-
 def streams(numbered: DataFrame) -> DataFrame:
     """numbered with _at: the words before the document in its source's shuffled stream."""
     keyed = numbered.withColumn("_bucket", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
