@@ -50,11 +50,11 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, bucket:
     """
     sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_base"))
+    base = sums.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_below"))
     inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
+    inside = df.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
     joined = inside.join(base, (inside[group] == base["_g"]) & (inside[bucket] == base["_b"]))
-    return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_g", "_b", "_base", "_in")
+    return joined.withColumn(out, F.col("_below") + F.col("_inside")).drop("_g", "_b", "_below", "_inside")
 
 
 def map_arrow(df: DataFrame, make, schema) -> DataFrame:
