@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import bpe_count, mixing, repair
+from lexgrove.llm import bpe_count, mixing, packing, repair
 from lexgrove.llm.common import table
 from lexgrove.llm.encoders import tokenizer_path
 
@@ -10,4 +10,5 @@ QUERIES = {
     "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op4_token_counts": lambda spark, d: bpe_count.token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op5_token_files": lambda spark, d: repair.digest(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
+    "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
 }
