@@ -26,4 +26,19 @@ select doc_id, size, source_size, target,
 from placed
 """
 
-ORACLES = {"op2_mixing": MIXING}
+NEAR_DUPLICATES = r"""
+with recursive lists as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from lists),
+items as (select doc_id, len(s) as n, unnest(s) as x from sets),
+linked as (
+  select a.doc_id as a, b.doc_id as b from items a join items b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join linked l on r.b = l.a),
+roots as (select a, min(b) as root from reach group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, root as component_id, doc_id = root as kept from sets join roots on doc_id = a
+"""
+
+ORACLES = {"op2_mixing": MIXING, "op10_near_duplicates": NEAR_DUPLICATES}
