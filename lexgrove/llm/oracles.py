@@ -41,4 +41,15 @@ roots as (select a, min(b) as root from reach group by a)
 select doc_id, cast(len(s) as bigint) as n_shingles, root as component_id, doc_id = root as kept from sets join roots on doc_id = a
 """
 
-ORACLES = {"op2_mixing": MIXING, "op10_near_duplicates": NEAR_DUPLICATES}
+TOP_K = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score
+  from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+ORACLES = {"op7_top_k": TOP_K, "op2_mixing": MIXING, "op10_near_duplicates": NEAR_DUPLICATES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import bpe_count, chosen_path, mixing, packing, repair
+from lexgrove.llm import bpe_count, chosen_path, mixing, packing, repair, va_file
 from lexgrove.llm.common import table
 from lexgrove.llm.encoders import tokenizer_path
 
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_token_counts": lambda spark, d: bpe_count.token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op5_token_files": lambda spark, d: repair.digest(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
+    "op7_top_k": lambda spark, d: va_file.search(table(spark, d, "embeddings")),
     "op10_near_duplicates": lambda spark, d: chosen_path.near_duplicates(table(spark, d, "documents")),
 }
