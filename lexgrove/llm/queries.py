@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import bpe_count, chosen_path, fingerprints, mixing, packing, repair, va_file
+from lexgrove.llm import bpe_count, chosen_path, fingerprints, html_text, mixing, packing, repair, va_file
 from lexgrove.llm.common import table
 from lexgrove.llm.encoders import tokenizer_path
 
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
     "op7_top_k": lambda spark, d: va_file.search(table(spark, d, "embeddings")),
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
+    "op9_main_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op10_near_duplicates": lambda spark, d: chosen_path.near_duplicates(table(spark, d, "documents")),
 }
