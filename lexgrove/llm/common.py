@@ -66,3 +66,12 @@ def map_arrow(df: DataFrame, make, schema) -> DataFrame:
             yield from call(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: The most rows of one identifier that are broadcast.
+BROADCAST_IDS = 400_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in ids (doc_id), which are broadcast if they are few; beyond, texts are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")

@@ -115,3 +115,16 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
     return mix(docs)[0].drop("_row")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: a row for each whole time, and one with the first words for the rest; n_chars follows the text."""
+    taken = mix(docs)[0].filter("taken > 0").select("_row", F.floor(F.col("taken") / F.col("size")).alias("_times"), (F.col("taken") % F.col("size")).alias("_rest"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
+    whole = rows.filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    # one document of a source at most is cut
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_rest").cast("int")), "")
+    cut = rows.filter("_rest > 0").withColumn("text", part)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select(docs.columns).union(cut.select(docs.columns))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import bpe_count, chosen_path, fingerprints, html_text, mixing, packing, repair, va_file
+from lexgrove.llm import bpe_count, chosen_path, fingerprints, html_text, language, mixing, packing, quality, repair, va_file
 from lexgrove.llm.common import table
 from lexgrove.llm.encoders import tokenizer_path
 
 QUERIES = {
+    "op1_quality": lambda spark, d: quality.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+    "op3_language_id": lambda spark, d: language.documents(table(spark, d, "documents")),
     "op4_token_counts": lambda spark, d: bpe_count.token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op5_token_files": lambda spark, d: repair.digest(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
@@ -15,4 +17,5 @@ QUERIES = {
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
     "op9_main_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op10_near_duplicates": lambda spark, d: chosen_path.near_duplicates(table(spark, d, "documents")),
+    "language_id_pages": lambda spark, d: language.pages(table(spark, d, "pages")),
 }
