@@ -31,11 +31,11 @@ DIGITS = 3
 GOLDEN = 0.6180339887498949
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(_row, source, doc_id, size, _h, _t): a row for each document; _h orders the shuffled stream."""
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(_row, source, doc_id, size, _h, _t): a row for each document, numbered by column row if given; _h orders the shuffled stream."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", "source",
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), "doc_id", "source",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"),
         F.xxhash64(text).alias("_t"),
@@ -93,10 +93,10 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.union(rest)
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). documents: _row, doc_id, size, source_size, target, taken; pieces: _row, slot, _epoch, _from, words, the
     part of a document's words that a slot takes."""
-    sized = materialise(sizes(docs), "mix-sizes")
+    sized = materialise(sizes(docs, row), "mix-sizes")
     goals = materialise(targets(sized), "mix-targets")
     numbered = with_small(sized.withColumnRenamed("source", "_name"), goals, F.col("_name").eqNullSafe(F.col("source"))).drop("_name")
     placed = materialise(streams(numbered), "mix-streams")
@@ -119,12 +119,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each whole time, and one with the first words for the rest; n_chars follows the text."""
-    taken = mix(docs)[0].filter("taken > 0").select("_row", F.floor(F.col("taken") / F.col("size")).alias("_times"), (F.col("taken") % F.col("size")).alias("_rest"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
-    whole = rows.filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    row, times, rest, time = (next(x + "_" * i for i in range(len(docs.columns) + 1) if x + "_" * i not in docs.columns) for x in ("_row", "_times", "_rest", "_time"))
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers must not change
+    taken = mix(numbered, row=row)[0].filter("taken > 0").select(F.col("_row").alias(row), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times), (F.col("taken") % F.col("size")).cast("int").alias(rest))
+    rows = numbered.join(taken, row)
+    whole = rows.filter(F.col(times) > 0).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
     # one document of a source at most is cut
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_rest").cast("int")), "")
-    cut = rows.filter("_rest > 0").withColumn("text", part)
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col(rest)), "")
+    cut = rows.filter(F.col(rest) > 0).withColumn("text", part)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.select(docs.columns).union(cut.select(docs.columns))
