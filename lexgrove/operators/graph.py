@@ -10,8 +10,7 @@ from lexgrove.functions.text import literal
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """(id, depth) of all that edges (src, dst) reach from roots (id); the least depth, so cycles end. Frontiers are joined, not collected."""
-    spark = edges.sparkSession
-    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    kept = edges.sparkSession.sparkContext.getCheckpointDir()
     seen = roots.select(F.col("id"), F.lit(0).alias("depth"))
     front = seen
     for depth in range(1, most + 1):

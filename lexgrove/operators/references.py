@@ -86,7 +86,9 @@ def targets(found: DataFrame, root: str) -> DataFrame:
     named = found.select("*", F.posexplode(numbers(F.col("mention"), F.col("kind"))).alias("ord", "n"))
     number = F.when(F.col("kind") == "article", F.col("n").cast("string")).otherwise(F.lower(roman(F.col("n"))))
     target = F.concat(F.lit(root + ":"), F.col("kind"), F.lit("-"), number)
-    paragraph = F.expr(r"regexp_extract(mention, concat('(?<![0-9])', cast(n as string), '\\((\\d+)\\)'), 1)")
+    pairs = F.regexp_extract_all("mention", F.lit(r"\d+\(\d+\)"), F.lit(0))
+    own = F.get(F.filter(pairs, lambda x: x.startswith(F.concat(F.col("n").cast("string"), F.lit("(")))), F.lit(0))
+    paragraph = F.coalesce(F.regexp_extract(own, r"\((\d+)\)", 1), F.lit(""))
     precise = F.when((F.col("kind") == "article") & (paragraph != ""), F.concat(target, F.lit(":paragraph-"), paragraph))
     return named.withColumn("target", target).withColumn("precise", precise)
 

@@ -127,7 +127,7 @@ def annex_items(elems: DataFrame, root: str) -> DataFrame:
     last_item = F.size(F.filter(outer, lambda x: x["kind"] == "item"))
     position = F.when(last_item > 0, F.size(outer) - F.array_position(F.reverse(F.transform(outer, lambda x: (x["kind"] == "item").cast("int"))), 1) + 1)
     parent = F.when(last_item > 0, written(F.slice("steps", 1, F.greatest(position.cast("int"), F.lit(1))))).otherwise(F.col("annex_id"))
-    bare = F.when(F.col("no").isNotNull(), F.regexp_replace("body", r"(?s)<NO\.P\b[^>]*>.*?</NO\.P>", " ")).otherwise(F.col("body"))
+    bare = F.when(F.col("no").isNotNull(), F.regexp_replace("body", r"(?s)^(.*?)<NO\.P\b[^>]*>.*?</NO\.P>", "$1 ")).otherwise(F.col("body"))
     return whole.select("file", written(F.col("steps")).alias("id"), parent.alias("parent_id"), F.when(F.col("kind") == "dash", "-").otherwise(F.col("label")).alias("marker"), visible(bare).alias("text"), "start", "stop")
 
 
@@ -155,7 +155,7 @@ def points(elems: DataFrame, root: str) -> DataFrame:
     scope = F.when(F.col("collides"), F.concat(F.col("paragraph_id"), F.lit(":subparagraph-"), F.coalesce("k", F.lit(1)).cast("string"))).otherwise(F.col("paragraph_id"))
     name = F.concat(scope, F.lit(":point-"), F.array_join(labels, ":"))
     above = F.when(F.size("steps") == 1, F.col("paragraph_id")).otherwise(F.concat(scope, F.lit(":point-"), F.array_join(F.slice(labels, 1, F.size("steps") - 1), ":")))
-    body = F.regexp_replace("inner", r"(?s)<NO\.P\b[^>]*>.*?</NO\.P>", " ")
+    body = F.regexp_replace("inner", r"(?s)^(.*?)<NO\.P\b[^>]*>.*?</NO\.P>", "$1 ")
     return whole.select("file", name.alias("id"), "paragraph_id", above.alias("parent_id"), F.col("label").alias("marker"), visible(body).alias("text"), "start", "stop")
 
 
