@@ -28,6 +28,8 @@ BUCKETS = 4096
 LEAST = 0.001
 LIES = 0.1
 STRANGE = 0.001
+#: The share of a text's trigrams that any language's text may have from anywhere: names, keys, addresses.
+NOISE = 0.1
 TEMPER = 0.3
 SMOOTH = 20.0
 SURE = 0.5
@@ -82,7 +84,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         for x in rows.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows a language
             sums[x["cell"]] = x["n"]
     sums = sums.reshape(-1, BUCKETS)[: len(names)] + 0.5
-    known = np.log(sums / sums.sum(1, keepdims=True)) if names else np.zeros((0, BUCKETS))
+    known = np.log((1 - NOISE) * sums / sums.sum(1, keepdims=True) + NOISE / BUCKETS) if names else np.zeros((0, BUCKETS))
     return names, np.concatenate([known, np.full((1, BUCKETS), -math.log(BUCKETS))])
 
 
