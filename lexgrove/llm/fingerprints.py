@@ -150,22 +150,28 @@ def _ranges(docs: DataFrame, n: int) -> tuple[list[int], dict[int, list[int]]]:
     found = docs.agg(F.percentile_approx("doc_id", shares, 10 * n).alias("q")).first()["q"] if n > 1 else []
     bounds = sorted(set(found or []))
     # range r holds bounds[-1 - r] <= doc_id < bounds[-r]; null and the least come last
-    part = F.lit(len(bounds)) - F.when(F.col("doc_id").isNull(), 0).otherwise(_above(F.col("doc_id"), bounds))
-    heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row for each range
+
+    def greatest(batches):
+        best: dict = {}
+        edges = np.array(bounds, np.int64)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            if ids.null_count:
+                best.setdefault(len(bounds), None)
+            known = ids.drop_null().to_numpy(zero_copy_only=False)
+            part = len(bounds) - np.searchsorted(edges, known, "right")
+            for p in np.unique(part).tolist():
+                top = int(known[part == p].max())
+                best[p] = top if best.get(p) is None else max(top, best[p])
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["part", "head"])
+
+    heads = docs.select("doc_id").mapInArrow(greatest, "part int, head long").groupBy("part").agg(F.max("head").alias("head")).orderBy("part").collect()  # a row for each range
     after: dict = {}
     for i, x in enumerate(heads):
         after.setdefault(x["head"], []).append(heads[i - 1]["part"])
     return bounds, after
 
 
-def _above(column, bounds: list[int]):
-    """How many of the sorted bounds are at most the column; a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
-    m = len(bounds) // 2
-    return F.when(column >= bounds[m], F.lit(m + 1) + _above(column, bounds[m + 1 :])).otherwise(_above(column, bounds[:m]))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
