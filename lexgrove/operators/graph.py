@@ -48,3 +48,46 @@ def statements(df: DataFrame, subject: Column, predicate: Column, value: Column)
     )
     rows = df.select(name.alias("s"), F.explode(parts).alias("x")).distinct()
     return triples(rows, F.col("s"), F.col("x.p"), F.col("x.o"), F.lit(True))
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, relation, other, outward) of each node's edges either way; a node without edges has one row of nulls."""
+    out = edges.select(F.col("src").alias("id"), F.col("edge_type").alias("relation"), F.col("dst").alias("other"), F.lit(True).alias("outward"))
+    back = edges.select(F.col("dst").alias("id"), F.col("edge_type").alias("relation"), F.col("src").alias("other"), F.lit(False).alias("outward"))
+    return nodes.select("id").join(out.union(back), "id", "left")
+
+
+def layer(identifier: Column) -> Column:
+    """The layer that an identifier's prefix tells."""
+    return F.when(identifier.startswith("file:"), 0).when(identifier.startswith("norm:") | identifier.startswith("cond:") | identifier.startswith("exc:"), 2).when(identifier.startswith("align:") | identifier.startswith("hleg:"), 3).otherwise(1)
+
+
+def subgraph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of evidence edges (src, dst, via, relation), each once."""
+    kept = edges.dropDuplicates(["src", "dst", "via"])
+    return kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct(), kept
+
+
+def of_norms(norms: DataFrame, build_id: str) -> tuple[DataFrame, DataFrame]:
+    """Graph rows of norms (norm_id, source_node_id, judge_run_id, judge_verdict, condition_ids, exception_ids)."""
+    from lexgrove.operators.review import provenance
+
+    nodes = norms.select(F.col("norm_id").alias("id"), F.lit("NormativeStatement").alias("type"), F.lit(2).alias("layer"))
+    proof = provenance(F.lit(None).cast("string"), F.col("judge_verdict"))
+    one = lambda kind, target: F.array(F.struct(F.lit(kind).alias("edge_type"), target.alias("dst")))
+    many = lambda kind, column: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("edge_type"), x.alias("dst")))
+    every = F.concat(one("DERIVED_FROM", F.col("source_node_id")), one("JUDGED_BY", F.col("judge_run_id")), many("HAS_CONDITION", F.col("condition_ids")), many("HAS_EXCEPTION", F.col("exception_ids")))
+    edges = norms.select(F.col("norm_id").alias("src"), proof.alias("provenance_class"), F.explode(every).alias("e")).select("src", "e.dst", "e.edge_type", "provenance_class").filter("dst is not null")
+    return nodes, edges.withColumn("edge_id", F.concat_ws(":", F.lit("edge"), F.lower("edge_type"), "src", "dst")).withColumn("build_id", F.lit(build_id))
+
+
+def of_alignments(assertions: DataFrame, build_id: str) -> tuple[DataFrame, DataFrame]:
+    """Graph rows of assertions (id, source_norm_id, target_id, mapping_run_id, judge_run_id, judge_verdict)."""
+    from lexgrove.operators.review import provenance
+
+    nodes = assertions.select("id", F.lit("AlignmentAssertion").alias("type"), F.lit(3).alias("layer"))
+    proof = provenance(F.lit(None).cast("string"), F.col("judge_verdict"))
+    kinds = (("ASSERTS_ALIGNMENT_OF", "source_norm_id"), ("ASSERTS_ALIGNMENT_TO", "target_id"), ("PRODUCED_BY_MAPPING_RUN", "mapping_run_id"), ("JUDGED_BY", "judge_run_id"))
+    every = F.array(*[F.struct(F.lit(k).alias("edge_type"), F.col(c).alias("dst")) for k, c in kinds])
+    edges = assertions.select(F.col("id").alias("src"), proof.alias("provenance_class"), F.explode(every).alias("e")).select("src", "e.dst", "e.edge_type", "provenance_class").filter("dst is not null")
+    return nodes, edges.withColumn("edge_id", F.concat_ws(":", F.lit("edge"), F.lower("edge_type"), "src", "dst")).withColumn("build_id", F.lit(build_id))

@@ -66,3 +66,31 @@ def consolidated(logs: list[tuple[str, DataFrame]]) -> DataFrame:
         part = df.select(own.alias("log_kind"), "ts", "verdict", "model")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clauses(norms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(norms with actor_canonical, condition_ids and exception_ids; clause nodes id, type, text), clauses of equal normalised text being one."""
+    from lexgrove.functions.text import clause_id
+    from lexgrove.plans.requirements import canonical_actor
+
+    named = norms.withColumn("actor_canonical", canonical_actor(F.coalesce(F.nullif("actor_explicit", F.lit("")), F.col("actor_inferred")))["actor"])
+    nodes = None
+    for kind, column, label in (("cond", "conditions", "Condition"), ("exc", "exceptions", "Exception")):
+        texts = F.filter(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+        named = named.withColumn(f"{column[:-1]}_ids", F.array_distinct(F.transform(texts, _clause(kind))))
+        part = norms.select("norm_id", F.posexplode(texts).alias("_i", "text")).withColumn("id", clause_id(kind, F.col("text")))
+        first = part.groupBy("id").agg(F.min_by("text", F.struct("norm_id", "_i")).alias("text")).select("id", F.lit(label).alias("type"), "text")
+        nodes = first if nodes is None else nodes.unionByName(first)
+    return named, nodes
+
+
+def _clause(kind: str):
+    from lexgrove.functions.text import clause_id
+
+    return lambda x: clause_id(kind, x)
+
+
+def chain_matches(recorded: DataFrame, live: DataFrame) -> DataFrame:
+    """(role, matches) of recorded (role, sha) against live (role, sha); a role that isn't there doesn't match."""
+    joined = recorded.join(live.select("role", F.col("sha").alias("_live")), "role", "left")
+    return joined.select("role", F.coalesce(F.col("sha") == F.col("_live"), F.lit(False)).alias("matches"))

@@ -207,3 +207,33 @@ def set_operations(spark, d):
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
     both = customer.filter("c_nationkey < 5").select(F.col("c_custkey").alias("id")).intersect(orders.select("o_custkey"))
     return both.union(customer.select(-F.col("c_custkey")).exceptAll(orders.select(-F.col("o_custkey"))))
+
+
+@query("""
+with w as (select p_partkey, p_type, ' ' || array_to_string(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), ' ') || ' ' as t from part), terms as (select distinct p_type as term from part),
+f as (select term, p_partkey from terms join w on contains(t, ' ' || array_to_string(regexp_extract_all(lower(term), '[a-z0-9]+'), ' ') || ' ')),
+r as (select term, p_partkey, cast(row_number() over (partition by term order by p_partkey) as integer) as rank, count(*) over (partition by term) as total from f)
+select * from r where rank <= 30
+""")
+def definition_usage(spark, d):
+    part = table(spark, d, "part")
+    texts = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    return joins.usage(part.select(F.col("p_type").alias("term")).distinct(), "term", texts, "t", "p_partkey")
+
+
+@query("select p_partkey, 'r:' || p_size || ':' || p_partkey as id from part where p_size in (5, 7)")
+def expanded_units(spark, d):
+    nodes = table(spark, d, "part").select("p_partkey", F.concat_ws(":", F.lit("r"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("id"))
+    return joins.expanded(spark.createDataFrame([("r:5",), ("r:7",), ("r:7",)], "id string"), nodes)
+
+
+@query("""
+with e as (select 'n' || n_nationkey as a, 'r' || n_regionkey as b from nation), x as (select a as id, b as other, true as outward from e union all select b, a, false from e)
+select n.id, case when x.id is not null then 'IN' end as relation, other, outward from (select distinct a as id from e union select b from e union select 'lone') n left join x on x.id = n.id
+""")
+def neighbourhood(spark, d):
+    from lexgrove.operators import graph
+
+    edges = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit("IN").alias("edge_type"))
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(spark.createDataFrame([("lone",)], "id string")).distinct()
+    return graph.neighbourhood(ids, edges)

@@ -170,3 +170,26 @@ def test_decisions(spark):
     assert {(x["id"], x["judge_verdict"], x["review_status"]) for x in out.collect()} == {("a", "accepted", "auto"), ("b", "accepted", "human_reviewed")}
     with pytest.raises(ValueError):
         review.decided_over(rows, spark.createDataFrame([("zz", "accepted")], "item_id string, decision string"), "id")
+
+
+def test_units_and_leaves(spark):
+    nodes = spark.createDataFrame([(x,) for x in ("r:article-5", "r:article-5:paragraph-1", "r:article-50", "r:annex-i:point-1", "r:annex-i:point-1:a")], "id string")
+    assert {x["id"] for x in joins.expanded(spark.createDataFrame([("r:article-5",)], "id string"), nodes).collect()} == {"r:article-5", "r:article-5:paragraph-1"}
+    assert {x["id"] for x in joins.leaves(nodes).collect()} == {"r:article-5:paragraph-1", "r:article-50", "r:annex-i:point-1:a"}
+
+
+def test_norms_as_graph(spark):
+    schema = "norm_id string, source_node_id string, judge_run_id string, judge_verdict string, actor_explicit string, actor_inferred string, conditions array<string>, exceptions array<string>"
+    norms = spark.createDataFrame([("n1", "a", "j1", "accepted", "Providers", None, ["If  x", "if x", " "], None), ("n2", "a", None, "rejected", "", "deployer", ["IF X"], ["unless y"])], schema)
+    named, nodes = review.clauses(norms)
+    got = {x["norm_id"]: (x["actor_canonical"], len(x["condition_ids"]), len(x["exception_ids"])) for x in named.collect()}
+    assert got == {"n1": ("provider", 1, 0), "n2": ("deployer", 1, 1)}
+    assert {(x["type"], x["text"]) for x in nodes.collect()} == {("Condition", "If  x"), ("Exception", "unless y")}
+    _, edges = graph.of_norms(named, "b")
+    assert sorted((x["src"], x["edge_type"], x["provenance_class"]) for x in edges.collect()) == [
+        ("n1", "DERIVED_FROM", "LLM_ACCEPTED"), ("n1", "HAS_CONDITION", "LLM_ACCEPTED"), ("n1", "JUDGED_BY", "LLM_ACCEPTED"), ("n2", "DERIVED_FROM", "LLM_REJECTED"), ("n2", "HAS_CONDITION", "LLM_REJECTED"), ("n2", "HAS_EXCEPTION", "LLM_REJECTED"),
+    ]
+    assertions = spark.createDataFrame([("x1", "n1", "t1", "m1", "j1", "accepted")], "id string, source_norm_id string, target_id string, mapping_run_id string, judge_run_id string, judge_verdict string")
+    assert graph.of_alignments(assertions, "b")[1].count() == 4
+    recorded, live = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "role string, sha string"), spark.createDataFrame([("a", "1"), ("b", "9")], "role string, sha string")
+    assert {x["role"]: x["matches"] for x in review.chain_matches(recorded, live).collect()} == {"a": True, "b": False, "c": False}

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +12,7 @@ from lexgrove.plans.catalog import ORACLES, QUERIES
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    one = lambda v: "NULL" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, (float, np.floating)) else str(int(v)) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else str(v)
+    one = lambda v: "NULL" if v is None or v is pd.NA or v != v else f"{float(v):.9g}" if isinstance(v, (float, np.floating)) else str(int(v)) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(one(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
 
