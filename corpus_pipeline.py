@@ -5,7 +5,12 @@ five words, similarity 0.8) stays, sources are mixed to their target weights (do
 be cut), and the mix is packed into windows. Every stage but the last returns the columns of documents.
 
 Columns other than doc_id, text, lang and source are carried along; columns with names of the operators' own don't reach them, as
-each reads only the columns it needs. An empty table passes through all stages.
+each reads only the columns it needs.
+
+Defined results: rows with null doc_id are judged by their text and host but never dropped by language or near-duplicates, as
+nothing names them; null and empty texts have no text evidence of language, are scored like any text, are near-duplicates of
+nothing, and drop out in the mix, which takes words; of rows of equal doc_id one stays after near-duplicates; very long texts are
+treated whole; an empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
