@@ -7,6 +7,8 @@
 3. Neighbours' components are put together with their full sets and compared exactly. A component of more than NODE sets is again
    dealt to the nodes of the trees, of at most NODE sets each as long as tokens tell them apart. Within a node, sets outside the
    largest cluster are held against all sets of the node, so every link between two clusters is found without comparing all pairs.
+   A part beyond NODE that DEPTH tokens don't tell apart is compared in blocks that share some sets; then every set outside the part's
+   largest cluster is held against all blocks of the part, so nothing of a part stays uncompared, whatever its size.
 4. Exact links' components are the result.
 
 Two sets of similarity s share a leaf of depth d in one of the trees with probability 1 - (1 - s**d)**TREES: for s = 0.85 above
@@ -34,6 +36,8 @@ DEPTH = 7
 START = 2
 LEAF = 256
 NODE = 4096
+#: About so many sets of a part are in all its blocks; they tie its clusters, so that few sets are left to hold against all blocks.
+HEADS = 32
 #: Candidates' sketches agree in the similarity less this share of their bytes.
 SLACK = 0.22
 #: The most rows of (doc_id) that are broadcast to read their texts again; beyond, texts are shuffled.
@@ -90,17 +94,17 @@ def nodes(sets: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]
     return out, rows
 
 
-def runs(batches, columns: list[str], most: int):
-    """Groups of rows of equal node from batches sorted by node; a group of more than `most` rows comes in parts."""
+def runs(batches):
+    """Tables of whole groups of rows of equal node from batches sorted by node."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         node = held.column("node").to_numpy()
         edge = np.flatnonzero(node[1:] != node[:-1]) + 1
-        if not len(edge) and held.num_rows <= most:
+        if not len(edge):
             continue
-        stop = int(edge[-1]) if len(edge) else held.num_rows
+        stop = int(edge[-1])
         yield held.slice(0, stop).combine_chunks()
         held = held.slice(stop)
     if held is not None and held.num_rows:
@@ -136,7 +140,7 @@ def neighbours(leaves: DataFrame, share: float) -> DataFrame:
     """(a, b): a spanning forest, in each leaf, of the pairs whose sketches agree in `share` of their bytes."""
 
     def make(batches):
-        for table in runs(batches, ["node"], LEAF):
+        for table in runs(batches):
             node = table.column("node").to_numpy()
             sketch, cls = _matrix(table.column("sketch"), np.uint8), table.column("cls").to_pylist()
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -160,8 +164,9 @@ def neighbours(leaves: DataFrame, share: float) -> DataFrame:
     return leaves.select("node", "cls", "sketch").repartition(n, "node").sortWithinPartitions("node").mapInArrow(make, "a binary, b binary")
 
 
-def solve(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that span the components of the sets' graph: links where 100 * intersection >= percent * union."""
+def solve(values: np.ndarray, at: np.ndarray, percent: int, asked: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that span the components of the sets' graph: links where 100 * intersection >= percent * union. With asked, of the graph
+    that has only the links of these sets."""
     n, size = len(at) - 1, np.diff(at)
     word, token = np.unique(values, return_inverse=True)
     owner = np.repeat(np.arange(n), size)
@@ -177,6 +182,10 @@ def solve(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, i
         linked = np.flatnonzero((100 * shared >= percent * (size + size[i] - shared)) & (shared > 0))
         edges.extend((i, j) for j in linked.tolist() if j != i and forest.join(i, j))
 
+    if asked is not None:
+        for i in asked:
+            query(i)
+        return edges
     done = set()
     for i in (0, n // 2, n - 1):  # a few sets, to find the largest cluster
         if i not in done:
@@ -191,12 +200,15 @@ def solve(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, i
 
 
 def links(grouped: DataFrame, percent: int) -> DataFrame:
-    """(a, b): exact links that span the components within each node of grouped (node, cls, set)."""
+    """(a, b): exact links that span the components within each node of grouped (node, cls, set). If grouped has a column asked, only
+    the links of the sets where it is true."""
+    some = "asked" in grouped.columns
 
     def make(batches):
-        for table in runs(batches, ["node"], NODE):
+        for table in runs(batches):
             node, cls = table.column("node").to_numpy(), table.column("cls").to_pylist()
             raw = table.column("set").to_pylist()
+            asks = {(x, y) for x, y, z in zip(node.tolist(), cls, table.column("asked").to_pylist(), strict=True) if z} if some else None
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
             out = []
             for a, b in zip(start, [*start[1:], len(node)], strict=True):
@@ -204,11 +216,37 @@ def links(grouped: DataFrame, percent: int) -> DataFrame:
                 if len(mine) > 1:
                     values = np.frombuffer(b"".join(raw[i] for i in mine), "<u8")
                     at = np.concatenate([[0], np.cumsum([len(raw[i]) // 8 for i in mine])])
-                    out += [(cls[mine[i]], cls[mine[j]]) for i, j in solve(values, at, percent)]
+                    out += [(cls[mine[i]], cls[mine[j]]) for i, j in solve(values, at, percent, [i for i, j in enumerate(mine) if (int(node[a]), cls[j]) in asks] if some else None)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
     n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grouped.select("node", "cls", "set").repartition(n, "node").sortWithinPartitions("node").mapInArrow(make, "a binary, b binary")
+    return grouped.select("node", "cls", "set", *(["asked"] if some else [])).repartition(n, "node").sortWithinPartitions("node").mapInArrow(make, "a binary, b binary")
+
+
+def blocks(rest: DataFrame) -> DataFrame:
+    """rest (node, cls) with n, the sets of the part, and block: each part is dealt to blocks of well under half of NODE sets."""
+    n = rest.groupBy("node").agg(F.count("*").alias("n"))
+    return rest.join(n, "node").select("node", "cls", "n", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / (NODE * 3 / 8))).alias("block"))
+
+
+def within(split: DataFrame) -> DataFrame:
+    """(cls, node): the blocks of split, each with the heads of its part."""
+    heads = split.filter(F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("n") / HEADS)) == 0).select("node", "cls")
+    everywhere = heads.join(split.select("node", "block").distinct(), "node").select("node", "cls", "block")
+    return split.select("node", "cls", "block").union(everywhere).select("cls", F.xxhash64("node", "block").alias("node")).distinct()
+
+
+def across(split: DataFrame, linked: DataFrame) -> DataFrame:
+    """(cls, node, asked): every set outside the largest cluster of its part, by linked (v, root), is asked beside each block of the part."""
+    named = split.join(linked.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = materialise(named, "path-parts")
+    largest = named.groupBy("node", "root").count().groupBy("node").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    outside = named.join(largest, "node").filter("root != largest").select("node", "cls")
+    outside = materialise(blocks(outside).select("node", "cls", F.col("block").alias("asker")), "path-outside")
+    pairs = outside.select("node", "asker").distinct().join(split.select("node", "block").distinct(), "node")
+    name = F.xxhash64("node", "asker", "block").alias("node")
+    asking = pairs.join(outside, ["node", "asker"]).select("cls", name, F.lit(True).alias("asked"))
+    return asking.union(pairs.join(split.select("node", "block", "cls"), ["node", "block"]).select("cls", name, F.lit(False).alias("asked")))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -244,14 +282,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     placed = clusters.withColumnRenamed("v", "cls").join(sets.select("cls", "sig", "doc_id"), "cls")
     big = materialise(clusters.groupBy("root").count().filter(F.col("count") > NODE).select("root"), "path-big")
     at_once = placed.join(big, "root", "left_anti").select("cls", F.xxhash64("root").alias("node"))
+    split = None
     if not big.isEmpty():
         inner, rest = nodes(placed.join(big, "root", "left_semi"), NODE, "path-nodes")
-        head = rest.groupBy("node").agg(F.min("cls").alias("head"), F.count("*").alias("n"))
-        split = rest.join(head, "node").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / (NODE // 2))))
-        split = split.select("cls", F.xxhash64("node", "block").alias("node")).union(split.select(F.col("head").alias("cls"), F.xxhash64("node", "block").alias("node")).distinct())
-        at_once = at_once.union(inner.select("cls", "node")).union(split)
+        at_once = at_once.union(inner.select("cls", "node"))
+        if not rest.isEmpty():
+            split = materialise(blocks(rest), "path-split")
+            at_once = at_once.union(within(split))
     full = full_sets(docs, placed.select("doc_id").distinct(), k).dropDuplicates(["cls"])
-    linked = materialise(components(links(at_once.join(full, "cls"), percent), "path-links"), "path-linked")
+    exact = links(at_once.join(full, "cls"), percent)
+    if split is not None:
+        exact = materialise(exact, "path-exact")
+        exact = exact.union(links(across(split, components(exact, "path-blocks")).join(full, "cls"), percent))
+    linked = materialise(components(exact, "path-links"), "path-linked")
     named = least.join(linked.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(first, "root").select("cls", "component_id")
