@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
-Languages are the declared ones of at least LEAST of the rows. Each has a distribution of hashed byte trigrams of letters, counted
-over all rows that declare it; one more class, of even distribution, stands for text of none of them. A row's posterior multiplies
+Languages are the declared ones whose rows hold ENOUGH trigrams, however large the table is. Each has a distribution of hashed byte
+trigrams of letters, counted over all rows that declare it and smoothed towards that of all declared rows; one more class, of even distribution, stands for text of none of them. A row's posterior multiplies
 - the text's tempered likelihood,
 - the likelihood of the declared (markup) language, of which a share LIES is wrong,
 - the prior of its host, smoothed towards that of its address suffix, and this towards all rows'. The counts behind it are grouped
@@ -25,7 +25,11 @@ from lexgrove.llm import chunks
 from lexgrove.llm.common import map_arrow, materialise, with_small
 
 BUCKETS = 4096
-LEAST = 0.001
+#: The trigrams that make a declared language a class, those of the whole that each class's are smoothed with, and the declared
+#: values that a task sums before it hands them on.
+ENOUGH = 1_000
+WHOLE = 4_096
+HELD = 256
 LIES = 0.1
 STRANGE = 0.001
 #: The share of a text's trigrams that any language's text may have from anywhere: names, keys, addresses.
@@ -63,28 +67,40 @@ def _counted(batch: pa.RecordBatch):
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probabilities of the trigrams in each and in none of them."""
-    declared = rows.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(int(1 / LEAST) + 1).collect()
-    total = rows.count()
-    names = sorted(x["declared"] for x in declared if x["declared"] is not None and x["count"] >= LEAST * total)
-    number = {x: i for i, x in enumerate(names)}
 
     def run(batches):
-        sums = np.zeros((len(names), BUCKETS))
+        sums: dict[str, np.ndarray] = {}
+
+        def flush():
+            for name, n in sums.items():
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(n[cell].astype(np.int64))], names=["declared", "cell", "n"])
+            sums.clear()
+
         for batch in batches:
-            who = [number.get(x, -1) for x in batch.column("declared").to_pylist()]
+            who = batch.column("declared").to_pylist()
             for i, j, counts in _counted(batch):
                 for k in range(i, j):
-                    if who[k] >= 0:
+                    if who[k] is not None:
+                        if who[k] not in sums:
+                            if len(sums) >= HELD:
+                                yield from flush()
+                            sums[who[k]] = np.zeros(BUCKETS)
                         sums[who[k]] += counts[k - i]
-        a, b = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(a * BUCKETS + b), pa.array(sums[a, b].astype(np.int64))], names=["cell", "n"])
-
-    sums = np.zeros(max(len(names), 1) * BUCKETS)
+        yield from flush()
+
+    cells = rows.select("declared", "text").mapInArrow(run, "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
+    cells = materialise(cells, "language-trigrams")
+    names = sorted(x["declared"] for x in cells.groupBy("declared").agg(F.sum("n").alias("n")).filter(F.col("n") >= ENOUGH).collect())
+    whole, sums = np.zeros(BUCKETS), np.zeros((len(names), BUCKETS))
+    for x in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
+        whole[x["cell"]] = x["n"]
     if names:
-        for x in rows.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows a language
-            sums[x["cell"]] = x["n"]
-    sums = sums.reshape(-1, BUCKETS)[: len(names)] + 0.5
-    known = np.log((1 - NOISE) * sums / sums.sum(1, keepdims=True) + NOISE / BUCKETS) if names else np.zeros((0, BUCKETS))
+        number = rows.sparkSession.createDataFrame(list(enumerate(names)), "language int, declared string")
+        found = cells.join(F.broadcast(number), "declared").select("language", "cell", "n").toArrow()  # BUCKETS rows a language
+        sums[found.column("language").to_numpy(), found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    sums += 0.5 + WHOLE * whole / max(whole.sum(), 1.0)
+    known = np.log((1 - NOISE) * sums / sums.sum(1, keepdims=True) + NOISE / BUCKETS)
     return names, np.concatenate([known, np.full((1, BUCKETS), -math.log(BUCKETS))])
 
 
@@ -94,7 +110,7 @@ def identify(rows: DataFrame) -> DataFrame:
     names, logs = learn(rows)
     classes = [*names, "und"]
     n = len(classes)
-    lies = np.log(np.full((n, n), LIES / max(n - 1, 1)) + np.eye(n) * (1 - LIES - LIES / max(n - 1, 1)))
+    lie, truth = math.log(LIES / max(n - 1, 1)), math.log(1 - LIES)
 
     def make():
         number = {x: i for i, x in enumerate(names)}
@@ -108,7 +124,10 @@ def identify(rows: DataFrame) -> DataFrame:
                 best += np.where(seen, score.argmax(1), -1).tolist()
                 for k in range(i, j):
                     said = number.get(batch.column("declared")[k].as_py(), -1)
-                    likely.append(score[k - i] + (lies[:, said] if said >= 0 else 0.0))
+                    if said >= 0:
+                        score[k - i] += lie
+                        score[k - i, said] += truth - lie
+                    likely.append(score[k - i])
             return [pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("id", "host", "suffix")), pa.array(best, pa.int32()), pa.array([x.tolist() for x in likely], pa.list_(pa.float64()))], names=["id", "host", "suffix", "best", "likely"])]
 
         return call
@@ -125,14 +144,17 @@ def identify(rows: DataFrame) -> DataFrame:
     hosts = materialise(with_small(per_host, materialise(per_suffix, "language-suffixes"), "suffix", "left"), "language-priors")
     joined = with_small(judged, hosts, ["host", "suffix"], "left")
 
-    def share(counts: str, before, i: int):
-        own = F.when(F.col("best") == i, 1).otherwise(0)
-        mine = F.coalesce(F.col(counts)[F.lit(i)], F.lit(0)) - own
-        everyone = F.aggregate(F.map_values(F.coalesce(F.col(counts), F.create_map().cast("map<int,bigint>"))), F.lit(0).cast("long"), lambda a, x: a + x) - F.when(F.col("best") >= 0, 1).otherwise(0)
-        return (F.greatest(mine, F.lit(0)) + SMOOTH * before) / (F.greatest(everyone, F.lit(0)) + SMOOTH)
+    def everyone(counts: str):
+        values = F.map_values(F.coalesce(F.col(counts), F.create_map().cast("map<int,bigint>")))
+        return F.greatest(F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x) - F.when(F.col("best") >= 0, 1).otherwise(0), F.lit(0))
+
+    joined = joined.withColumn("host_all", everyone("host_n")).withColumn("suffix_all", everyone("suffix_n")).withColumn("whole", F.array(*[F.lit(x) for x in whole]))
+
+    def share(counts: str, everyone: str, before, i):
+        mine = F.coalesce(F.col(counts)[i], F.lit(0)) - F.when(F.col("best") == i, 1).otherwise(0)
+        return (F.greatest(mine, F.lit(0)) + SMOOTH * before) / (F.col(everyone) + SMOOTH)
 
-    priors = [share("host_n", share("suffix_n", F.lit(whole[i]), i), i) for i in range(n)]
-    score = F.array(*[F.col("likely")[i] + F.log(p) for i, p in enumerate(priors)])
+    score = F.transform("likely", lambda x, i: x + F.log(share("host_n", "host_all", share("suffix_n", "suffix_all", F.col("whole")[i], i), i)))
     top = joined.withColumn("score", score).withColumn("most", F.array_max("score"))
     weight = F.transform("score", lambda x: F.exp(x - F.col("most")))
     top = top.withColumn("posterior", 1 / F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)).withColumn("place", F.array_position("score", F.col("most")).cast("int"))
