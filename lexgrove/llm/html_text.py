@@ -162,7 +162,8 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.S)
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, name, page, main): the different subtrees of each page; page is a hash of the whole page."""
+    """(host, name, page, main): the different subtrees of each page; page is a hash of its text outside of what tags, roles
+    and classes exclude, so copies of an article with other menus, adverts or titles there are one page."""
 
     def make():
         def call(batch: pa.RecordBatch):
@@ -174,7 +175,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
                     hosts += [host] * len(mine)
                     names += mine
                     main += mine.values()
-                    whole += [xxhash.xxh64_intdigest(_COMMENT.sub("", source)) >> 1] * len(mine)
+                    whole += [xxhash.xxh64_intdigest(page.text(frozenset())) >> 1] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(whole, pa.int64()), pa.array(main, pa.bool_())], names=["host", "name", "page", "main"])
 
         return call
