@@ -43,7 +43,7 @@ class Counter:
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.normalizer, self.pieces = self.library.normalizer, self.library.pre_tokenizer.pre_tokenize_str
-        self.memo = chunks.Memo(self.learn, self.normalizer is None)
+        self.memo = chunks.Memo(self.learn, chunks.spaced if self.normalizer is None else chunks.bare)
 
     def merged(self, word: str) -> int:
         """Symbols of a piece after all merges."""

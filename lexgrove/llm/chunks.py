@@ -2,8 +2,9 @@
 
 A chunk is a run of ASCII white space with the run of other bytes after it, or a mark of punctuation with what follows it up
 to white space. No token of the public vocabularies reaches over the start of a chunk, so a text's tokens are its chunks'
-tokens in turn. The memo finds a chunk by a 64-bit hash of its
-bytes; it holds at most `most` chunks and starts afresh beyond that, so a worker's memory is bounded.
+tokens in turn. Arrow's dictionary encoding finds the distinct chunks of a step, and the memo finds these by their bytes, so
+no two chunks are ever taken for one another. It holds about `most` chunks and starts afresh beyond that, so a worker's memory is
+bounded by that and by the text at hand.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 #: Bytes that are looked at together; a longer text is looked at alone.
 STEP = 1 << 20
+#: Longer chunks are seldom met again and not kept.
+KEPT_BYTES = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -27,26 +30,6 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b",.;:!?)")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_ODD = 0x9E3779B97F4A7C15 | 1
-_BYTE_HASH = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far."""
-
-    def __init__(self, base: int = _ODD):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * STEP)
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
-                x = np.full(n, base & (2**64 - 1), np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-
-
-POWERS = Powers()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,15 +41,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes data[start:end], the same wherever they stand."""
-    POWERS.need(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_HASH[data] * POWERS.up[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * POWERS.down[start] + (end - start).astype(np.uint64))
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a column of strings; a null is an empty string."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,119 +62,113 @@ def steps(at: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def chunk_bounds(data: np.ndarray, at: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): the chunks, and for each row the index of its first chunk, with their number at the end.
-
-    With spaces, a chunk starts with the white space before it; without, white space is left out.
-    """
+def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): chunks with the white space before them, and for each row the index of its first chunk, with their number at the end."""
     n = len(data)
+    space, before, begins = _edges(data, at)
+    start = np.flatnonzero(begins | (space & ~before))
+    odd = start[(start > 0) & _RARE[data[start - 1]] & ~begins[start]]
+    if len(odd):
+        a, b, c = data[odd - 1], data[np.maximum(odd - 2, 0)], data[np.maximum(odd - 3, 0)]
+        wide = (a < 0x20) | ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((c == 0xE3) & (b == 0x80))
+        start = np.setdiff1d(start, odd[wide], assume_unique=True)
+    return start, np.append(start[1:], n)[: len(start)], np.searchsorted(start, at)
+
+
+def bare(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): chunks without white space."""
+    space, before, begins = _edges(data, at)
+    start = np.flatnonzero(~space & (before | begins))
+    stop = np.ones(len(data), bool)
+    stop[:-1] = space[1:] | begins[1:]
+    return start, np.flatnonzero(~space & stop) + 1, np.searchsorted(start, at)
+
+
+def _edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte: whether it is white space, follows white space, and begins a row or is a mark after a letter."""
     space = _SPACE[data]
-    begins = np.zeros(n + 1, bool)
+    begins = np.zeros(len(data) + 1, bool)
     begins[at[:-1]] = True
-    begins = begins[:n]
-    before = np.empty(n, bool)
-    mark = np.zeros(n, bool)
-    if n:
-        before[0] = True
-        before[1:] = space[:-1]
-        mark[1:] = _MARK[data[1:]] & _LETTER[data[:-1]]
-        wide = np.flatnonzero(_MARK[data[2:]] & (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)) + 2
-        mark[wide] = True
-        begins |= mark
-    if spaces:
-        start = np.flatnonzero(begins | (space & ~before))
-        odd = start[(start > 0) & _RARE[data[start - 1]] & ~begins[start]]
-        if len(odd):
-            a, b, c = data[odd - 1], data[np.maximum(odd - 2, 0)], data[np.maximum(odd - 3, 0)]
-            wide = (a < 0x20) | ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((c == 0xE3) & (b == 0x80))
-            start = np.setdiff1d(start, odd[wide], assume_unique=True)
-        end = np.append(start[1:], n)[: len(start)]
-    else:
-        start = np.flatnonzero(~space & (before | begins))
-        stop = np.empty(n, bool)
-        if n:
-            stop[-1] = True
-            stop[:-1] = space[1:] | begins[1:]
-        end = np.flatnonzero(~space & stop) + 1
-    return start, end, np.searchsorted(start, at)
+    begins = begins[:-1]
+    before = np.ones(len(data), bool)
+    before[1:] = space[:-1]
+    begins[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    wide = np.flatnonzero(_MARK[data[2:]] & (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)) + 2
+    begins[wide] = True
+    return space, before, begins
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number, names): the different spans among data[start:end], and which of them each span is."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    edges = np.empty(2 * len(start), np.int64)
+    edges[::2], edges[1::2] = start, end
+    apart = bool((edges[1:-1:2] != edges[2::2]).any())
+    offsets = edges if apart else np.append(start, end[-1])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
+    if apart:  # every second one is what lies between two spans
+        spans = spans.take(pa.array(np.arange(0, len(spans), 2)))
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
 class Memo:
-    """A hash table from chunk hashes to runs of int32 in a pool, with lookups by whole arrays."""
+    """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list], spaces: bool, most: int = 1 << 21):
-        self.learn, self.spaces, self.most = learn, spaces, most
+    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 19, kind=np.int32):
+        self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
         self.clear()
 
     def clear(self) -> None:
-        self.size, self.mask = 0, 2 * self.most - 1
-        self.keys = np.zeros(2 * self.most, np.uint64)
-        self.start = np.zeros(2 * self.most, np.int32)
-        self.count = np.zeros(2 * self.most, np.int32)
-        self.pool, self.used = np.zeros(2 * self.most, np.int32), 0
-
-    def slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, found) of each hash."""
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        key = self.keys[slot]
-        found = key == h
-        left = np.flatnonzero(~found & (key != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & self.mask
-            key = self.keys[slot[left]]
-            found[left] = key == h[left]
-            left = left[(key != h[left]) & (key != 0)]
-        return slot, found
-
-    def put(self, h: np.ndarray, values: list) -> None:
-        """values: for each hash its int32 values."""
-        count = np.fromiter(map(len, values), np.int32, len(values))
-        flat = np.fromiter(itertools.chain.from_iterable(values), np.int32, int(count.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.known: dict[bytes, int] = {}
+        self.size = self.used = 0
+        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool = np.zeros(4096, self.kind)
+
+    def put(self, names: list[bytes], values: list) -> np.ndarray:
+        """Row numbers of new names, each with its integers."""
+        count = np.fromiter(map(len, values), np.int64, len(values))
+        flat = np.fromiter(itertools.chain.from_iterable(values), self.kind, int(count.sum()))
+        rows = np.arange(self.size, self.size + len(names))
+        self.pool = _grown(self.pool, self.used + len(flat))
+        self.start, self.count = _grown(self.start, self.size + len(names)), _grown(self.count, self.size + len(names))
         self.pool[self.used : self.used + len(flat)] = flat
-        start = self.used + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int32)
+        self.start[rows], self.count[rows] = self.used + np.cumsum(count) - count, count
         self.used += len(flat)
-        self.size += len(h)
-        left = np.arange(len(h))
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        while len(left):
-            free = self.keys[slot[left]] == 0
-            self.keys[slot[left[free]]] = h[left[free]]
-            won = self.keys[slot[left]] == h[left]
-            w = left[won]
-            self.start[slot[w]], self.count[slot[w]] = start[w], count[w]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & self.mask
+        self.size += len(names)
+        self.known.update((x, i) for x, i in zip(names, rows.tolist(), strict=True) if len(x) <= KEPT_BYTES)
+        return rows
 
     def look(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slots, first): the slot of each chunk, and for each row the index of its first chunk."""
-        start, end, first = chunk_bounds(data, at, self.spaces)
-        h = span_hashes(data, start, end) | np.uint64(1)
-        slot, found = self.slots(h)
-        if not found.all():
-            new, where = np.unique(h[~found], return_index=True)
-            if self.size + len(new) > self.most:
-                if len(new) > self.most // 2:
-                    self.most = 4 * len(new)
+        """(rows, first): the row of each chunk, and for each text the index of its first chunk."""
+        start, end, first = self.bounds(data, at)
+        number, names = distinct(data, start, end)
+        find = self.known.get
+        rows = np.fromiter((find(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            if self.size and self.size + len(new) > self.most:
                 self.clear()
-                new, where, found = *np.unique(h, return_index=True), np.zeros(len(h), bool)
-            where = np.flatnonzero(~found)[where]
-            raw = data.tobytes()
-            self.put(new, self.learn([raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]))
-            slot, found = self.slots(h)
-        return slot, first
+                new = np.arange(len(names))
+            unknown = [names[i] for i in new.tolist()]
+            rows[new] = self.put(unknown, self.learn(unknown))
+        return rows[number], first
 
     def values(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, offsets): each row's values, one chunk's after the other's."""
-        slot, first = self.look(data, at)
-        start, count = self.start[slot], self.count[slot]
-        ends = np.cumsum(count, dtype=np.int64)
+        """(values, offsets): each text's values, one chunk's after the other's."""
+        rows, first = self.look(data, at)
+        start, count = self.start[rows], self.count[rows]
+        ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         where = np.repeat(start - (ends - count), count) + np.arange(total)
         return self.pool[where], np.concatenate([[0], ends])[first]
 
     def sums(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each row the sum over its chunks of a chunk's only value."""
-        slot, first = self.look(data, at)
-        return np.diff(np.concatenate([[0], np.cumsum(self.pool[self.start[slot]], dtype=np.int64)])[first])
+        """For each text the sum over its chunks of a chunk's only value."""
+        rows, first = self.look(data, at)
+        return np.diff(np.concatenate([[0], np.cumsum(self.pool[self.start[rows]], dtype=np.int64)])[first])
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs on one machine (tests), a temporary one;
+    on a cluster that is an error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexgrove-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,13 +37,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The most rows of a table that is broadcast.
+#: The most rows, and bytes of their JSON, of a table that is broadcast.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 16_000_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has few rows, and few bytes in these."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return found["n"] <= rows and (found["size"] or 0) <= BROADCAST_BYTES
 
 
 def with_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a table of narrow rows that is broadcast if it has few of them; else Spark joins and splits skewed partitions."""
-    return df.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
+    """Join with a table that is broadcast if it is small; else Spark joins by shuffle and splits skewed partitions."""
+    return df.join(F.broadcast(small) if is_small(small) else small, on, how)
+
+
+#: The most narrow rows of keys that are broadcast, as their reader is wide.
+BROADCAST_KEYS = 400_000
+
+
+def with_few(df: DataFrame, keys: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join wide rows with narrow rows of numbers and digests, which are broadcast if they are few; beyond, df is shuffled."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
 def running_sum(df: DataFrame, group: str, order: list[str], value: str, bucket: str, out: str) -> DataFrame:
@@ -66,12 +87,3 @@ def map_arrow(df: DataFrame, make, schema) -> DataFrame:
             yield from call(batch)
 
     return df.mapInArrow(run, schema)
-
-
-#: The most rows of one identifier that are broadcast.
-BROADCAST_IDS = 400_000
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ids (doc_id), which are broadcast if they are few; beyond, texts are shuffled."""
-    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from lexgrove.llm.chunks import Memo
+from lexgrove.llm.chunks import Memo, bare, spaced
 
 #: Letters of one piece in every public pattern; composed already, and lower-cased one by one.
 WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -42,7 +42,7 @@ class Encoder:
         whole = self.learn([x.encode() for x in tried])
         self.direct = True
         self.direct = whole == self.learn([x.encode() for x in tried])
-        self.memo = Memo(self.learn, self.plain)
+        self.memo = Memo(self.learn, spaced if self.plain else bare)
 
     def learn(self, chunks: list[bytes]) -> list:
         """Ids of each chunk. A word of plain letters is one piece for the model; all else goes the library's whole way."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.chunks import POWERS, mixed
+from lexgrove.llm.chunks import mixed
 
 KEPT = 128
 FROM = 2
@@ -32,6 +32,24 @@ STEP = 400_000
 RANGES = 4
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far. Phrases are of a few symbols."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def need(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 1 << 21)
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+                x = np.full(n, base & (2**64 - 1), np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+
+
+POWERS = Powers()
+
+
 def _coin(a: int, b: int) -> int:
     """The label of symbol a after symbol b, both small."""
     d = a ^ b

@@ -30,12 +30,34 @@ def test_ids_and_counts_are_the_librarys(name, texts):
 
 def test_a_full_memo_starts_afresh():
     made = []
-    memo = chunks.Memo(lambda raw: made.extend(raw) or [(len(x),) for x in raw], False, most=8)
+    memo = chunks.Memo(lambda raw: made.extend(raw) or [(len(x),) for x in raw], chunks.bare, most=8)
     for n in range(30):
         data, at = chunks.utf8(pa.array([f"w{n} same", " ".join(f"k{n}_{i}" for i in range(12))]))
         assert memo.sums(data, at).tolist() == [len(f"w{n}same"), sum(len(f"k{n}_{i}") for i in range(12))]
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_thue_morse_words_are_told_apart(name, length):
+    """Polynomial hashes modulo 2**64 agree on these two words whatever their base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(length))
+    texts = [word, word.translate({97: "b", 98: "a"}), word]
+    data, at = chunks.utf8(pa.array(texts))
+    ids, off = encoders.encoder(tokenizer_path(name)).encode(data, at)
+    want = [library(name, x) for x in texts]
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+    assert bpe_count.counter(tokenizer_path(name)).counts(data, at).tolist() == [len(x) for x in want]
+
+
+def test_a_text_of_more_chunks_than_a_memo_holds():
+    memo = chunks.Memo(lambda raw: [(len(x),) for x in raw], chunks.spaced)
+    text = " ".join(map(str, range(2_200_000)))
+    data, at = chunks.utf8(pa.array([text, "a few more words", text]))
+    for _ in range(2):
+        assert memo.sums(data, at).tolist() == [len(text), 16, len(text)]
+        assert memo.sums(*chunks.utf8(pa.array(["a few more"]))).tolist() == [10]
+
+
 def test_token_counts(odd, nothing, odd_rows):
     got = sorted(bpe_count.token_counts(odd, tokenizer_path(BYTE)).collect(), key=str)
     want = sorted(((i, len((t or "").encode()), n := len(library(BYTE, t or "")), n > 512) for i, t, _, _ in odd_rows), key=str)
