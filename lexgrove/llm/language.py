@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import chunks
-from lexgrove.llm.common import map_arrow, materialise, with_small
+from lexgrove.llm.common import map_arrow, materialise, with_few, with_small
 
 BUCKETS = 4096
 #: The trigrams that make a declared language a class, those of the whole that each class's are smoothed with, and the declared
@@ -170,6 +170,17 @@ def documents(docs: DataFrame) -> DataFrame:
     return identify(rows).withColumnRenamed("id", "doc_id")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """docs, with all columns, without the rows that are rejected. Rows are told apart by doc_id, text, lang and source, on which the
+    decision rests, so rows of equal or null doc_id are judged each."""
+    said = [F.coalesce(x, F.lit("\0none")) for x in ("text", "lang", "source")]
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64(*said)))
+    name = "id" + "_" * len("".join(docs.columns))
+    rows = docs.select(key.alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    gone = materialise(identify(rows).filter("not kept").select(F.col("id").alias(name)).distinct(), "language-gone")
+    return with_few(docs.withColumn(name, key), gone, name, "left_anti").select(docs.columns)
+
+
 _LANG = r"(?is)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)"
 
 

@@ -2,8 +2,10 @@
 
 The corpus is cut, source by source and in a hashed order, into blocks of equally many words. Slot i of the mix gets the
 point frac((i + 1) * golden ratio), which the cumulative targets map to a source; the r-th slot of a source takes the r-th
-block of its (repeated) shuffled stream. A source's last slot is cut where its target is reached; blocks that the points
-leave over are put at the end, so that each source's taken words equal its rounded target.
+block of its (repeated) shuffled stream. A source's last block is cut where its target is reached, and slots beyond it stay empty;
+a source that the points gave too few slots gets the rest at even distances. So each source's taken words equal its rounded target,
+and every prefix of the slots holds the sources in about their shares. The mix is the blocks in slot order; in the pipeline's table of
+documents each time that a document is taken stands where the slot of its first word puts it.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents without words and
 sources without words take 0; an empty table gives an empty mix; rows with equal doc_id are separate documents that tie by
@@ -68,8 +70,8 @@ def streams(numbered: DataFrame) -> DataFrame:
     return running_sum(keyed, "_s", ["_h", "doc_id", "_t", "_row"], "size", "_bucket", "_at")
 
 
-def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(_s, block, slot): which slot of the mix takes each block; goals has (_s, target), materialised.
+def schedule(goals: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(_s, block, slot): which slot of the mix takes each block, and the number of slots; goals has (_s, target), materialised.
 
     Points find their source by an equal join on their cell of [0, 1) and the bounds of the sources that reach into it. Ranks
     come from counts by chunks of slots, summed by source, so no task sees all slots of a source.
@@ -87,15 +89,15 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     found = points.join(cells, "_cell").filter("_u >= _lo and _u < _hi").select("_s", "slot", F.lit(1).alias("_one"), F.floor(F.col("slot") / CHUNK).alias("_chunk"))
     ranked = running_sum(found, "_s", ["slot"], "_one", "_chunk", "block").select("_s", "block", "slot")
     need = F.ceil(F.round("target") / block).cast("long")
-    # the points' counts miss the targets by a few slots: what a source still needs comes after the last slot, and what it has over goes
     have = goals.join(ranked.groupBy("_s").agg(F.count("*").alias("_have")), "_s", "left").withColumn("_need", need).withColumn("_have", F.coalesce("_have", F.lit(0)))
-    rest = have.filter("_need > _have").select("_s", F.explode(F.sequence(F.col("_have"), F.col("_need") - 1)).alias("block"), (F.lit(n) + F.col("_s")).alias("slot"))
-    return ranked.union(rest)
+    missed = have.filter("_need > _have").select("_s", "_need", F.explode(F.sequence(F.col("_have"), F.col("_need") - 1)).alias("block"))
+    even = F.least(F.floor((F.col("block") + 0.5) / F.col("_need") * n), F.lit(n - 1)).cast("long")
+    return ranked.union(missed.select("_s", "block", even.alias("slot"))), n
 
 
-def mix(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: _row, doc_id, size, source_size, target, taken; pieces: _row, slot, _epoch, _from, words, the
-    part of a document's words that a slot takes."""
+def mix(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(documents, pieces, slots). documents: _row, doc_id, size, source_size, target; pieces: _row, slot, _s, _epoch, _start, _from, words, the
+    part of a document's words that a slot takes, where _start is the document's place in its source's repeated stream."""
     sized = materialise(sizes(docs, row), "mix-sizes")
     goals = materialise(targets(sized), "mix-targets")
     numbered = with_small(sized.withColumnRenamed("source", "_name"), goals, F.col("_name").eqNullSafe(F.col("source"))).drop("_name")
@@ -105,28 +107,34 @@ def mix(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> tuple[Da
     turns = turns.withColumn("_start", F.col("_at") + F.col("_epoch") * F.col("source_size")).withColumn("_end", F.least(F.col("_start") + F.col("size"), goal)).filter("_end > _start")
     cut = turns.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))))
     first, last = F.greatest("_start", F.col("block") * block), F.least("_end", (F.col("block") + 1) * block)
-    parts = cut.select("_row", "_s", "block", "_epoch", (first - F.col("_start")).alias("_from"), (last - first).alias("words"))
-    pieces = parts.join(schedule(goals, block), ["_s", "block"]).select("_row", "slot", "_epoch", "_from", "words")
-    taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
-    out = placed.join(taken, "_row", "left").select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out, pieces
+    parts = cut.select("_row", "_s", "block", "_epoch", "_start", (first - F.col("_start")).alias("_from"), (last - first).alias("words"))
+    slots, n = schedule(goals, block)
+    pieces = parts.join(slots, ["_s", "block"]).select("_row", "slot", "_s", "_epoch", "_start", "_from", "words")
+    return placed.select("_row", "doc_id", "size", "source_size", "target"), pieces, n
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
-    return mix(docs)[0].drop("_row")
+    """The contract's rows, with the first slot that takes some of the document."""
+    documents, pieces, _ = mix(docs)
+    taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return documents.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each whole time, and one with the first words for the rest; n_chars follows the text."""
-    row, times, rest, time = (next(x + "_" * i for i in range(len(docs.columns) + 1) if x + "_" * i not in docs.columns) for x in ("_row", "_times", "_rest", "_time"))
+    """docs as the mix takes them, in slot order: a row for each time that a document is taken, with its first words if that isn't the
+    whole; n_chars follows the text."""
+    row, turn, place = (next(x + "_" * i for i in range(len(docs.columns) + 1) if x + "_" * i not in docs.columns) for x in ("_row", "_turn", "_place"))
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers must not change
-    taken = mix(numbered, row=row)[0].filter("taken > 0").select(F.col("_row").alias(row), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times), (F.col("taken") % F.col("size")).cast("int").alias(rest))
-    rows = numbered.join(taken, row)
-    whole = rows.filter(F.col(times) > 0).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
-    # one document of a source at most is cut
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col(rest)), "")
-    cut = rows.filter(F.col(rest) > 0).withColumn("text", part)
+    documents, pieces, n = mix(numbered, row=row)
+    times = pieces.groupBy("_row", "_epoch").agg(F.min_by(F.struct("slot", "_s", "_start"), "_from").alias("at"), F.sum("words").alias("words"))
+    cut = times.join(documents.select("_row", "size"), "_row").groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("at", F.when(F.col("words") < F.col("size"), F.col("words").cast("int")).alias("words"))).alias(turn))
+    rows = numbered.join(cut, row).withColumn(turn, F.explode(turn))  # LIMIT turns at most
+    words = F.col(f"{turn}.words")  # one document of a source at most is cut
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, words), "")
+    rows = rows.withColumn("text", F.when(words.isNotNull(), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(docs.columns).union(cut.select(docs.columns))
+        rows = rows.withColumn("n_chars", F.when(words.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    # slots hold equally many words, so their number alone makes even ranges and no sample is needed
+    many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.rdd.getNumPartitions())
+    ranged = rows.withColumn(place, F.floor(F.col(f"{turn}.at.slot") / max(n, 1) * many).cast("int")).repartitionById(many, place)
+    return ranged.sortWithinPartitions(f"{turn}.at").select(docs.columns)

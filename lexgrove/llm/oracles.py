@@ -18,12 +18,34 @@ goals as (
     case when spent.rest * w > cap * spent.wrest then cap::double else coalesce((select rest from free)::double * w::double / (select wrest from free)::double, 0) end as target
   from spent),
 placed as (
-  select doc_id, size, source_size, target, cast(round(target) as bigint) as goal,
+  select doc_id, sized.source, size, source_size, target, cast(round(target) as bigint) as goal,
     cast(coalesce(sum(size) over (partition by sized.source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
   from sized join goals on sized.source is not distinct from goals.source)
-select doc_id, size, source_size, target,
-  greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size) as taken
-from placed
+whole as (select sum(target) as total, cast(ceil(sum(target) / 2048) as bigint) as n from goals),
+edges as (
+  select s, target, sum(target) over (order by s rows between unbounded preceding and current row) / total as hi, n
+  from (select s, goals.target from goals join per on goals.source is not distinct from per.source where goals.target > 0), whole),
+bounds as (select s, lag(hi, 1, 0) over (order by s) as lo, case when lead(s) over (order by s) is null then 1.0::double else hi end as hi from edges),
+points as (
+  select slot, (slot + 1) * 0.6180339887498949::double - floor((slot + 1) * 0.6180339887498949::double) as u
+  from (select unnest(range((select n from whole))) as slot)),
+ranked as (select s, row_number() over (partition by s order by slot) - 1 as block, slot from points join bounds on u >= lo and u < hi),
+needs as (
+  select s, n, cast(ceil(round(target) / 2048) as bigint) as need, coalesce((select count(*) from ranked r where r.s = edges.s), 0) as have from edges),
+slots as (
+  select s, block, slot from ranked
+  union all
+  select s, block, cast(least(floor((block + 0.5::double) / need * n), n - 1) as bigint) from (select s, n, need, unnest(range(have, need)) as block from needs where need > have)),
+turns as (
+  select placed.*, per.s, pos + e * placed.source_size as a, least(pos + e * placed.source_size + size, goal) as b
+  from placed join per on placed.source is not distinct from per.source, (values (0), (1)) epochs(e)
+  where size > 0 and pos + e * placed.source_size < goal),
+firsts as (
+  select turns.doc_id, turns.source, min(slot) as first_slot
+  from turns join slots on turns.s = slots.s and slots.block between a // 2048 and (b - 1) // 2048 group by turns.doc_id, turns.source)
+select placed.doc_id, size, source_size, target,
+  greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size) as taken, first_slot
+from placed left join firsts on placed.doc_id = firsts.doc_id and placed.source is not distinct from firsts.source
 """
 
 NEAR_DUPLICATES = r"""

@@ -1,9 +1,12 @@
 """Packing documents into windows of related documents by a sharded BM25 inverted index.
 
-A task cuts its documents into shards of about SHARD_IDS ids, each with its own index of token ids. A seed document opens a
-window; its weightiest terms' postings score the shard's other documents, and unused neighbours fill the window greedily, best
-first. The best neighbour that doesn't fit is cut at the window's end and its rest is the next seed, so windows are full. What is
-left at a shard's end is cut into sequences whose lengths are powers of two: nothing is padded.
+Documents' frequencies and the mean length are counted over all documents. A document's weightiest terms then place it: documents are
+dealt to ranges of (weightiest term that GROUP documents have, weightiest terms of all), so shards hold documents that share rare terms,
+wherever they came from, and a group of any size is split over as many shards as it needs. A shard of about SHARD_IDS ids has an
+inverted index of token ids. A seed document opens a window; the postings of its TERMS weightiest terms (the length of a BM25 query) score
+the shard's other documents, and unused neighbours fill the window greedily, best first. The best neighbour that doesn't fit is cut at
+the window's end and its rest is the next seed, so windows are full. What is left at a shard's end is cut into sequences whose lengths
+are powers of two: nothing is padded.
 
 Defined results: null and empty texts are the end id alone; rows of equal or null doc_id are separate documents; long
 documents run over as many windows as they need; an empty table has no pieces; other columns are ignored.
@@ -11,47 +14,69 @@ documents run over as many windows as they need; an empty table has no pieces; o
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexgrove.llm import chunks, encoders
+from lexgrove.llm.common import map_arrow, materialise
 
 WINDOW = 2048
 SHARD_IDS = 1 << 21
-#: Terms of a seed that are looked up, and BM25's parameters.
-TERMS = 16
+#: Terms of a BM25 query, and BM25's parameters.
+TERMS = 24
 K1, B = 1.2, 0.75
+#: The documents that have a term at least, for it to be the first to place a document by; and the terms that place it after that.
+GROUP = 256
+PLACES = 3
+
+
+class Corpus:
+    """How many documents there are, how many hold each term, and their mean length."""
+
+    def __init__(self, n: int, ids: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(ids / max(n, 1), 1.0), df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """BM25 weights of terms that documents of these sizes hold tf times."""
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
+def counted(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times): each document's distinct terms in order."""
+    size = np.diff(at)
+    key = np.sort(np.repeat(np.arange(len(size), dtype=np.int64), size) << 32 | ids.astype(np.int64))
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[edge] >> 32, key[edge] & 0xFFFFFFFF, np.diff(np.append(edge, len(key)))
 
 
 class Index:
     """Postings of a shard: for each term the documents that hold it, with BM25 weights."""
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray):
+    def __init__(self, ids: np.ndarray, at: np.ndarray, corpus: Corpus):
         self.n = n = len(at) - 1
         size = np.diff(at)
-        key = np.sort(ids.astype(np.int64) * n + np.repeat(np.arange(n), size))
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(edge, len(key)))
-        term, self.doc = key[edge] // max(n, 1), key[edge] % max(n, 1)
+        doc, term, tf = counted(ids, at)
+        order = np.argsort(term, kind="stable")
+        self.doc, term, tf = doc[order], term[order], tf[order]
         self.start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
         self.end = np.append(self.start[1:], len(term))
-        df = self.end - self.start
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(size.mean() if n else 1.0, 1.0)))
-        # each document's weightiest terms that some other document has too
-        shared = np.flatnonzero(np.repeat(df > 1, df))
+        here = self.end - self.start
+        self.weight = corpus.weight(term, tf, size[self.doc])
+        # each document's weightiest terms that some other document of the shard has too
+        shared = np.flatnonzero(np.repeat(here > 1, here))
         order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
         first = np.searchsorted(self.doc[order], np.arange(n + 1))
         rank = np.arange(len(order)) - first[self.doc[order]]
         order = order[rank < TERMS]
         self.first = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.terms = np.repeat(np.arange(len(df)), df)[order]
+        self.terms = np.repeat(np.arange(len(here)), here)[order]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with this one, best first, ties by place."""
@@ -64,9 +89,9 @@ class Index:
         return some[np.argsort(-score[some], kind="stable")]
 
 
-def windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+def windows(ids: np.ndarray, at: np.ndarray, corpus: Corpus, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
     """Full windows and power-of-two tails of a shard, as lists of pieces (document, start, length)."""
-    index, size = Index(ids, at), np.diff(at).tolist()
+    index, size = Index(ids, at, corpus), np.diff(at).tolist()
     unused = np.ones(len(size), bool)
     seed, begun, following = -1, 0, 0
     held: list[tuple[int, int, int]] = []
@@ -130,45 +155,134 @@ def windows(ids: np.ndarray, at: np.ndarray, window: int = WINDOW) -> Iterator[l
         yield out
 
 
+def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """(doc_id, n, ids): every whole text's ids and the end id, two bytes each where the vocabulary lets them."""
+
+    def make():
+        coder = encoders.encoder(path)
+        kind = "<u2" if max(coder.library.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4"
+
+        def call(batch: pa.RecordBatch):
+            data, at = chunks.utf8(batch.column("text"))
+            for i, j in chunks.steps(at):
+                got, off = coder.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                whole, ends = np.insert(got, off[1:], end).astype(kind), off + np.arange(len(off))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(ends)), pa.array([whole[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "n", "ids"])
+
+        return call
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, ids binary")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a batch's documents."""
+    n = batch.column("n").to_numpy()
+    raw = b"".join(batch.column("ids").to_pylist())
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n.sum() else "<u4"), np.concatenate([[0], np.cumsum(n)])
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Counts over all documents; what comes to the driver is a row for each id of the vocabulary."""
+
+    def count(batches):
+        n = total = 0
+        df = np.zeros(1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                ids, at = _flat(batch)
+                more = np.bincount(counted(ids, at)[1], minlength=len(df))
+                more[: len(df)] += df
+                df, n, total = more, n + batch.num_rows, total + int(at[-1])
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], term])), pa.array(np.concatenate([[n, total], df[term]]))], names=["term", "df"])
+
+    found = tokens.select("n", "ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = found.column("term").to_numpy(), found.column("df").to_numpy()
+    whole = np.zeros(int(term.max(initial=0)) + 1, np.int64)
+    whole[term[term >= 0]] = df[term >= 0]
+    return Corpus(int(df[term == -1].sum()), int(df[term == -2].sum()), whole)
+
+
+def placed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """tokens with place_0, ..., the terms that place each document (-1: none), and tie."""
+
+    def make():
+        def call(batch: pa.RecordBatch):
+            if not batch.num_rows:
+                return
+            ids, at = _flat(batch)
+            doc, term, tf = counted(ids, at)
+            weight = corpus.weight(term, tf, np.diff(at)[doc])
+            some = np.flatnonzero(corpus.df[term] > 1)
+            order = some[np.lexsort((-weight[some], doc[some]))]
+            places = np.full((PLACES, batch.num_rows), -1, np.int64)
+            wide = order[corpus.df[term[order]] >= GROUP]
+            who, first = np.unique(doc[wide], return_index=True)
+            places[0, who] = term[wide[first]]
+            begin = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
+            for i in range(1, PLACES):
+                has = np.flatnonzero(np.diff(begin) >= i)
+                places[i, has] = term[order[begin[has] + i - 1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in places)], names=[*batch.schema.names, *(f"place_{i}" for i in range(PLACES))])
+
+        return call
+
+    schema = T.StructType([*tokens.schema, *(T.StructField(f"place_{i}", T.LongType()) for i in range(PLACES))])
+    return map_arrow(tokens, make, schema).withColumn("tie", F.monotonically_increasing_id())
+
+
 def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row for each piece."""
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names)])
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): a row for each piece; ids are little-endian unsigned 32-bit."""
+    tokens = materialise(encoded(docs, path, end), "packing-ids")
+    corpus = corpus_of(tokens)
+    keyed = materialise(placed(tokens, corpus), "packing-places")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(corpus.n * corpus.mean / shard_ids))
+    keys = [*(f"place_{i}" for i in range(PLACES)), "tie"]
+    dealt = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "ids")
+    names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.BinaryType() if x == "ids" else T.LongType()) for x in names)])
 
     def run(batches):
-        coder = encoders.encoder(path)
         sequence = TaskContext.get().partitionId() << 32
-        ids, sizes, doc_ids, held = [], [], [], 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def flush():
             nonlocal sequence
-            flat, at = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            whole, rows = memoryview(flat.astype("<u4").tobytes()), []
-            for pieces in windows(flat, at, window):
+            parts = [_flat(x) for x in held]
+            flat = np.concatenate([x for x, _ in parts])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
+            whole, rows, pieces_ids = flat.astype("<u4"), [], []
+            for pieces in windows(flat, at, corpus, window):
                 offset = 0
                 for doc, start, length in pieces:
                     a = int(at[doc]) + start
-                    rows.append((doc, start, length, zlib.crc32(whole[4 * a : 4 * (a + length)]), int(at[doc + 1] - at[doc]), sequence, offset))
+                    rows.append((doc, start, length, int(at[doc + 1] - at[doc]), sequence, offset))
+                    pieces_ids.append(whole[a : a + length].tobytes())
                     offset += length
                 sequence += 1
-            table = np.array(rows, np.int64).reshape(-1, 7)
-            who = pa.chunked_array(doc_ids).combine_chunks().take(pa.array(table[:, 0]))
-            yield pa.RecordBatch.from_arrays([who, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(1, 7))], names=schema.names)
-            for x in (ids, sizes, doc_ids):
-                x.clear()
+            table = np.array(rows, np.int64).reshape(-1, 6)
+            who = pa.chunked_array([x.column("doc_id") for x in held]).combine_chunks().take(pa.array(table[:, 0]))
+            column = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([who, column[1], column[2], pa.array(pieces_ids, pa.binary()), *column[3:]], names=schema.names)
+            held.clear()
 
         for batch in batches:
-            data, at = chunks.utf8(batch.column("text"))
-            for i, j in chunks.steps(at):
-                got, off = coder.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                ids.append(np.insert(got, off[1:], end))
-                sizes.append(np.diff(off) + 1)
-                doc_ids.append(batch.column("doc_id").slice(i, j - i))
-                held += len(ids[-1])
-                if held >= shard_ids:
+            n = batch.column("n").to_numpy()
+            at = np.concatenate([[0], np.cumsum(n)])
+            for i, j in chunks.steps(at, max(shard_ids // 4, 1)):
+                held.append(batch.slice(i, j - i))
+                size += int(at[j] - at[i])
+                if size >= shard_ids:
                     yield from flush()
-                    held = 0
-        if doc_ids:
+                    size = 0
+        if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """The contract's rows."""
+    return pack(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -12,7 +12,7 @@ QUERIES = {
     "op3_language_id": lambda spark, d: language.documents(table(spark, d, "documents")),
     "op4_token_counts": lambda spark, d: bpe_count.token_counts(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
     "op5_token_files": lambda spark, d: repair.digest(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json")),
-    "op6_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
+    "op6_packing": lambda spark, d: packing.digest(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json")),
     "op7_top_k": lambda spark, d: va_file.search(table(spark, d, "embeddings")),
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
     "op9_main_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),

@@ -150,14 +150,43 @@ def test_mixing(odd, nothing, odd_rows):
 
 
 def test_small_blocks_and_the_mixed_rows(spark, odd, nothing, odd_rows):
-    docs, pieces = mixing.mix(odd, 16)
-    assert sorted((x["size"], x["taken"]) for x in docs.collect()) == sorted((x["size"], x["taken"]) for x in mixing.digest(odd).collect())
-    slots = [x["slot"] for x in pieces.select("slot").distinct().collect()]
-    assert len(slots) > 100
+    _, pieces, n = mixing.mix(odd, 16)
+    taken = {x["_row"]: x["n"] for x in pieces.groupBy("_row").agg({"words": "sum"}).withColumnRenamed("sum(words)", "n").collect()}
+    digest = mixing.digest(odd).collect()
+    assert sorted(taken.values()) == sorted(x["taken"] for x in digest if x["taken"]) and n > 100
     rows = mixing.mixed(odd)
     assert rows.columns == odd.columns and mixing.mixed(nothing).count() == 0
     size = lambda t: len(re.findall(f"[^{SPACE}]+", t or ""))
-    assert sum(size(x["text"]) for x in rows.select("text").collect()) == sum(x["taken"] for x in docs.collect())
+    assert sum(size(x["text"]) for x in rows.select("text").collect()) == sum(x["taken"] for x in digest)
+
+
+def test_every_prefix_of_the_schedule_holds_the_shares(spark):
+    """With points that don't spread evenly (a constant, say) sources come one after the other and this fails."""
+    r = np.random.default_rng(5)
+    sizes = {"a": 300, "b": 200, "c": 60, "d": 5}
+    rows = [(i, " ".join(["w"] * int(r.integers(20, 90))), "en", s, 1) for i, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    _, pieces, n = mixing.mix(docs, 64)
+    blocks = pieces.groupBy("slot", "_s").agg({"words": "sum"}).orderBy("slot").collect()
+    total = collections.Counter()
+    for x in blocks:
+        total[x["_s"]] += x["sum(words)"]
+    seen, everything = collections.Counter(), sum(total.values())
+    for x in blocks:
+        assert x["sum(words)"] <= 64 * 2
+        seen[x["_s"]] += x["sum(words)"]
+        for s in total:
+            assert abs(seen[s] - total[s] * sum(seen.values()) / everything) <= 5 * 64
+    # the pipeline's table is in the same order: sources are spread over it
+    mixed = [(x["source"], len(x["text"].split())) for x in mixing.mixed(docs).select("source", "text").collect()]
+    words = collections.Counter()
+    for s, k in mixed:
+        words[s] += k
+    half, seen = sum(words.values()) / 2, collections.Counter()
+    for s, k in mixed:
+        if sum(seen.values()) < half:
+            seen[s] += k
+    assert all(abs(seen[s] - words[s] / 2) < max(0.2 * words[s], 4 * 2048) for s in words)
 
 
 def test_quality(spark, odd, nothing, odd_rows):

@@ -1,3 +1,4 @@
+import collections
 import zlib
 
 import numpy as np
@@ -115,7 +116,7 @@ def check_packing(rows, docs, window=2048):
 
 
 def test_packing(odd, nothing, odd_rows):
-    rows = packing.pack(odd, tokenizer_path(WORD)).collect()
+    rows = packing.digest(odd, tokenizer_path(WORD)).collect()
     check_packing(rows, odd_rows)
     want = {}
     for i, t, _, _ in odd_rows:
@@ -128,16 +129,55 @@ def test_packing(odd, nothing, odd_rows):
             assert x["start"] == end and x["doc_tokens"] == len(y) and x["ids_crc32"] == zlib.crc32(y[end : end + x["length"]].tobytes())
             end += x["length"]
         assert end == len(y)
-    assert packing.pack(nothing, tokenizer_path(WORD)).count() == 0
+    assert packing.digest(nothing, tokenizer_path(WORD)).count() == 0
 
 
-def test_neighbours_come_from_shared_rare_terms():
-    docs = [[1, 2, 3, 50, 51], [1, 2, 3, 60], [1, 2, 50, 51, 7], [1, 8]]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
-    index = packing.Index(np.array([y for x in docs for y in x]), at)
-    unused = np.array([False, True, True, True])
-    assert index.neighbours(0, unused)[0] == 2
-    assert 2 not in index.neighbours(0, np.array([False, True, False, True]))
+def flat(docs):
+    return np.array([y for x in docs for y in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+
+
+def corpus(docs):
+    df = np.bincount([y for x in docs for y in set(x)], minlength=400)
+    return packing.Corpus(len(docs), sum(map(len, docs)), df)
+
+
+@settings(max_examples=60, deadline=None)
+@given(docs=st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=12), min_size=2, max_size=12), seed=st.integers(0, 11))
+def test_neighbours_are_in_the_order_of_bm25(docs, seed):
+    seed %= len(docs)
+    n, mean = len(docs), max(sum(map(len, docs)) / len(docs), 1)
+    df = collections.Counter(y for x in docs for y in set(x))
+
+    def score(doc):
+        total = 0.0
+        for t in set(docs[seed]) & set(doc):
+            tf = doc.count(t)
+            total += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(doc) / mean))
+        return total
+
+    unused = np.arange(n) != seed
+    got = packing.Index(*flat(docs), corpus(docs)).neighbours(seed, unused).tolist()
+    want = {i: score(x) for i, x in enumerate(docs) if i != seed and set(x) & set(docs[seed])}
+    assert set(got) == set(want)
+    assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_statistics_cover_all_documents_and_related_ones_meet(spark, odd, odd_rows):
+    tokens = packing.encoded(odd, tokenizer_path(WORD), 1)
+    found = packing.corpus_of(tokens)
+    want = [[*library(WORD, t or ""), 1] for _, t, _, _ in odd_rows]
+    df = collections.Counter(y for x in want for y in set(x))
+    assert found.n == len(want) and abs(found.mean * found.n - sum(map(len, want))) < 1e-6
+    assert {i: int(x) for i, x in enumerate(found.df) if x} == df
+    # two kinds of documents in turn: nearly all windows hold one kind
+    r = np.random.default_rng(3)
+    kinds = ["alpha beta gamma delta".split(), "one two three four".split()]
+    docs = [(i, " ".join(r.choice(kinds[i % 2], 300))) for i in range(400)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), tokenizer_path(WORD)).collect()
+    held = {}
+    for x in rows:
+        held.setdefault(x["sequence_id"], set()).add(x["doc_id"] % 2)
+    assert sum(len(x) == 1 for x in held.values()) > 0.8 * len(held)
 
 
 @settings(max_examples=80, deadline=None)
@@ -146,7 +186,7 @@ def test_windows_hold_every_id_once(sizes):
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     ids = np.arange(at[-1]) % 11
     seen = np.zeros(at[-1], int)
-    for pieces in packing.windows(ids, at, 32):
+    for pieces in packing.windows(ids, at, packing.Corpus(len(sizes), int(at[-1]), np.ones(11, np.int64)), 32):
         n = sum(x[2] for x in pieces)
         assert n <= 32 and n & (n - 1) == 0
         for doc, start, length in pieces:
