@@ -2,15 +2,15 @@
 
 Language identification and the quality ranking drop what they reject, one document of each group of near-duplicates (shingles of
 five words, similarity 0.8) stays, sources are mixed to their target weights (documents may repeat, and the last of a source may
-be cut), and the mix is packed into windows. Every stage but the last returns the columns of documents.
+be cut) and put in the schedule's order, and the mix is packed into windows, whose ids are returned. Every stage but the last returns the columns of documents.
 
 Columns other than doc_id, text, lang and source are carried along; columns with names of the operators' own don't reach them, as
 each reads only the columns it needs.
 
-Defined results: rows with null doc_id are judged by their text and host but never dropped by language or near-duplicates, as
-nothing names them; null and empty texts have no text evidence of language, are scored like any text, are near-duplicates of
-nothing, and drop out in the mix, which takes words; of rows of equal doc_id one stays after near-duplicates; very long texts are
-treated whole; an empty table passes through all stages as an empty table.
+Defined results: rows with null doc_id are judged like any by language and quality, and stay beside near-duplicates, as nothing
+orders them; null and empty texts have no text evidence of language, are scored like any text, are near-duplicates of nothing,
+and drop out in the mix, which takes words; rows of equal doc_id are judged each, and of those whose texts are near-duplicates, or
+the same, one stays; very long texts are treated whole; an empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import chosen_path, language, mixing, packing, quality
-from lexgrove.llm.common import materialise, table, without
+from lexgrove.llm.common import materialise, table
 from lexgrove.llm.encoders import tokenizer_path
 
 #: The mix depends on hashes, ranks and models that SQL doesn't express; tests hold the stages against brute force.
@@ -26,8 +26,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(language.documents(docs), "pipeline-language")
-    return without(docs, found.filter("not kept and doc_id is not null").select("doc_id").distinct())
+    return language.kept(docs)
 
 
 def rank_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +34,7 @@ def rank_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(chosen_path.near_duplicates(docs, 5, 80), "pipeline-near")
-    left = without(docs, found.filter("not kept").select("doc_id").distinct())
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return left
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.union(left.filter("doc_id is null"))
+    return chosen_path.representatives(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
