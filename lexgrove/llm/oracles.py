@@ -20,7 +20,7 @@ goals as (
 placed as (
   select doc_id, sized.source, size, source_size, target, cast(round(target) as bigint) as goal,
     cast(coalesce(sum(size) over (partition by sized.source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
-  from sized join goals on sized.source is not distinct from goals.source)
+  from sized join goals on sized.source is not distinct from goals.source),
 whole as (select sum(target) as total, cast(ceil(sum(target) / 2048) as bigint) as n from goals),
 edges as (
   select s, target, sum(target) over (order by s rows between unbounded preceding and current row) / total as hi, n
