@@ -1,12 +1,13 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Documents are put in ascending doc_id order into shards. In a shard, rounds replace frequent pairs of neighbouring ids by
-nonterminals; no pair reaches over a document's end. A shard's file holds the rules with their expansion lengths, the symbols
-(two bytes each) and where each document's symbols and ids begin, so one document is decoded without the others.
+nonterminals until no pair stands LEAST times (fewer don't pay for a rule's twelve bytes); no pair reaches over a document's end.
+A shard's file holds the rules with their expansion lengths, the symbols (three bytes each) and where each document's symbols and
+ids begin, so one document is decoded without the others.
 
 File: a header of eight little-endian unsigned 64-bit numbers (magic, vocabulary, rules, symbols, documents, ids, CRC-32 of what
-follows, 0), then rules (2 x u2), expansion lengths (u4), symbols (u2), doc_id (i8), doc_id known (u1), first symbol (u8) and
-first id (u8) of each document and of the end. Files are rows of a Parquet table, whose writer's commits survive lost executors.
+follows, 0), then rules (2 x u4), expansion lengths (u4), symbols (their low u2, then their high u1), doc_id (i8), doc_id known (u1),
+first symbol (u8) and first id (u8) of each document and of the end. Files are rows of a Parquet table, whose writer's commits survive lost executors.
 
 Defined results: null and empty texts are the end id alone; rows with null doc_id come last; rows of equal doc_id are separate
 documents, ordered by a hash of their text; an empty table makes no shard and no rows; other columns are ignored.
@@ -27,13 +28,13 @@ from pyspark.sql import types as T
 from lexgrove.llm import chunks, encoders
 from lexgrove.llm.common import map_arrow, running_sum, shared_dir, with_small
 
-MAGIC = 0x3152_5041_4952_584C
-#: Symbols take two bytes. Ids of a shard, rounds of replacement, least count of a replaced pair, and buckets of the first count.
-SYMBOLS = 1 << 16
+MAGIC = 0x3252_5041_4952_584C
+#: Symbols take three bytes. Ids of a shard, least count of a replaced pair, and buckets of the first count.
+SYMBOLS = 1 << 24
 SHARD_IDS = 1 << 21
-ROUNDS = 4
-LEAST = 8
-BUCKET_BITS = 19
+LEAST = 4
+BUCKET_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _replaced(rank: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,43 +60,46 @@ def _replaced(rank: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return at[won], rank[won]
 
 
-def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return ((key * _ODD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document and of the end, rules, expansion lengths)."""
-    seq = ids.astype(np.uint32)
+    if len(ids) and int(ids.max()) >= vocabulary or vocabulary + len(ids) // 2 > SYMBOLS:
+        raise ValueError(f"symbols of {SYMBOLS} can't hold a vocabulary of {vocabulary} and the rules of {len(ids)} ids")
+    seq = ids.astype(np.uint64)
     last = np.zeros(len(seq), bool)
     last[at[1:][np.diff(at) > 0] - 1] = True
-    rules, length = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.int64)]
+    rules, length = [np.zeros((0, 2), np.uint64)], [np.ones(vocabulary, np.int64)]
     made = vocabulary
-    for turn in range(rounds):
-        room = (SYMBOLS - made) // (rounds - turn)
-        if room <= 0 or len(seq) < 2:
-            break
-        key = seq[:-1] << np.uint32(16) | seq[1:]
-        bucket = (key * np.uint32(2654435769)) >> np.uint32(32 - BUCKET_BITS)
+    while len(seq) > 1:
+        key = seq[:-1] << np.uint64(32) | seq[1:]
+        bucket, inside = _bucket(key), ~last[:-1]
         count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-        inside = ~last[:-1]
         pairs = np.sort(key[(count >= least)[bucket] & inside])
         edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
         times = np.diff(np.append(edge, len(pairs)))
         edge, times = edge[times >= least], times[times >= least]
-        best = np.lexsort((edge, -times))[:room]
-        if not len(best):
+        if not len(edge):
             break
-        pairs = pairs[edge[best]]
+        pairs = pairs[edge[np.lexsort((edge, -times))]]
         # of chosen pairs in one bucket the most frequent stays; the others have their turn in a later round
-        at_bucket = ((pairs * np.uint32(2654435769)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+        at_bucket = _bucket(pairs)
         ranks = np.full(1 << BUCKET_BITS, -1, np.int32)
         ranks[at_bucket[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         some = np.flatnonzero((ranks >= 0)[bucket] & inside)
         rank = ranks[bucket[some]]
         same = pairs[rank] == key[some]
         places, number = _replaced(rank[same], some[same], len(seq))
+        # a pair that better ones left in one place waits; the best pair keeps half of its places at least, so rounds go on
+        often = np.bincount(number, minlength=len(pairs)) > 1
+        places, number = places[often[number]], number[often[number]]
         used, symbol = np.unique(number, return_inverse=True)
-        rule = pairs[used]
-        rule = np.stack([rule >> np.uint32(16), rule & np.uint32(0xFFFF)], 1)
+        rule = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1)
         known = np.concatenate(length)
         rules.append(rule)
-        length.append(known[rule[:, 0]] + known[rule[:, 1]])
+        length = [known, known[rule[:, 0]] + known[rule[:, 1]]]
         seq[places] = made + symbol
         last[places] = last[places + 1]
         stays = np.ones(len(seq), bool)
@@ -104,13 +108,13 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, rounds: int = ROU
         made += len(used)
     firsts = np.zeros(len(at), np.int64)
     firsts[1:][np.diff(at) > 0] = np.flatnonzero(last) + 1
-    return seq.astype(np.uint16), np.maximum.accumulate(firsts), np.concatenate(rules).astype(np.uint16), np.concatenate(length)[vocabulary:]
+    return seq, np.maximum.accumulate(firsts), np.concatenate(rules), np.concatenate(length)[vocabulary:]
 
 
 def pack(ids: np.ndarray, at: np.ndarray, doc_ids: list, vocabulary: int) -> bytes:
     seq, firsts, rules, length = compress(ids, at, vocabulary)
     body = b"".join([
-        rules.astype("<u2").tobytes(), length.astype("<u4").tobytes(), seq.astype("<u2").tobytes(),
+        rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), (seq & np.uint64(0xFFFF)).astype("<u2").tobytes(), (seq >> np.uint64(16)).astype("u1").tobytes(),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is not None for x in doc_ids], "u1").tobytes(),
         firsts.astype("<u8").tobytes(), at.astype("<u8").tobytes(),
     ])
@@ -132,9 +136,10 @@ class Shard:
             place += x.nbytes
             return x
 
-        self.rules = take("<u2", 2 * rules).reshape(-1, 2)
+        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
         self.length = take("<u4", rules)
-        self.symbols = take("<u2", symbols)
+        self.symbols = take("<u2", symbols).astype(np.int64)
+        self.symbols |= take("u1", symbols).astype(np.int64) << 16
         ids, known = take("<i8", docs), take("u1", docs)
         self.doc_ids = pa.array(ids, mask=known == 0)
         self.first, self.at = take("<u8", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
@@ -163,9 +168,9 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, end: int, target: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode, compress and write all documents; a row of target is a shard's file."""
     schema = "shard long, part long, n_docs long, n_ids long, file binary"
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("doc_id").asc_nulls_last(), F.col("_tie")]
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    keys = [F.col("doc_id").asc_nulls_last(), F.col("_tie"), F.col("_row")]  # the last parts rows that are the same
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         coder = encoders.encoder(path)

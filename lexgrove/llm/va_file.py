@@ -26,6 +26,8 @@ CELLS = 256
 BLOCK = 8192
 #: Codes that a task scans at once.
 ROWS = 4096
+#: Tasks that a query's candidates are read by.
+PARTS = 8
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def encode(classes: DataFrame, low: np.ndarray, width: np.ndarray) -> DataFrame:
 
 
 def scan(codes: DataFrame, queries: list, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
-    """(qid, cid, upper, slack) for (qid, vector) pairs against all codes: what a task's own k-th lower bound doesn't rule out.
-    slack is a query's upper less lower bound."""
+    """(qid, cid, upper, slack), written, for (qid, vector) pairs against all codes: what a task's own k-th lower bound doesn't rule out.
+    slack is a query's upper less lower bound. The driver holds one block of queries at a time."""
     spark = codes.sparkSession
     dim = len(low)
     block = spark.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.frombuffer(b"".join(bytes(v) for _, v in queries), "<i8").reshape(-1, dim)))
@@ -118,24 +120,27 @@ def scan(codes: DataFrame, queries: list, low: np.ndarray, width: np.ndarray, k:
         stays = mid >= best.min(1)[i] - slack[i]
         return i[stays], c[stays], mid[stays]
 
-    return codes.mapInArrow(run, "qid long, cid long, upper double, slack double")
+    found = materialise(codes.mapInArrow(run, "qid long, cid long, upper double, slack double"), "va-found")
+    block.unpersist()
+    return found
 
 
 def read(pairs: DataFrame, k: int) -> DataFrame:
-    """(qid, cid, score): exact products of pairs (qid, cid, upper, qvec, vec), sorted by qid and falling upper, until the k-th is certain."""
+    """(qid, cid, score): exact products of pairs (qid, cid, upper, qvec, vec) in the order of falling upper until the k-th is certain. A
+    query's pairs are dealt to PARTS, each of which finds k of its own, so no query's candidates are all in one task."""
 
     def run(batches):
-        query, found, out = None, [], []
+        at, query, found, out = None, None, [], []
 
         def close():
             out.extend((query, c, s) for s, c in sorted(((s, c) for s, c in found), key=lambda x: (-x[0], x[1]))[:k])
 
         for batch in batches:
-            for qid, cid, upper, qvec, vec in zip(*(batch.column(x).to_pylist() for x in ("qid", "cid", "upper", "qvec", "vec")), strict=True):
-                if qid != query:
+            for qid, part, cid, upper, qvec, vec in zip(*(batch.column(x).to_pylist() for x in ("qid", "part", "cid", "upper", "qvec", "vec")), strict=True):
+                if (qid, part) != at:
                     if query is not None:
                         close()
-                    query, found, least = qid, [], None
+                    at, query, found, least = (qid, part), qid, [], None
                 if least is not None and upper < least:
                     continue
                 found.append((int(np.frombuffer(qvec, "<i8") @ np.frombuffer(vec, "<i8")), cid))
@@ -148,7 +153,8 @@ def read(pairs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["qid", "cid", "score"])
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n, "qid").sortWithinPartitions("qid", F.desc("upper"), "cid").mapInArrow(run, "qid long, cid long, score long")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(PARTS))).repartition(n, "qid", "part")
+    return dealt.sortWithinPartitions("qid", "part", F.desc("upper"), "cid").mapInArrow(run, "qid long, cid long, score long")
 
 
 def search(df: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
@@ -173,7 +179,6 @@ def search(df: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
         block = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()  # about BLOCK rows
         part = scan(codes, [(x["qid"], x["vec"]) for x in block], low, width, k)
         found = part if found is None else found.union(part)
-    found = materialise(found, "va-found")
     by_bound = Window.partitionBy("qid").orderBy(F.desc("upper"), "cid")
     edge = found.withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") <= k).groupBy("qid").agg(F.min(F.col("upper") - F.col("slack")).alias("least"), F.count("*").alias("n"))
     likely = found.join(edge, "qid").filter((F.col("upper") >= F.col("least")) | (F.col("n") < k)).select("qid", "cid", "upper")
