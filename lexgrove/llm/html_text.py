@@ -1,9 +1,12 @@
 """Main text of web pages by removing site templates.
 
-A page is read once into blocks of text and into elements with a hash of their subtree. Spark counts, host by host, on how many
-different pages each subtree stands. What recurs across many pages of its host is template and goes, with everything whose tag,
-role or class says that it isn't text of the article. Where a page marks its article, only that counts, and as copies of articles
-make their paragraphs recur too, a subtree inside it must stand on most of the host's pages to go; elsewhere a smaller share does.
+A page is read once into blocks of text and into elements with a hash of their subtree: its tags and its text, without attributes,
+and outside of a marked article with numbers between words made alike. Spark counts, host by host, in how many different contexts each subtree stands; a context is the least
+hash of the blocks outside of it, so copies and most near copies of an article are one. As another part of the template may be the least
+everywhere, CONTEXTS hashes each give a count and the greatest counts. What recurs across many pages of its host is template and
+goes. Of the rest, only the article counts where a page marks one, and elements whose tag says that they hold no text of the
+article, or whose class, id or role names nothing but such a part ("site-footer", "comment-list", not "share-price"), go too;
+within an article only those of adverts, notices, side bars and readers' comments, and never headings, paragraphs, items or quotes.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows of equal page_id are separate pages;
 unclosed elements end with what holds them or with the page; an empty table gives no rows; other columns are ignored.
@@ -11,7 +14,9 @@ unclosed elements end with what holds them or with the page; an empty table give
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import re
 
 import numpy as np
@@ -19,13 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.llm.common import map_arrow, materialise, with_small
 
-#: A subtree is template if it stands on at least so many different pages of the host and on this share of them.
-PAGES = 10
-SHARE_MAIN = 0.5
-SHARE_ELSEWHERE = 0.1
+#: A subtree is template if it stands in so many different contexts of the host at least, and in this share of them; within a marked
+#: article more is asked for, as texts quote each other.
+PAGES_MAIN, SHARE_MAIN = 8, 0.5
+PAGES_ELSEWHERE, SHARE_ELSEWHERE = 4, 0.25
+#: Odd factors that make one hash several.
+CONTEXTS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -38,12 +46,20 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style noscript template iframe textarea title xmp svg math".split())
 NO_TEXT = RAW | frozenset("head nav footer aside form button select dialog menu object canvas audio video".split())
-#: Words of classes, ids and roles that mark what isn't the article's text.
-MARKS = frozenset(
-    "nav navbar navigation menu menubar sidebar sidenav footer contentinfo breadcrumb breadcrumbs cookie cookies consent gdpr notice notices banner popup "
-    "modal overlay ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion comment comments reply replies disqus "
-    "respond newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar complementary search alert".split()
+#: Words of classes, ids and roles that name a part which isn't the article's text: everywhere, and outside of a marked article.
+NOT_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion comment comments reply replies disqus respond cookie cookies consent "
+    "gdpr notice notices sidebar sidenav newsletter subscribe subscription signup popup modal overlay nav navbar navigation breadcrumb breadcrumbs social sharing".split()
 )
+NOT_MAIN = NOT_ARTICLE | frozenset("menu menubar footer header masthead contentinfo banner login share related recommended pagination pager toolbar complementary search alert".split())
+#: Words that say where or how such a part is shown.
+NEUTRAL = frozenset(
+    "site main page top bottom left right bar box list area section wrapper wrap container block slot inner outer widget item items links link global primary secondary body content mobile desktop "
+    "sticky fixed form thread feed count title text unit zone panel column col row group js is has".split()
+)
+#: Elements that only their tag takes away, and those that a class within an article may.
+PLAIN = frozenset("html body p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead tfoot caption figcaption".split())
+PARTS = frozenset("div section ul ol dl table article".split())
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li"}
 _SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -53,34 +69,48 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+@functools.lru_cache(100_000)
+def names_part(value: str, inside: bool) -> bool:
+    """Whether one of the words of a class, id or role names a part that isn't the article's text, and nothing else."""
+    known = NOT_ARTICLE if inside else NOT_MAIN
+    for word in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        parts = [x for x in re.split("[^a-z0-9]+", word) if x]
+        if any(x in known for x in parts) and all(x in known or x in NEUTRAL for x in parts):
+            return True
+    return False
+
+
 class Page:
-    """blocks: (position, text, in the article, excluded); elements: (start, end, hash, in the article)."""
+    """blocks: (text, in the article, excluded) in page order; elements: (first block, end block, hash of the subtree, in the article)."""
 
     def __init__(self, source: str):
-        self.source = source
-        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
         self.elements: list[tuple[int, int, int, bool]] = []
         self.marked = False
-        self.read()
+        self.read(source)
 
-    def read(self) -> None:
-        source, stack = self.source, []  # open elements: [tag, start, excludes, article]
-        excluded = inside = 0
+    def read(self, source: str) -> None:
+        stack: list[tuple] = []  # open elements: tag, excludes, article, first block, first part of the subtree
+        subtree: list[str] = []
+        excluded = inside = at = 0
         text: list[str] = []
-        began = at = 0
 
         def flush() -> None:
             if text:
                 whole = " ".join(html.unescape("".join(text)).split())
                 if whole:
-                    self.blocks.append((began, whole, inside > 0, excluded > 0))
+                    self.blocks.append((whole, inside > 0, excluded > 0))
+                    subtree.append(whole if inside else alike(whole))
                 text.clear()
 
-        def close(stop: int) -> None:
+        def close() -> None:
             nonlocal excluded, inside
-            tag, start, excludes, article = stack.pop()
-            if tag in BLOCK and tag not in ("html", "body", "article", "main"):
-                self.elements.append((start, stop, xxhash.xxh64_intdigest(_COMMENT.sub("", source[start:stop])) >> 1, inside > 0))
+            tag, excludes, article, block, part = stack.pop()
+            if tag in BLOCK:
+                flush()
+                subtree.append("</>")
+                if tag not in ("html", "body", "article", "main") and len(self.blocks) > block:
+                    self.elements.append((block, len(self.blocks), xxhash.xxh64_intdigest("".join(subtree[part:])) >> 1, inside > 0))
             excluded -= excludes
             inside -= article
 
@@ -88,8 +118,6 @@ class Page:
             if m.start() < at:
                 continue
             if m.start() > at:
-                if not text:
-                    began = at
                 text.append(source[at : m.start()])
             at = m.end()
             tag = m[2]
@@ -103,9 +131,10 @@ class Page:
             if m[1]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        flush() if tag in NO_TEXT else None
+                        if tag in NO_TEXT:
+                            flush()
                         while len(stack) > i:
-                            close(m.end() if len(stack) == i + 1 else m.start())
+                            close()
                         break
                     if stack[i][0] in ("article", "body") and tag not in ("body", "html", "article"):
                         break
@@ -117,14 +146,16 @@ class Page:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in same:
                         while len(stack) > i:
-                            close(m.start())
+                            close()
                     elif stack[i][0] in BLOCK:
                         break
             attributes = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            words = set(re.split(r"[^a-z0-9]+", " ".join(attributes.get(x, "") for x in ("class", "id", "role")).lower())) if attributes else set()
             hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
             article = tag in ("article", "main") or attributes.get("role") in ("main", "article")
-            excludes = tag in NO_TEXT or bool(words & MARKS and not (tag in ("html", "body"))) or hidden or (tag == "header" and not inside)
+            excludes = tag in NO_TEXT or hidden or (tag == "header" and not inside)
+            if attributes and not excludes and tag not in PLAIN and (tag in PARTS or not inside):
+                within = bool(inside) or article
+                excludes = any(names_part(attributes[x], within) for x in ("class", "id", "role") if attributes.get(x))
             article = article and not excludes and not excluded
             if excludes:
                 flush()
@@ -135,82 +166,110 @@ class Page:
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
             self.marked |= article
-            stack.append((tag, m.start(), excludes, article))
+            stack.append((tag, excludes, article, len(self.blocks), len(subtree)))
+            if tag in BLOCK:
+                subtree.append(f"<{tag}>")
             excluded += excludes
             inside += article
         if at < len(source):
-            if not text:
-                began = at
             text.append(source[at:])
         flush()
         while stack:
-            close(len(source))
+            close()
+
+    def own(self) -> list[bool]:
+        """Whether each block is left by everything but the counts."""
+        return [not excluded and (inside or not self.marked) for _, inside, excluded in self.blocks]
+
+    def subtrees(self) -> list[tuple]:
+        """(hash, in the article, contexts) of each subtree; a context is the least hash of the article's blocks outside of it, 0 without any."""
+        plain = [xxhash.xxh64_intdigest(text) if own else None for (text, _, _), own in zip(self.blocks, self.own(), strict=True)]
+        found = []
+        for factor in CONTEXTS:
+            name = [_NONE if x is None else x * factor % 2**64 >> 1 for x in plain]
+            before = list(itertools.accumulate([_NONE, *name], min))
+            after = list(itertools.accumulate([_NONE, *reversed(name)], min))[::-1]
+            found.append([x if (x := min(before[i], after[j])) != _NONE else 0 for i, j, _, _ in self.elements])
+        return [(h, inside, *contexts) for (_, _, h, inside), contexts in zip(self.elements, zip(*found, strict=True), strict=True)]
+
+    def template(self, known: frozenset[int]) -> list[bool]:
+        """Whether each block is in a subtree of the host's template."""
+        out = [False] * len(self.blocks)
+        for i, j, h, _ in self.elements:
+            if h in known:
+                out[i:j] = [True] * (j - i)
+        return out
+
+    def text(self, known: frozenset[int]) -> str:
+        return "\n".join(block[0] for block, own, gone in zip(self.blocks, self.own(), self.template(known), strict=True) if own and not gone)
+
 
-    def text(self, template: frozenset[int]) -> str:
-        gone = sorted((a, b) for a, b, name, _ in self.elements if name in template)
-        out, k, end = [], 0, 0
-        for at, text, inside, excluded in self.blocks:
-            while k < len(gone) and gone[k][0] <= at:
-                end = max(end, gone[k][1])
-                k += 1
-            if not excluded and at >= end and (inside or not self.marked):
-                out.append(text)
-        return "\n".join(out)
+_NONE = 1 << 63
+_DIGITS = re.compile("[0-9]+")
 
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.S)
+def alike(text: str) -> str:
+    """text with one number for all, if it is of letters for the most part ("12 comments", not a table's figures or "w12 w34")."""
+    bare = _DIGITS.sub("0", text)
+    digits = len(text) - len(_DIGITS.sub("", text))
+    return bare if digits and sum(map(str.isalpha, text)) >= 3 * digits else text
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, name, page, main): the different subtrees of each page; page is a hash of its text outside of what tags, roles
-    and classes exclude, so copies of an article with other menus, adverts or titles there are one page."""
+    """(host, name, main, context_0, ...): the different subtrees of each page and the contexts they stand in; name 0 is the whole page."""
+    names = ["host", "name", "main", *(f"context_{i}" for i in range(len(CONTEXTS)))]
 
     def make():
         def call(batch: pa.RecordBatch):
-            hosts, names, whole, main = [], [], [], []
+            rows = set()
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if source:
                     host, page = host_of(url), Page(source)
-                    mine = {name: inside for _, _, name, inside in page.elements}
-                    hosts += [host] * len(mine)
-                    names += mine
-                    main += mine.values()
-                    whole += [xxhash.xxh64_intdigest(page.text(frozenset())) >> 1] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(whole, pa.int64()), pa.array(main, pa.bool_())], names=["host", "name", "page", "main"])
+                    rows.update((host, *x) for x in page.subtrees())
+                    rows.add((host, 0, False, *[xxhash.xxh64_intdigest(page.text(frozenset())) >> 1] * len(CONTEXTS)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            kinds = (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * len(CONTEXTS))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
 
         return call
 
-    return map_arrow(pages.select("url", "html"), make, "host string, name long, page long, main boolean")
+    return map_arrow(pages.select("url", "html"), make, "host string, name long, main boolean, " + ", ".join(f"{x} long" for x in names[3:]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, names): the subtrees of each host's template. A host has few, as each stands on a fixed share of its pages."""
-    found = materialise(subtrees(pages).distinct(), "html-subtrees")
-    counted = found.groupBy("host", "name").agg(F.count("*").alias("n"), F.max("main").alias("main")).filter(F.col("n") >= PAGES)
-    total = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    share = F.when(F.col("main"), SHARE_MAIN).otherwise(SHARE_ELSEWHERE)
-    return with_small(counted, total, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("name").alias("names"))
+    different = F.greatest(*(F.count_distinct(f"context_{i}") for i in range(len(CONTEXTS))))
+    counted = subtrees(pages).groupBy("host", "name").agg(different.alias("n"), F.max("main").alias("main"))
+    counted = materialise(counted.filter((F.col("n") >= min(PAGES_MAIN, PAGES_ELSEWHERE)) | (F.col("name") == 0)), "html-subtrees")
+    total = counted.filter("name = 0").select("host", F.col("n").alias("pages"))
+    enough = F.when(F.col("main"), (F.col("n") >= PAGES_MAIN) & (F.col("n") >= SHARE_MAIN * F.col("pages"))).otherwise((F.col("n") >= PAGES_ELSEWHERE) & (F.col("n") >= SHARE_ELSEWHERE * F.col("pages")))
+    return with_small(counted.filter("name <> 0"), total, "host").filter(enough).groupBy("host").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, template_chars) of every page; template_chars: code points of blocks that the counts took away."""
     named = materialise(templates(pages), "html-templates")
 
     def make():
         known: dict = {}
 
         def call(batch: pa.RecordBatch):
-            out = []
+            out, gone = [], []
             for source, names in zip(batch.column("html").to_pylist(), batch.column("names").to_pylist(), strict=True):
                 key = tuple(names or ())
                 if key not in known:
-                    known.clear() if len(known) > 1000 else None
+                    if len(known) > 1000:
+                        known.clear()
                     known[key] = frozenset(key)
-                out.append(Page(source).text(known[key]) if source else "")
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(np.array([len(x) for x in out], np.int64))], names=["page_id", "url", "text", "n_chars"])
+                page = Page(source or "")
+                out.append(page.text(known[key]))
+                gone.append(sum(len(x[0]) for x, y in zip(page.blocks, page.template(known[key]), strict=True) if y))
+            n = np.array([len(x) for x in out], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(n), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "template_chars"])
 
         return call
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = with_small(pages.select("page_id", "url", "html", host.alias("host")), named, "host", "left")
-    return map_arrow(joined.select("page_id", "url", "html", "names"), make, "page_id long, url string, text string, n_chars long")
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("template_chars", T.LongType())])
+    return map_arrow(joined.select("page_id", "url", "html", "names"), make, schema)

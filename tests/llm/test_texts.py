@@ -263,9 +263,10 @@ def test_templates_go_and_copied_articles_stay(spark):
 
     rows = [page(i, "a.example.com", f"story {i} of the day") for i in range(30)] + [page(i, "b.example.com", "story") for i in range(100, 103)]
     rows += [(200 + i, "https://c.example.com/x", f"<body><article><p>shared paragraph</p><p>own {i}</p></article></body>" if i < 8 else f"<body><article><p>own {i}</p></article></body>") for i in range(30)]
-    rows += [(300, None, None), (301, "", ""), (302, "https://a.example.com/copy", None)]
-    got = {x["page_id"]: x for x in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    assert len(got) == len(rows)
+    rows += [(300, None, None), (301, "", ""), (302, "https://a.example.com/copy", None), (303, "https://a.example.com/long", "<p>" + "long text " * 200_000), (303, "https://a.example.com/two", "<p>same id</p>")]
+    odd = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], PAGES + ", host long, names long, text long")
+    got = {x["page_id"]: x for x in html_text.extract(odd).collect()}
+    assert len(got) == len(rows) - 1
     assert all(got[i]["text"] == f"story {i} of the day" for i in range(30))  # recurs on every page
     assert got[100]["text"] == "welcome to b.example.com\nstory"  # three pages are no template
     assert all(got[200 + i]["text"] == f"shared paragraph\nown {i}" for i in range(8))
@@ -273,6 +274,52 @@ def test_templates_go_and_copied_articles_stay(spark):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_class_words_take_no_article_text():
+    for source in (
+        "<article class='post related-work'><p>Body</p></article>", "<article><div class='article share-price'><p>Body</p></div></article>", "<article><p class='alert'>Body</p></article>",
+        "<div id='search-results'>Body</div>", "<main><div class='menu'><h2 class='comments'>Body</h2></div></main>", "<article><div class='notice-of-meeting'>Body</div></article>",
+    ):
+        assert html_text.Page(source).text(frozenset()) == "Body", source
+    for source in (
+        "<article>Body<div class='ad-slot'>x</div></article>", "<article>Body<section id='comments'><article class='comment-body'><p>x</p></article></section></article>",
+        "<div class='siteFooter'>x</div>Body<div role='banner'>x</div>", "<div class='cookie-notice'>x</div><p>Body</p><div class='sidebar left'>x</div>",
+    ):
+        assert html_text.Page(source).text(frozenset()) == "Body", source
+
+
+def test_templates_are_those_of_a_count_by_host(spark, sf):
+    """Counted page by page, with contexts taken afresh for each subtree."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = pages.collect()
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(500)]
+    for i in range(40):  # unmarked pages: a menu, a notice on some, an item that differs in numbers, and copies of one text
+        text = [" ".join(r.choice(words, 12)) for _ in range(4)] if i < 30 else ["copied text", "in four", "parts", f"number {i}"]
+        notice = "<div>mind the notice</div>" if i % 2 == 0 else ""
+        rows.append((1000 + i, "https://plain.example.com/x", f"<body><div><a href='/{i}'>home</a> news</div>{notice}<p>visits: {i}</p>" + "".join(f"<p>{x}</p>" for x in text)))
+    contexts, whole = collections.defaultdict(lambda: [set(), set(), set()]), collections.defaultdict(set)
+    main = collections.defaultdict(bool)
+    for _, url, source in rows:
+        host, page = html_text.host_of(url), html_text.Page(source)
+        own = page.own()
+        whole[host].add("\n".join(x[0] for x, y in zip(page.blocks, own) if y))
+        for i, j, h, inside in page.elements:
+            others = [page.blocks[k][0] for k in range(len(own)) if own[k] and not i <= k < j]
+            for found, factor in zip(contexts[host, h], html_text.CONTEXTS, strict=True):
+                found.add(min(html_text.xxhash.xxh64_intdigest(x) * factor % 2**64 >> 1 for x in others) if others else 0)
+            main[host, h] |= inside
+    want = collections.defaultdict(set)
+    for (host, h), found in contexts.items():
+        least, share = (html_text.PAGES_MAIN, html_text.SHARE_MAIN) if main[host, h] else (html_text.PAGES_ELSEWHERE, html_text.SHARE_ELSEWHERE)
+        if max(map(len, found)) >= max(least, share * len(whole[host])):
+            want[host].add(h)
+    docs = spark.createDataFrame(rows, PAGES)
+    assert {x["host"]: set(x["names"]) for x in html_text.templates(docs).collect()} == dict(want)
+    got = {x["page_id"]: x for x in html_text.extract(docs).collect()}
+    assert {i: got[1000 + i]["text"] for i in range(40) if len(got[1000 + i]["text"].split("\n")) != 4 or not got[1000 + i]["template_chars"]} == {}
+    assert got[1035]["text"] == "copied text\nin four\nparts\nnumber 35"
+
+
 def test_plain_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
     got = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).toPandas().set_index("page_id")
