@@ -2,9 +2,8 @@
 
 A chunk is a run of ASCII white space with the run of other bytes after it, or a mark of punctuation with what follows it up
 to white space. No token of the public vocabularies reaches over the start of a chunk, so a text's tokens are its chunks'
-tokens in turn. Arrow's dictionary encoding finds the distinct chunks of a step, and the memo finds these by their bytes, so
-no two chunks are ever taken for one another. It holds about `most` chunks and starts afresh beyond that, so a worker's memory is
-bounded by that and by the text at hand.
+tokens in turn. The memo finds a chunk by a hash of its bytes and then compares the bytes, so no two chunks are ever taken for
+one another. It holds `most` chunks and starts afresh beyond that, so a worker's memory is bounded by that and by the text at hand.
 """
 
 from __future__ import annotations
@@ -14,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes that are looked at together; a longer text is looked at alone.
 STEP = 1 << 20
-#: Longer chunks are seldom met again and not kept.
-KEPT_BYTES = 64
+#: Words of eight bytes that are hashed and compared by whole arrays; what is beyond, chunk by chunk.
+WIDE = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -113,53 +113,149 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Spans:
+    """Runs of bytes, read eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.data, self.start, self.length = data, start, length  # data has eight bytes to spare at its end
+        self.words = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
+
+    def word(self, some: np.ndarray, n: int) -> np.ndarray:
+        """The n-th eight bytes of some spans, zeros after the end."""
+        return self.words[self.start[some] + 8 * n] & _MASK[np.minimum(self.length[some] - 8 * n, 8)]
+
+    def tail(self, i: int) -> bytes:
+        """What is after the first WIDE words."""
+        return self.data[self.start[i] + 8 * WIDE : self.start[i] + self.length[i]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        """Hashes other than 0."""
+        h = self.length.astype(np.uint64) * _ODD
+        some, n = np.flatnonzero(self.length > 0), 0
+        while len(some) and n < WIDE:
+            x = (h[some] ^ self.word(some, n)) * _ODD
+            h[some] = x ^ (x >> np.uint64(32))
+            n += 1
+            some = some[self.length[some] > 8 * n]
+        for i in some.tolist():
+            h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(self.tail(i)))
+        return np.maximum(mixed(h), np.uint64(1))
+
+    def same(self, mine: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
+        """Whether spans hold the same bytes as others."""
+        ok = self.length[mine] == other.length[theirs]
+        left, n = np.flatnonzero(ok & (self.length[mine] > 0)), 0
+        while len(left) and n < WIDE:
+            equal = self.word(mine[left], n) == other.word(theirs[left], n)
+            ok[left[~equal]] = False
+            n += 1
+            left = left[equal]
+            left = left[self.length[mine[left]] > 8 * n]
+        for i in left.tolist():
+            ok[i] = self.tail(mine[i]) == other.tail(theirs[i])
+        return ok
+
+
 class Memo:
-    """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time."""
+    """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time. A table of hashes, a power of two and at most half
+    full, leads to the chunks' rows."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 19, kind=np.int32):
+    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 21, kind=np.int32):
         self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.size = self.used = 0
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.count, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
         self.pool = np.zeros(4096, self.kind)
+        self.names = Spans(np.zeros(4096, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64))
+        self.named = 0
+        self.table(self.most)
+
+    def table(self, most: int) -> None:
+        """An empty table for so many chunks, with those that there are."""
+        slots = 1 << (2 * max(most, 1) - 1).bit_length()
+        self.mask, self.keys, self.row = slots - 1, np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.place(np.arange(self.size))
+
+    def place(self, rows: np.ndarray) -> None:
+        """Enter rows that the table doesn't hold."""
+        h = self.hash[rows]
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(rows))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]], self.row[at[free]] = h[left[free]], rows[left[free]]
+            left = left[~(free & (self.row[at] == rows[left]))]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def find(self, spans: Spans, h: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Rows of some spans, -1 for those that aren't known."""
+        out = np.full(len(some), -1, np.int64)
+        slot = (h[some] & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(some))
+        while len(left):
+            key = self.keys[slot[left]]
+            hit = left[key == h[some[left]]]
+            rows = self.row[slot[hit]]
+            same = spans.same(some[hit], self.names, rows)
+            out[hit[same]] = rows[same]
+            left = left[(key != 0) & (out[left] < 0)]
+            slot[left] = (slot[left] + 1) & self.mask
+        return out
 
-    def put(self, names: list[bytes], values: list) -> np.ndarray:
-        """Row numbers of new names, each with its integers."""
-        count = np.fromiter(map(len, values), np.int64, len(values))
+    def put(self, names: list[bytes], h: np.ndarray, values: list) -> None:
+        """Add new names, each with its integers."""
+        count = np.fromiter(map(len, values), np.int32, len(values))
         flat = np.fromiter(itertools.chain.from_iterable(values), self.kind, int(count.sum()))
-        rows = np.arange(self.size, self.size + len(names))
+        rows, end = np.arange(self.size, self.size + len(names)), self.size + len(names)
         self.pool = _grown(self.pool, self.used + len(flat))
-        self.start, self.count = _grown(self.start, self.size + len(names)), _grown(self.count, self.size + len(names))
+        self.start, self.count, self.hash = (_grown(x, end) for x in (self.start, self.count, self.hash))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.start[rows], self.count[rows] = self.used + np.cumsum(count) - count, count
+        self.start[rows], self.count[rows], self.hash[rows] = self.used + np.cumsum(count) - count, count, h
+        raw, length = np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
+        kept = Spans(_grown(self.names.data, self.named + len(raw) + 8), _grown(self.names.start, end), _grown(self.names.length, end))
+        kept.data[self.named : self.named + len(raw)] = raw
+        kept.start[rows], kept.length[rows] = self.named + np.cumsum(length) - length, length
+        self.names = kept
+        self.named += len(raw)
         self.used += len(flat)
-        self.size += len(names)
-        self.known.update((x, i) for x, i in zip(names, rows.tolist(), strict=True) if len(x) <= KEPT_BYTES)
-        return rows
+        self.size = end
+        if 2 * end > self.mask + 1:
+            self.table(2 * end)
+        else:
+            self.place(rows)
 
     def look(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, first): the row of each chunk, and for each text the index of its first chunk."""
         start, end, first = self.bounds(data, at)
-        number, names = distinct(data, start, end)
-        find = self.known.get
-        rows = np.fromiter((find(x, -1) for x in names), np.int64, len(names))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            if self.size and self.size + len(new) > self.most:
+        spans = Spans(np.concatenate([data, np.zeros(8, np.uint8)]), start, end - start)
+        h = spans.hashes()
+        left, rows, afresh = np.arange(len(start)), np.full(len(start), -1, np.int64), False
+        while True:
+            rows[left] = self.find(spans, h, left)
+            left = left[rows[left] < 0]
+            if not len(left):
+                return rows, first
+            # one of each hash; different chunks of one hash come in the next round
+            new = left[np.unique(h[left], return_index=True)[1]]
+            if self.size + len(new) > self.most and self.size and not afresh:
                 self.clear()
-                new = np.arange(len(names))
-            unknown = [names[i] for i in new.tolist()]
-            rows[new] = self.put(unknown, self.learn(unknown))
-        return rows[number], first
+                left, rows, afresh = np.arange(len(start)), np.full(len(start), -1, np.int64), True
+                continue
+            names = [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.put(names, h[new], self.learn(names))
 
     def values(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, offsets): each text's values, one chunk's after the other's."""
         rows, first = self.look(data, at)
         start, count = self.start[rows], self.count[rows]
-        ends = np.cumsum(count)
+        ends = np.cumsum(count, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         where = np.repeat(start - (ends - count), count) + np.arange(total)
         return self.pool[where], np.concatenate([[0], ends])[first]

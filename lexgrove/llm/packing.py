@@ -27,7 +27,7 @@ from lexgrove.llm import chunks, encoders
 from lexgrove.llm.common import map_arrow, materialise
 
 WINDOW = 2048
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 20
 #: Terms of a BM25 query, and BM25's parameters.
 TERMS = 24
 K1, B = 1.2, 0.75
@@ -175,11 +175,17 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, ids binary")
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of a batch's documents."""
-    n = batch.column("n").to_numpy()
-    raw = b"".join(batch.column("ids").to_pylist())
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n.sum() else "<u4"), np.concatenate([[0], np.cumsum(n)])
+#: Ids that are counted together; a longer document alone.
+STEP = 1 << 19
+
+
+def _parts(batch: pa.RecordBatch, most: int = STEP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, offsets) of slices of a batch that hold about so many ids."""
+    at = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
+    for i, j in chunks.steps(at, most):
+        part = batch.slice(i, j - i)
+        raw = b"".join(part.column("ids").to_pylist())
+        yield part, np.frombuffer(raw, "<u2" if len(raw) == 2 * (at[j] - at[i]) else "<u4"), at[i : j + 1] - at[i]
 
 
 def corpus_of(tokens: DataFrame) -> Corpus:
@@ -189,11 +195,10 @@ def corpus_of(tokens: DataFrame) -> Corpus:
         n = total = 0
         df = np.zeros(1, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                ids, at = _flat(batch)
+            for part, ids, at in _parts(batch):
                 more = np.bincount(counted(ids, at)[1], minlength=len(df))
                 more[: len(df)] += df
-                df, n, total = more, n + batch.num_rows, total + int(at[-1])
+                df, n, total = more, n + part.num_rows, total + int(at[-1])
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], term])), pa.array(np.concatenate([[n, total], df[term]]))], names=["term", "df"])
 
@@ -209,22 +214,20 @@ def placed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
 
     def make():
         def call(batch: pa.RecordBatch):
-            if not batch.num_rows:
-                return
-            ids, at = _flat(batch)
-            doc, term, tf = counted(ids, at)
-            weight = corpus.weight(term, tf, np.diff(at)[doc])
-            some = np.flatnonzero(corpus.df[term] > 1)
-            order = some[np.lexsort((-weight[some], doc[some]))]
-            places = np.full((PLACES, batch.num_rows), -1, np.int64)
-            wide = order[corpus.df[term[order]] >= GROUP]
-            who, first = np.unique(doc[wide], return_index=True)
-            places[0, who] = term[wide[first]]
-            begin = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
-            for i in range(1, PLACES):
-                has = np.flatnonzero(np.diff(begin) >= i)
-                places[i, has] = term[order[begin[has] + i - 1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in places)], names=[*batch.schema.names, *(f"place_{i}" for i in range(PLACES))])
+            for part, ids, at in _parts(batch):
+                doc, term, tf = counted(ids, at)
+                weight = corpus.weight(term, tf, np.diff(at)[doc])
+                some = np.flatnonzero(corpus.df[term] > 1)
+                order = some[np.lexsort((-weight[some], doc[some]))]
+                places = np.full((PLACES, part.num_rows), -1, np.int64)
+                wide = order[corpus.df[term[order]] >= GROUP]
+                who, first = np.unique(doc[wide], return_index=True)
+                places[0, who] = term[wide[first]]
+                begin = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+                for i in range(1, PLACES):
+                    has = np.flatnonzero(np.diff(begin) >= i)
+                    places[i, has] = term[order[begin[has] + i - 1]]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in places)], names=[*part.schema.names, *(f"place_{i}" for i in range(PLACES))])
 
         return call
 
@@ -236,23 +239,21 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, shard_i
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): a row for each piece; ids are little-endian unsigned 32-bit."""
     tokens = materialise(encoded(docs, path, end), "packing-ids")
     corpus = corpus_of(tokens)
-    keyed = materialise(placed(tokens, corpus), "packing-places")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(corpus.n * corpus.mean / shard_ids))
     keys = [*(f"place_{i}" for i in range(PLACES)), "tie"]
-    dealt = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "ids")
+    dealt = placed(tokens, corpus).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "n", "ids")
     names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.BinaryType() if x == "ids" else T.LongType()) for x in names)])
 
     def run(batches):
         sequence = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
             nonlocal sequence
-            parts = [_flat(x) for x in held]
-            flat = np.concatenate([x for x, _ in parts])
-            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
+            flat = np.concatenate([x for _, x, _ in held])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, _, x in held]))])
             whole, rows, pieces_ids = flat.astype("<u4"), [], []
             for pieces in windows(flat, at, corpus, window):
                 offset = 0
@@ -263,17 +264,15 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, shard_i
                     offset += length
                 sequence += 1
             table = np.array(rows, np.int64).reshape(-1, 6)
-            who = pa.chunked_array([x.column("doc_id") for x in held]).combine_chunks().take(pa.array(table[:, 0]))
+            who = pa.chunked_array([x.column("doc_id") for x, _, _ in held]).combine_chunks().take(pa.array(table[:, 0]))
             column = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(6)]
             yield pa.RecordBatch.from_arrays([who, column[1], column[2], pa.array(pieces_ids, pa.binary()), *column[3:]], names=schema.names)
             held.clear()
 
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            at = np.concatenate([[0], np.cumsum(n)])
-            for i, j in chunks.steps(at, max(shard_ids // 4, 1)):
-                held.append(batch.slice(i, j - i))
-                size += int(at[j] - at[i])
+            for part in _parts(batch, max(shard_ids // 4, 1)):
+                held.append(part)
+                size += len(part[1])
                 if size >= shard_ids:
                     yield from flush()
                     size = 0

@@ -59,6 +59,16 @@ def test_a_text_of_more_chunks_than_a_memo_holds():
         assert memo.sums(*chunks.utf8(pa.array(["a few more"]))).tolist() == [10]
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(chunks.Spans, "hashes", lambda self: np.minimum(self.length, 3).astype(np.uint64) + np.uint64(1))
+    memo = chunks.Memo(lambda raw: [(int(x.strip() or b"0"),) for x in raw], chunks.bare, most=40)
+    for n in range(3):
+        numbers = [*range(n * 10, n * 10 + 60), 10**300 + n, 10**300 + n + 1]
+        got, _ = chunks.Memo(lambda raw: [list(x) for x in raw], chunks.bare, most=40).values(*chunks.utf8(pa.array([" ".join(map(str, numbers))])))
+        assert bytes(got.tolist()).decode() == "".join(map(str, numbers))
+        assert memo.sums(*chunks.utf8(pa.array([" ".join(map(str, numbers[:60]))]))).tolist() == [sum(numbers[:60])]
+
+
 def test_token_counts(odd, nothing, odd_rows):
     got = sorted(bpe_count.token_counts(odd, tokenizer_path(BYTE)).collect(), key=str)
     want = sorted(((i, len((t or "").encode()), n := len(library(BYTE, t or "")), n > 512) for i, t, _, _ in odd_rows), key=str)
