@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import literal
-
-
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """(id, depth) of all that edges (src, dst) reach from roots (id); the least depth, so cycles end. Frontiers are joined, not collected."""
-    kept = edges.sparkSession.sparkContext.getCheckpointDir()
-    seen = roots.select(F.col("id"), F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, most + 1):
-        front = front.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
-        front = front.checkpoint() if kept else front.cache()
-        if front.isEmpty():
-            break
+from lexgrove.operators.store import kept
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth) of all that edges (src, dst) reach from roots (id); the least depth, so cycles end. Frontiers are joined, not collected,
+    until one is empty; what was seen is kept as one table, so a deep graph's plan doesn't grow with its depth."""
+    pairs = kept(edges.select("src", "dst").distinct())
+    seen = front = kept(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        further = front.select(F.col("id").alias("src")).join(pairs, "src").select(F.col("dst").alias("id")).distinct()
+        front = kept(further.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(front)
+        if depth % 16 == 0:
+            seen = kept(seen)
     return seen
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrove.operators.store import kept
 
 def carried(df: DataFrame, groups: list[str], order: list, value: Column, out: str) -> DataFrame:
     """The last value that isn't null up to each row."""
@@ -36,9 +37,20 @@ def capped(df: DataFrame, groups: list[str], order: list, n: int, total: str, ra
 
 def hash_sample(df: DataFrame, strata: list[str], key: str, sizes: DataFrame) -> DataFrame:
     """Of each stratum the rows of the least sha256(key), as many as sizes (strata, k) says."""
+    small = sizes.limit(10_001).count() <= 10_000  # rows of a stratum's columns and a number
     hashed = df.withColumn("_h", F.sha2(F.col(key).cast("string").cast("binary"), 256))
     w = Window.partitionBy(*strata).orderBy("_h")
-    return hashed.join(F.broadcast(sizes), strata).withColumn("_r", F.row_number().over(w)).filter("_r <= k").drop("_h", "_r", "k")
+    return hashed.join(F.broadcast(sizes) if small else sizes, strata).withColumn("_r", F.row_number().over(w)).filter("_r <= k").drop("_h", "_r", "k")
+
+
+def positions(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with out: each row's place from 0 in the whole order. Rows are sorted by ranges and counted range by range, so no task sees all of them;
+    what is summed in one place is a row for each range."""
+    ranged = kept(df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_least"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_p", "_least", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    return ranged.join(F.broadcast(base), "_p").withColumn(out, F.col("_base") + F.col("_m") - F.col("_least")).drop("_p", "_m", "_least", "_base")
 
 
 def allocate(sizes: dict, total: int, least: int) -> dict:

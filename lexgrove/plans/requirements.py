@@ -36,16 +36,29 @@ def is_requirement(group: Column) -> Column:
     return ~group.isin(*NO_REQUIREMENTS) & ~group.startswith("annex-")
 
 
+#: Words that may stand before "ai system" in what follows an actor's name.
+FILLERS = ("such", "the", "high-risk", "general-purpose")
+
+
 def canonical_actor(raw: Column) -> Column:
-    """(actor, method): an article and a tail about AI systems are dropped, synonyms and plurals folded."""
-    text = F.trim(F.regexp_replace(F.lower(raw), r"[ \t\r\n]+", " "))
-    text = F.regexp_replace(text, "^(the|a|an) ", "")
-    text = F.regexp_replace(text, " of (such )?(the )?(high-risk )?(general-purpose )?ai (systems|system|models|model).*$", "")
-    text = F.regexp_replace(text, "^[ ,.]+|[ ,.]+$", "")
+    """(actor, method). The name's words are taken without a leading article and without what follows an "of" that leads, but for fillers, to
+    AI systems or models; synonyms and plurals are folded."""
+    words = F.filter(F.split(F.lower(raw), r"[ \t\r\n]+"), lambda x: x != "")
+    words = F.when(F.get(words, F.lit(0)).isin("the", "a", "an") & (F.size(words) > 1), F.slice(words, 2, F.size(words))).otherwise(words)
+
+    def leads(i: Column) -> Column:
+        told = F.filter(F.slice(words, i + 2, F.size(words)), lambda x: ~x.isin(*FILLERS))
+        what = F.get(told, F.lit(1))
+        return (F.get(words, i) == "of") & (F.get(told, F.lit(0)) == "ai") & (what.startswith("system") | what.startswith("model"))
+
+    place = F.filter(F.sequence(F.lit(0), F.size(words)), leads)
+    name = F.array_join(F.slice(words, 1, F.coalesce(F.get(place, F.lit(0)), F.size(words))), " ")
+    text = F.btrim(name, F.lit(" ,."))
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    bare = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
-    known = lambda c: F.when(bare(c).isin(*ACTORS), bare(c))
-    actor = F.when(text.isin(*AMBIGUOUS), F.lit(None)).otherwise(F.coalesce(synonyms[text], known(text), F.when(text.endswith("s"), known(F.regexp_replace(text, "s$", "")))))
+    bare = F.replace(text, F.lit(" "), F.lit("_"))
+    single = F.when(bare.endswith("s"), F.substring(bare, F.lit(1), F.length(bare) - 1))
+    known = lambda c: F.when(c.isin(*ACTORS), c)
+    actor = F.when(text.isin(*AMBIGUOUS), F.lit(None)).otherwise(F.coalesce(synonyms[text], known(bare), known(single)))
     empty = F.coalesce(F.trim(raw), F.lit("")) == ""
     method = F.when(empty, "empty").when(text.isin(*AMBIGUOUS), "ambiguous").when(actor.isNull(), "unresolved").otherwise("rule")
     return F.struct(F.when(~empty, actor).alias("actor"), method.alias("method"))

@@ -7,39 +7,63 @@ from __future__ import annotations
 
 import html
 import re
+from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import slug
 
-_TAG = re.compile(r"<\?.*?\?>|<!--.*?-->|<![^>]*>|<(/?)([A-Za-z_][\w.:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-_ATTR = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 ELEMENTS = "file string, elem int, parent int, tag string, attrs map<string,string>, start int, stop int, depth int, path array<int>, tags array<string>, inner string"
 
 
 def parse(text: str) -> list[dict]:
-    """Elements of one file in document order; a tag that isn't balanced is an error."""
-    out, stack = [], []
-    for m in _TAG.finditer(text):
-        if m[2] is None:
-            continue
-        if m[1]:
-            if not stack or stack[-1]["tag"] != m[2]:
-                raise ValueError(f"unbalanced </{m[2]}> at {m.start()}")
-            e = stack.pop()
-            e["stop"], e["inner"] = m.end(), text[e["begin"] : m.start()]
-            continue
-        e = {
-            "elem": len(out), "parent": stack[-1]["elem"] if stack else None, "tag": m[2], "attrs": {a: html.unescape(b or c or "") for a, b, c in _ATTR.findall(m[3])},
-            "start": m.start(), "begin": m.end(), "stop": m.end(), "depth": len(stack), "path": [x["elem"] for x in stack], "tags": [x["tag"] for x in stack], "inner": "",
-        }
+    """Elements of one file in document order, with code-point offsets; what isn't well-formed is an error. A start or end tag reaches up to
+    the byte where the parser reports what comes next."""
+    raw = text.encode()
+    place = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
+    out: list[dict] = []
+    stack: list[dict] = []
+    waiting: list[tuple[dict, str]] = []
+    reader = expat.ParserCreate("utf-8")
+    reader.UseForeignDTD(True)  # names of characters that only a DTD would define are left alone
+
+    def here(*_) -> None:
+        at = int(place[reader.CurrentByteIndex])
+        while waiting:
+            element, field = waiting.pop()
+            element[field] = at
+
+    def opens(tag: str, attrs: dict) -> None:
+        here()
+        e = {"elem": len(out), "parent": stack[-1]["elem"] if stack else None, "tag": tag, "attrs": attrs, "start": int(place[reader.CurrentByteIndex]), "depth": len(stack)}
+        e |= {"path": [x["elem"] for x in stack], "tags": [x["tag"] for x in stack]}
+        waiting.append((e, "begin"))
         out.append(e)
-        if not m[4]:
-            stack.append(e)
-    if stack:
-        raise ValueError(f"<{stack[-1]['tag']}> is not closed")
+        stack.append(e)
+
+    def closes(tag: str) -> None:
+        e = stack.pop()
+        e["close"] = int(place[reader.CurrentByteIndex])
+        if e["close"] > e["start"]:
+            here()
+        waiting.append((e, "stop"))
+
+    reader.StartElementHandler, reader.EndElementHandler = opens, closes
+    reader.CharacterDataHandler = reader.CommentHandler = reader.ProcessingInstructionHandler = reader.DefaultHandler = here
+    reader.StartCdataSectionHandler = reader.EndCdataSectionHandler = here
+    try:
+        reader.Parse(raw, True)
+    except expat.ExpatError as problem:
+        raise ValueError(f"not well-formed: {problem}") from problem
+    for element, field in waiting:
+        element[field] = len(text)
+    for e in out:
+        close = e.pop("close")
+        begin = e.pop("begin")
+        e["inner"] = text[begin:close] if close > e["start"] else ""
     return out
 
 
@@ -68,8 +92,10 @@ def visible(inner: Column) -> Column:
 
 
 def marker(inner: Column) -> Column:
-    """(a) -> a, 1. -> 1, 3.1. -> 3.1."""
-    return F.lower(F.regexp_extract(F.trim(F.regexp_replace(inner, r"(?U)<[^>]+>|\s", "")), r"^\(?([A-Za-z0-9.]+?)\)?\.?$", 1))
+    """(a) -> a, 1. -> 1, 3.1. -> 3.1; any other shape is an error."""
+    bare = F.btrim(F.regexp_replace(inner, r"(?U)<[^>]+>|\s", ""), F.lit("()."))
+    plain = F.translate(F.lower(bare), "abcdefghijklmnopqrstuvwxyz0123456789.", "") == ""
+    return F.when(plain & (bare != ""), F.lower(bare)).when(inner.isNotNull(), F.raise_error(F.concat(F.lit("no such marker: "), inner)))
 
 
 def _first_inside(elems: DataFrame, tag: str, out: str) -> DataFrame:

@@ -95,6 +95,7 @@ def test_cross_references(spark):
     texts = {
         "a": "see Article 6", "b": "see Article 6(2)", "c": "see Article 6(9)", "d": "Article 4(2) of Regulation (EU) 2016/679", "e": "Article 999", "f": "Articles 8 to 10, and Annex III",
         "g": "Regulation (EC) No 300/2008, Article 5", "h": "Article 7 of this Regulation", "i": "Annex Implementation", "j": "Chapters IV and é Article 6(2) and 7", "k": None,
+        "l": "Articles 6(2) and 6(9)", "m": "Article 8, points (a) and (b), of Directive 2006/42/EC. Article 9", "n": "Articles 10 to 8", "o": "Regulation (EC) No. 300/2008 and Article 5", "p": "Regulation (EU) 2016/679; Article 5",
     }
     edges, queue = references.resolve(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t", nodes, "r")
     got = {}
@@ -102,11 +103,30 @@ def test_cross_references(spark):
         got.setdefault(x["from_id"], set()).add(x["target"].removeprefix("r:"))
     assert got == {
         "a": {"article-6"}, "b": {"article-6:paragraph-2"}, "c": {"article-6"}, "f": {"article-8", "article-9", "article-10", "annex-iii"}, "h": {"article-7"}, "j": {"chapter-iv", "article-6:paragraph-2", "article-7"},
+        "l": {"article-6:paragraph-2", "article-6"}, "m": {"article-9"}, "n": {"article-10", "article-8"}, "p": {"article-5"},
     }
-    assert {(x["from_id"], x["reason"]) for x in queue.collect()} == {("d", "external_instrument"), ("e", "unresolved_target"), ("g", "external_instrument")}
+    assert {(x["from_id"], x["reason"]) for x in queue.collect()} == {("d", "external_instrument"), ("e", "unresolved_target"), ("g", "external_instrument"), ("m", "external_instrument"), ("o", "external_instrument")}
+    assert {x["mention"] for x in queue.collect()} >= {"Article 8, points (a) and (b), of Directive 2006/42/EC", "Regulation (EC) No. 300/2008 and Article 5", "Article 4(2) of Regulation (EU) 2016/679"}
     ids = [x["edge_id"] for x in references.numbered(edges, "xref-").collect()]
     assert sorted(ids, key=lambda x: int(x[5:])) == [f"xref-{i + 1}" for i in range(len(ids))]
-    assert one(spark, references.recital_external(F.lit(" of the Treaty"))) and not one(spark, references.recital_external(F.lit(" of this Regulation and the Treaty")))
+
+
+def test_recitals(spark):
+    nodes = spark.createDataFrame([("r:article-5",), ("r:article-16",)], "id string")
+    texts = {"a": "Article 16 TFEU", "b": "Article 5 of this Regulation and of the Treaty", "c": "Article 5 of the Charter", "d": "Article 5(1) of that Directive", "e": "Article 77", "f": "Article 5, Article 5 and Protocol"}
+    edges, queue = references.context_edges(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t", nodes, "r")
+    assert {(x["from_id"], x["target"], x["edge_type"]) for x in edges.collect()} == {("b", "r:article-5", "CONTEXT_FOR"), ("f", "r:article-5", "CONTEXT_FOR")}
+    assert {(x["from_id"], x["reason"]) for x in queue.collect()} == {("a", "external_instrument"), ("c", "external_instrument"), ("d", "external_instrument"), ("e", "unresolved_target")}
+
+
+def test_roman_numerals():
+    assert [references.roman_value(x) for x in ("I", "IV", "XIII", "XLIX", "MCMXCIV", "IIII", "VX", "", "Implementation", "IC")] == [1, 4, 13, 49, 1994, None, None, None, None, None]
+
+
+def test_sources_of_references(spark):
+    edges = spark.createDataFrame([("r:article-6:paragraph-2",), ("r:x:p",), ("r:annex-i",)], "from_id string")
+    parents = spark.createDataFrame([("r:article-9", "r:x:p")], "src string, dst string")
+    assert {x["from_id"]: x["source"] for x in references.article_source(edges, parents).collect()} == {"r:article-6:paragraph-2": "r:article-6", "r:x:p": "r:article-9", "r:annex-i": "r:annex-i"}
 
 
 def test_graph(spark):
