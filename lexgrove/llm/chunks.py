@@ -164,7 +164,7 @@ class Memo:
     """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time. A table of hashes, a power of two and at most half
     full, leads to the chunks' rows."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 21, kind=np.int32):
+    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 20, kind=np.int32):
         self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
         self.clear()
 

@@ -80,6 +80,10 @@ def names_part(value: str, inside: bool) -> bool:
     return False
 
 
+def site_of(host: str) -> int:
+    return xxhash.xxh64_intdigest(host) - (1 << 63)
+
+
 class Page:
     """blocks: (text, in the article, excluded) in page order; elements: (first block, end block, hash of the subtree, in the article)."""
 
@@ -216,8 +220,9 @@ def alike(text: str) -> str:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, name, main, context_0, ...): the different subtrees of each page and the contexts they stand in; name 0 is the whole page."""
-    names = ["host", "name", "main", *(f"context_{i}" for i in range(len(CONTEXTS)))]
+    """(site, name, main, context_0, ...): the different subtrees of each page and the contexts they stand in, in 32 bits; site is a hash of the host,
+    name 0 is the whole page."""
+    names = ["site", "name", "main", *(f"context_{i}" for i in range(len(CONTEXTS)))]
 
     def make():
         def call(batch: pa.RecordBatch):
@@ -225,25 +230,30 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if source:
                     host, page = host_of(url), Page(source)
-                    rows.update((host, *x) for x in page.subtrees())
-                    rows.add((host, 0, False, *[xxhash.xxh64_intdigest(page.text(frozenset())) >> 1] * len(CONTEXTS)))
+                    site = site_of(host)
+                    rows.update((site, h, inside, *(x >> 32 for x in contexts)) for h, inside, *contexts in page.subtrees())
+                    rows.add((site, 0, False, *[xxhash.xxh64_intdigest(page.text(frozenset())) >> 33] * len(CONTEXTS)))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            kinds = (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * len(CONTEXTS))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * len(CONTEXTS))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
 
         return call
 
-    return map_arrow(pages.select("url", "html"), make, "host string, name long, main boolean, " + ", ".join(f"{x} long" for x in names[3:]))
+    return map_arrow(pages.select("url", "html"), make, "site long, name long, main boolean, " + ", ".join(f"{x} int" for x in names[3:]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, names): the subtrees of each host's template. A host has few, as each stands on a fixed share of its pages."""
+    """(site, names): the subtrees of each host's template. A host has few, as each stands on a fixed share of its pages."""
     different = F.greatest(*(F.count_distinct(f"context_{i}") for i in range(len(CONTEXTS))))
-    counted = subtrees(pages).groupBy("host", "name").agg(different.alias("n"), F.max("main").alias("main"))
+    counted = subtrees(pages).groupBy("site", "name").agg(different.alias("n"), F.max("main").alias("main"))
     counted = materialise(counted.filter((F.col("n") >= min(PAGES_MAIN, PAGES_ELSEWHERE)) | (F.col("name") == 0)), "html-subtrees")
-    total = counted.filter("name = 0").select("host", F.col("n").alias("pages"))
+    total = counted.filter("name = 0").select("site", F.col("n").alias("pages"))
     enough = F.when(F.col("main"), (F.col("n") >= PAGES_MAIN) & (F.col("n") >= SHARE_MAIN * F.col("pages"))).otherwise((F.col("n") >= PAGES_ELSEWHERE) & (F.col("n") >= SHARE_ELSEWHERE * F.col("pages")))
-    return with_small(counted.filter("name <> 0"), total, "host").filter(enough).groupBy("host").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return with_small(counted.filter("name <> 0"), total, "site").filter(enough).groupBy("site").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def _with_site():
+    return lambda batch: [pa.RecordBatch.from_arrays([*batch.columns, pa.array([site_of(host_of(x)) for x in batch.column("url").to_pylist()], pa.int64())], names=[*batch.schema.names, "site"])]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -269,7 +279,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return call
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = with_small(pages.select("page_id", "url", "html", host.alias("host")), named, "host", "left")
+    site = map_arrow(pages.select("page_id", "url", "html"), _with_site, T.StructType([*pages.select("page_id", "url", "html").schema, T.StructField("site", T.LongType())]))
+    joined = with_small(site, named, "site", "left")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("template_chars", T.LongType())])
     return map_arrow(joined.select("page_id", "url", "html", "names"), make, schema)

@@ -73,38 +73,46 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAS
     last[at[1:][np.diff(at) > 0] - 1] = True
     rules, length = [np.zeros((0, 2), np.uint64)], [np.ones(vocabulary, np.int64)]
     made = vocabulary
-    while len(seq) > 1:
-        key = seq[:-1] << np.uint64(32) | seq[1:]
-        bucket, inside = _bucket(key), ~last[:-1]
-        count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-        pairs = np.sort(key[(count >= least)[bucket] & inside])
-        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-        times = np.diff(np.append(edge, len(pairs)))
-        edge, times = edge[times >= least], times[times >= least]
-        if not len(edge):
+    # places where a pair may be frequent: all at first, then those of new symbols and of frequent pairs that had to wait; other pairs only get fewer
+    places = np.flatnonzero(~last[:-1]) if len(seq) > 1 else np.zeros(0, np.int64)
+    while len(places):
+        key = seq[places] << np.uint64(32) | seq[places + 1]
+        bucket = _bucket(key)
+        often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least
+        some = np.flatnonzero(often[bucket])
+        places, key, bucket = places[some], key[some], bucket[some]
+        pairs, times = np.unique(key, return_counts=True)
+        pairs, times = pairs[times >= least], times[times >= least]
+        if not len(pairs):
             break
-        pairs = pairs[edge[np.lexsort((edge, -times))]]
+        pairs = pairs[np.lexsort((pairs, -times))]
         # of chosen pairs in one bucket the most frequent stays; the others have their turn in a later round
         at_bucket = _bucket(pairs)
         ranks = np.full(1 << BUCKET_BITS, -1, np.int32)
         ranks[at_bucket[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        some = np.flatnonzero((ranks >= 0)[bucket] & inside)
-        rank = ranks[bucket[some]]
-        same = pairs[rank] == key[some]
-        places, number = _replaced(rank[same], some[same], len(seq))
+        rank = ranks[bucket]
+        same = np.flatnonzero((rank >= 0) & (pairs[rank] == key))
+        found, number = _replaced(rank[same], places[same], len(seq))
         # a pair that better ones left in one place waits; the best pair keeps half of its places at least, so rounds go on
-        often = np.bincount(number, minlength=len(pairs)) > 1
-        places, number = places[often[number]], number[often[number]]
+        enough = np.bincount(number, minlength=len(pairs)) > 1
+        found, number = found[enough[number]], number[enough[number]]
         used, symbol = np.unique(number, return_inverse=True)
         rule = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1)
         known = np.concatenate(length)
         rules.append(rule)
         length = [known, known[rule[:, 0]] + known[rule[:, 1]]]
-        seq[places] = made + symbol
-        last[places] = last[places + 1]
+        seq[found] = made + symbol
+        last[found] = last[found + 1]
         stays = np.ones(len(seq), bool)
-        stays[places + 1] = False
-        seq, last = seq[stays], last[stays]
+        stays[found + 1] = False
+        again = np.zeros(len(seq), bool)
+        again[places] = again[found] = True
+        again[found[found > 0] - 1] = True  # the symbol before a new one, or the one that went, whose place is before it now
+        gone = found[(found > 1)] - 1
+        again[gone[~stays[gone]] - 1] = True
+        seq, last, again = seq[stays], last[stays], again[stays]
+        places = np.flatnonzero(again & ~last)
+        places = places[places < len(seq) - 1]
         made += len(used)
     firsts = np.zeros(len(at), np.int64)
     firsts[1:][np.diff(at) > 0] = np.flatnonzero(last) + 1

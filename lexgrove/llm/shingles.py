@@ -36,7 +36,7 @@ def _learn(names: list[bytes]) -> list:
     return np.frombuffer(whole, "<u8").reshape(-1, 2).tolist()
 
 
-_MEMO = chunks.Memo(_learn, bounds, kind=np.uint64)
+_MEMO = chunks.Memo(_learn, bounds, 1 << 19, np.uint64)
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -314,7 +314,7 @@ def test_templates_are_those_of_a_count_by_host(spark, sf):
         if max(map(len, found)) >= max(least, share * len(whole[host])):
             want[host].add(h)
     docs = spark.createDataFrame(rows, PAGES)
-    assert {x["host"]: set(x["names"]) for x in html_text.templates(docs).collect()} == dict(want)
+    assert {x["site"]: set(x["names"]) for x in html_text.templates(docs).collect()} == {html_text.site_of(k): v for k, v in want.items()}
     got = {x["page_id"]: x for x in html_text.extract(docs).collect()}
     assert {i: got[1000 + i]["text"] for i in range(40) if len(got[1000 + i]["text"].split("\n")) != 4 or not got[1000 + i]["template_chars"]} == {}
     assert got[1035]["text"] == "copied text\nin four\nparts\nnumber 35"

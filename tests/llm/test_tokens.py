@@ -104,6 +104,20 @@ def test_a_shard_gives_back_its_ids_and_any_document(docs, unit):
         assert len(shard.symbols) < len(ids)
 
 
+@settings(max_examples=60, deadline=None)
+@given(docs=st.lists(st.lists(st.integers(0, 3), max_size=80), max_size=8))
+def test_no_pair_stays_frequent(docs):
+    ids, at = flat(docs)
+    seq, firsts, rules, _ = repair.compress(ids, at, 400)
+    count = collections.Counter()
+    for a, b in zip(firsts[:-1], firsts[1:]):
+        doc, i = seq[a:b].tolist(), 0
+        while i + 1 < len(doc):  # of a run of one symbol every other pair
+            count[doc[i], doc[i + 1]] += 1
+            i += 2 if i + 2 < len(doc) and doc[i] == doc[i + 1] == doc[i + 2] else 1
+    assert all(n < repair.LEAST for n in count.values()), count
+
+
 def test_a_damaged_shard_is_refused():
     blob = bytearray(repair.pack(np.arange(50), np.array([0, 50]), [1], 400))
     blob[-20] ^= 1
