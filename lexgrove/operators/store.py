@@ -1,4 +1,4 @@
-"""Cutting lineage."""
+"""Cutting lineage, and what may be broadcast."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The most rows, and bytes of their JSON, of a table that is broadcast.
+ROWS, BYTES = 1_000_000, 64_000_000
+
+
+def small(df: DataFrame, rows: int = ROWS) -> bool:
+    """Whether df has few rows, and few bytes in these."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return found["n"] <= rows and (found["size"] or 0) <= BYTES
 
 
 def kept(df: DataFrame) -> DataFrame:

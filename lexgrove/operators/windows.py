@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.operators.store import kept
+from lexgrove.operators.store import kept, small
 
 def carried(df: DataFrame, groups: list[str], order: list, value: Column, out: str) -> DataFrame:
     """The last value that isn't null up to each row."""
@@ -37,10 +37,9 @@ def capped(df: DataFrame, groups: list[str], order: list, n: int, total: str, ra
 
 def hash_sample(df: DataFrame, strata: list[str], key: str, sizes: DataFrame) -> DataFrame:
     """Of each stratum the rows of the least sha256(key), as many as sizes (strata, k) says."""
-    small = sizes.limit(10_001).count() <= 10_000  # rows of a stratum's columns and a number
     hashed = df.withColumn("_h", F.sha2(F.col(key).cast("string").cast("binary"), 256))
     w = Window.partitionBy(*strata).orderBy("_h")
-    return hashed.join(F.broadcast(sizes) if small else sizes, strata).withColumn("_r", F.row_number().over(w)).filter("_r <= k").drop("_h", "_r", "k")
+    return hashed.join(F.broadcast(sizes) if small(sizes) else sizes, strata).withColumn("_r", F.row_number().over(w)).filter("_r <= k").drop("_h", "_r", "k")
 
 
 def positions(df: DataFrame, order: list[str], out: str) -> DataFrame:

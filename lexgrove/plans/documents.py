@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
 from lexgrove.operators import gates, graph, joins, references, review
+from lexgrove.operators.store import small
 from lexgrove.plans import ladder, requirements
 from lexgrove.plans.registry import query, table
 
@@ -41,10 +42,14 @@ def quote_check(spark, d):
     words = F.split("q", " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))
     keyed = quotes.withColumn("_k", F.get(F.sort_array(inner), F.lit(0))["w"])
-    held = whole.withColumn("_k", F.explode(F.array_distinct(F.split("x", " "))))
-    long = keyed.filter("_k is not null").join(held, "_k").filter(X.quoted_in(F.col("q"), F.col("x"))).select("item_id", "doc_id")
-    short = keyed.filter("_k is null").select("item_id", "q")
-    return long.union(whole.join(F.broadcast(short), F.contains("x", "q")).select("item_id", "doc_id")) if not short.isEmpty() else long
+    long, short = keyed.filter("_k is not null").select("item_id", "_k"), keyed.filter("_k is null").select("item_id", "q")
+    asked = long.select("_k").distinct()
+    held = whole.select("doc_id", F.explode(F.array_distinct(F.split("x", " "))).alias("_k")).join(F.broadcast(asked) if small(asked) else asked, "_k", "left_semi")
+    pairs = held.join(long, "_k").select("doc_id", "item_id").distinct()
+    found = pairs.join(quotes, "item_id").join(whole, "doc_id").filter(X.quoted_in(F.col("q"), F.col("x"))).select("item_id", "doc_id")
+    if short.isEmpty():
+        return found
+    return found.union(whole.join(F.broadcast(short) if small(short) else short, F.contains("x", "q")).select("item_id", "doc_id"))
 
 
 @query("""
