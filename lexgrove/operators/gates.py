@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrove.functions.text import roman
 from lexgrove.operators.graph import reachable
+from lexgrove.operators.store import kept
 
 
 def failures(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -57,10 +61,64 @@ def build_gates(nodes: DataFrame, edges: DataFrame, manifest: DataFrame, norms:
 
 
 def publish(df: DataFrame, violations: DataFrame, path: str, partitions: list[str] | None = None) -> int:
-    """Write df if there is no violation, else raise with the first of them; the rows written."""
+    """Write df beside what is published if there is no violation, else raise with the first of them; then point to it. What was
+    published before stays until the new build is whole, and is what readers get if anything fails. Returns the rows written."""
     bad = violations.limit(20).collect()  # a report
     if bad:
         raise ValueError(f"not published: {[tuple(x) for x in bad]}")
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    spark, build = df.sparkSession, f"{path}/builds/{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(build)
+    n = spark.read.parquet(build).count()
+    spark.createDataFrame([(build, n)], "build string, n long").coalesce(1).write.mode("append").json(f"{path}/current")
+    return n
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What publish last pointed to."""
+    last = spark.read.schema("build string, n long").json(f"{path}/current").select("build", F.col("_metadata.file_modification_time").alias("t")).agg(F.max_by("build", "t").alias("build")).first()
+    return spark.read.parquet(last["build"])
+
+
+def post_load(norms: DataFrame, expected: int, assertions: DataFrame, expected_assertions: int, edges: DataFrame, build_id: str) -> DataFrame:
+    """(gate, n) of the gates P1 to P5 on what was written: counts as they were sent, accepted norms with a span, accepted assertions with
+    evidence on both sides, and no edge of another build."""
+    accepted = F.col("judge_verdict") == "accepted"
+    n = norms.agg(F.abs(F.count("*") - expected).alias("P1"), F.count(F.when(accepted & (F.coalesce("source_span_id", F.lit("")) == ""), 1)).alias("P3"))
+    sided = (F.coalesce(F.size("source_evidence_span_ids"), F.lit(0)) > 0) & (F.coalesce(F.size("target_evidence_span_ids"), F.lit(0)) > 0)
+    a = assertions.agg(F.abs(F.count("*") - expected_assertions).alias("P2"), F.count(F.when(accepted & ~sided, 1)).alias("P4"))
+    e = edges.agg(F.count(F.when(~F.col("build_id").eqNullSafe(F.lit(build_id)), 1)).alias("P5"))
+    rows = [x.unpivot([], [x.columns[0]] if len(x.columns) == 1 else x.columns, "gate", "n") for x in (n, a, e)]
+    return rows[0].union(rows[1]).union(rows[2]).select("gate", F.col("n").cast("long").alias("n")).orderBy("gate")
+
+
+def body_gates(elems: DataFrame, paragraphs: DataFrame, root: str, articles: int) -> DataFrame:
+    """(gate, id) of a main body's elements: as many articles as there must be, paragraph identifiers of three digits each that name an
+    existing paragraph, and no numbered point outside a paragraph."""
+    live = elems.filter(~F.array_contains("tags", "QUOT.S"))
+    count = live.agg(F.count(F.when(F.col("tag") == "ARTICLE", 1)).alias("n")).filter(F.col("n") != articles).select(F.lit("articles").alias("gate"), F.col("n").cast("string").alias("id"))
+    name = F.col("attrs")["IDENTIFIER"]
+    parts = F.split(name, r"\.")
+    parag = live.filter("tag = 'PARAG'").select(F.coalesce(name, F.lit("")).alias("name"), F.concat(F.lit(f"{root}:article-"), F.get(parts, F.lit(0)).try_cast("int").cast("string"), F.lit(":paragraph-"), F.get(parts, F.lit(1)).try_cast("int").cast("string")).alias("id"))
+    shape = parag.filter(~F.col("name").rlike(r"^[0-9]{3}\.[0-9]{3}$")).select(F.lit("identifier").alias("gate"), F.col("name").alias("id"))
+    lost = parag.filter("id is not null").join(paragraphs.select("id"), "id", "left_anti").select(F.lit("paragraph").alias("gate"), "id")
+    stray = live.filter((F.col("tag") == "NP") & ~F.array_contains("tags", "PARAG") & F.array_contains("tags", "ARTICLE")).select(F.lit("stray_point").alias("gate"), F.col("elem").cast("string").alias("id"))
+    return count.union(shape).union(lost).union(stray)
+
+
+def annex_gates(annexes: DataFrame) -> DataFrame:
+    """(gate, id) of annexes (n, numeral) in publication order: the n-th bears the n-th numeral."""
+    return annexes.filter(~roman(F.col("n")).eqNullSafe(F.col("numeral"))).select(F.lit("annex_order").alias("gate"), F.coalesce("numeral", F.lit("")).alias("id"))
+
+
+def release(assertions: DataFrame, decisions: DataFrame, edges: DataFrame, chain: DataFrame, path: str, build_id: str) -> DataFrame:
+    """Decisions, gate, chain id, publication and the gates after it: assertions with human decisions laid over are published if accepted
+    ones have evidence on both sides; what was written is held against what was sent. Returns the gates after the load with the chain id."""
+    from lexgrove.operators.review import chain_id, decided_over
+
+    decided = kept(decided_over(assertions, decisions, "id"))
+    one_sided = (F.coalesce(F.size("source_evidence_span_ids"), F.lit(0)) < 1) | (F.coalesce(F.size("target_evidence_span_ids"), F.lit(0)) < 1)
+    sent = publish(decided, decided.filter((F.col("judge_verdict") == "accepted") & one_sided).select(F.lit("G4"), "id"), path)
+    spark = assertions.sparkSession
+    norms = spark.createDataFrame([], "judge_verdict string, source_span_id string")
+    return post_load(norms, 0, published(spark, path), sent, edges, build_id).withColumn("chain_id", F.lit(chain_id(chain, "role", "sha").first()[0]))

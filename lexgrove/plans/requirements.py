@@ -44,7 +44,27 @@ def canonical_actor(raw: Column) -> Column:
     """(actor, method). The name's words are taken without a leading article and without what follows an "of" that leads, but for fillers, to
     AI systems or models; synonyms and plurals are folded."""
     words = F.filter(F.split(F.lower(raw), r"[ \t\r\n]+"), lambda x: x != "")
-    words = F.when(F.get(words, F.lit(0)).isin("the", "a", "an") & (F.size(words) > 1), F.slice(words, 2, F.size(words))).otherwise(words)
+    text = _once(words, lambda w: _once(F.when(F.get(w, F.lit(0)).isin("the", "a", "an") & (F.size(w) > 1), F.slice(w, 2, F.size(w))).otherwise(w), _name))
+    synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    known = lambda c: F.when(c.isin(*ACTORS), c)
+
+    def resolved(t: Column) -> Column:
+        bare = F.replace(t, F.lit(" "), F.lit("_"))
+        single = F.when(bare.endswith("s"), F.substring(bare, F.lit(1), F.length(bare) - 1))
+        actor = F.when(~t.isin(*AMBIGUOUS), F.coalesce(synonyms[t], known(bare), known(single)))
+        return F.struct(actor.alias("actor"), F.when(t.isin(*AMBIGUOUS), "ambiguous").when(actor.isNull(), "unresolved").otherwise("rule").alias("method"))
+
+    empty = F.coalesce(F.trim(raw), F.lit("")) == ""
+    return F.when(empty, F.struct(F.lit(None).cast("string").alias("actor"), F.lit("empty").alias("method"))).otherwise(_once(text, resolved))
+
+
+def _once(value: Column, function) -> Column:
+    """function(value), where value is computed once however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _name(words: Column) -> Column:
+    """The words up to an "of" that leads to AI systems or models."""
 
     def leads(i: Column) -> Column:
         told = F.filter(F.slice(words, i + 2, F.size(words)), lambda x: ~x.isin(*FILLERS))
@@ -52,16 +72,7 @@ def canonical_actor(raw: Column) -> Column:
         return (F.get(words, i) == "of") & (F.get(told, F.lit(0)) == "ai") & (what.startswith("system") | what.startswith("model"))
 
     place = F.filter(F.sequence(F.lit(0), F.size(words)), leads)
-    name = F.array_join(F.slice(words, 1, F.coalesce(F.get(place, F.lit(0)), F.size(words))), " ")
-    text = F.btrim(name, F.lit(" ,."))
-    synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    bare = F.replace(text, F.lit(" "), F.lit("_"))
-    single = F.when(bare.endswith("s"), F.substring(bare, F.lit(1), F.length(bare) - 1))
-    known = lambda c: F.when(c.isin(*ACTORS), c)
-    actor = F.when(text.isin(*AMBIGUOUS), F.lit(None)).otherwise(F.coalesce(synonyms[text], known(bare), known(single)))
-    empty = F.coalesce(F.trim(raw), F.lit("")) == ""
-    method = F.when(empty, "empty").when(text.isin(*AMBIGUOUS), "ambiguous").when(actor.isNull(), "unresolved").otherwise("rule")
-    return F.struct(F.when(~empty, actor).alias("actor"), method.alias("method"))
+    return F.btrim(F.array_join(F.slice(words, 1, F.coalesce(F.get(place, F.lit(0)), F.size(words))), " "), F.lit(" ,."))
 
 
 def acts(explicit: Column, inferred: Column, actor: str) -> Column:
