@@ -1,4 +1,4 @@
 """All queries of the library's own operators."""
 
-from lexgrove.plans import answers, documents, order, scores  # noqa: F401
+from lexgrove.plans import answers, documents, order, scores, surface  # noqa: F401
 from lexgrove.plans.registry import ORACLES, QUERIES  # noqa: F401
