@@ -6,8 +6,8 @@ distinct queries scan the codes: a cell's middle and width bound the product fro
 greatest lower bound goes; the rest is read exactly, in the order of the upper bounds, until no bound reaches the results.
 
 Defined results: rows with null vec_id, or a vector that is null, empty, of another length than the most usual one (of those, the
-shortest), or holds null or non-finite components, take no part; a query skips all rows of its own vec_id; ties go to the smaller
-vec_id; fewer candidates give fewer ranks; an empty table gives no rows. Products must fit in 53 bits.
+shortest), or holds null or non-finite components, take no part; a query skips all rows of its own vec_id; rows that agree in
+vec_id and vector are one, and of several vectors of one vec_id the least is asked and each may be found; ties go to the smaller vec_id; fewer candidates give fewer ranks; an empty table gives no rows. Products must fit in 53 bits.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def search(df: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     dim = usual["dim"] if usual else 1
     rows = every_row.filter(F.col("dim") == dim)
     least = Window.partitionBy("vec").orderBy("vec_id")
-    members = materialise(rows.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= k).select("vec", "vec_id", "r"), "va-members")
+    members = materialise(rows.select("vec", "vec_id").distinct().withColumn("r", F.row_number().over(least)).filter(F.col("r") <= k).select("vec", "vec_id", "r"), "va-members")
     classes = members.filter("r = 1").select(F.col("vec_id").alias("cid"), "vec")
     classes = materialise(classes, "va-classes")
     low, width = bounds(classes, dim)

@@ -24,6 +24,16 @@ def test_exact_search_with_odd_rows(spark):
     assert sorted(map(tuple, va_file.search(df).collect())) == brute(rows, 8)
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.integers(-3, 4, 4).astype(float).tolist()) for i in range(60)]
+    rows += [(5, rows[5][1])] * 30 + [(6, rows[5][1]), (6, [9.0, 9.0, 9.0, 9.0]), (100, rows[0][1]), (100, rows[0][1])]
+    names = ("vec", "qid", "cid", "upper", "part", "r", "dim", "other")
+    df = spark.createDataFrame([(i, v, 0, *range(len(names))) for i, v in rows], SCHEMA + "".join(f", {x} long" for x in names)).repartition(3)
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    assert sorted(map(tuple, va_file.search(df).collect())) == brute(once, 4)
+
+
 def test_few_or_no_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], 0)], SCHEMA)
     assert va_file.search(one).count() == 0
