@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +50,13 @@ def quoted_in(quote: Column, text: Column) -> Column:
     return (F.length(collapsed(quote)) > 0) & F.contains(collapsed(text), collapsed(quote))
 
 
-#: Shapes of credentials.
-SECRETS = (r"sk-[A-Za-z0-9_-]{8,}", r"t4a_[A-Za-z0-9_-]{8,}", r"Bearer [A-Za-z0-9._-]{8,}")
+#: Shapes of credentials. A deployment's own key prefixes are given as further shapes.
+SECRETS = (r"sk-[A-Za-z0-9_-]{8,}", r"Bearer [A-Za-z0-9._-]{8,}")
+
+
+def key_shape(prefix: str) -> str:
+    """The shape of keys that begin with this prefix."""
+    return re.escape(prefix) + "[A-Za-z0-9_-]{8,}"
 
 
 def scrubbed(text: Column, shapes: tuple[str, ...] = SECRETS) -> Column:

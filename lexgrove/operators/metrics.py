@@ -46,7 +46,7 @@ def selective(df: DataFrame, gold: str, predicted: str, abstained: Column) -> Da
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Raw agreement and Cohen's kappa of two annotators: (n p_o - sum of products of marginals) over the same with n**2; 1.0 if chance
-    agreement is certain. The marginals are joined by label."""
+    agreement is certain. The marginals are joined by label. No common item is an error."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = both.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     left = cells.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("na"))
@@ -54,8 +54,9 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     chance = left.join(right, "label").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("chance"))
     seen = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("n_agreed"))
     n, agreed, c = F.col("n_items"), F.col("n_agreed"), F.col("chance")
+    n = F.when(n > 0, n).otherwise(F.raise_error(F.lit("no item that both have labelled")).cast("long"))
     kappa = F.when(n * n == c, F.lit(1.0)).otherwise(ratio(n * agreed - c, n * n - c))
-    return seen.join(F.broadcast(chance)).select("n_items", "n_agreed", ratio(agreed, n).alias("raw_agreement"), kappa.alias("kappa"))  # one row each
+    return seen.join(F.broadcast(chance)).select(n.alias("n_items"), "n_agreed", ratio(agreed, n).alias("raw_agreement"), kappa.alias("kappa"))  # one row each
 
 
 def completeness(df: DataFrame, gold: str, predicted: str) -> DataFrame:

@@ -53,11 +53,11 @@ def quote_check(spark, d):
 
 
 @query("""
-select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 't4a_[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'Bearer [A-Za-z0-9._-]{8,}', '[redacted]', 'g')) as digest,
-  contains(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 't4a_[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'Bearer [A-Za-z0-9._-]{8,}', '[redacted]', 'g'), '[redacted]') as scrubbed from documents
+select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'key_[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'Bearer [A-Za-z0-9._-]{8,}', '[redacted]', 'g')) as digest,
+  contains(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'key_[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), 'Bearer [A-Za-z0-9._-]{8,}', '[redacted]', 'g'), '[redacted]') as scrubbed from documents
 """)
 def secret_scrub(spark, d):
-    clean = X.scrubbed(F.col("text"))
+    clean = X.scrubbed(F.col("text"), (X.SECRETS[0], X.key_shape("key_"), X.SECRETS[1]))
     return table(spark, d, "documents").select("doc_id", X.digest(clean).alias("digest"), F.contains(clean, F.lit("[redacted]")).alias("scrubbed"))
 
 

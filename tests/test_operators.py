@@ -58,6 +58,8 @@ def test_completeness_and_hallucination(spark):
 def test_kappa(spark, cells, kappa):
     rows = [k for k, n in cells.items() for _ in range(n)]
     assert metrics.agreement(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()["kappa"] == pytest.approx(kappa)
+    with pytest.raises(Exception, match="no item"):
+        metrics.agreement(spark.createDataFrame([("x", None)], "a string, b string"), "a", "b").collect()
 
 
 def test_judge_errors(spark):
