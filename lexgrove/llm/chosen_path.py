@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import chunks, shingles
-from lexgrove.llm.common import map_arrow, materialise, with_few
+from lexgrove.llm.common import give_back, map_arrow, materialise, with_few
 from lexgrove.llm.graph import components
 
 TREES = 10
@@ -174,6 +174,7 @@ def neighbours(leaves: DataFrame, share: float) -> DataFrame:
                 forest = Forest(len(node))
                 kept = [(x, y) for x, y in zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True) if cls[x] != cls[y] and forest.join(x, y)]
                 yield pa.RecordBatch.from_arrays([pa.array([cls[x] for x, _ in kept], pa.binary()), pa.array([cls[y] for _, y in kept], pa.binary())], names=["a", "b"])
+        give_back()
 
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return leaves.select("node", "cls", "sketch").repartition(n, "node").sortWithinPartitions("node").mapInArrow(make, "a binary, b binary")
@@ -246,6 +247,7 @@ def links(grouped: DataFrame, k: int, percent: int) -> DataFrame:
             if held:
                 close()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+        give_back()
 
     n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return grouped.select("node", "cls", F.encode("text", "UTF-8").alias("text"), *(["asked"] if some else [])).repartition(n, "node").sortWithinPartitions("node").mapInArrow(make, "a binary, b binary")

@@ -162,7 +162,9 @@ class Spans:
 
 class Memo:
     """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time. A table of hashes, a power of two and at most half
-    full, leads to the chunks' rows."""
+    full, leads to the chunks' rows. A worker holds one full memo at a time: the one that it used before is emptied when it turns to another."""
+
+    latest: Memo | None = None
 
     def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 20, kind=np.int32):
         self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
@@ -233,6 +235,10 @@ class Memo:
 
     def look(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, first): the row of each chunk, and for each text the index of its first chunk."""
+        if Memo.latest is not self:
+            if Memo.latest is not None:
+                Memo.latest.clear()
+            Memo.latest = self
         start, end, first = self.bounds(data, at)
         spans = Spans(np.concatenate([data, np.zeros(8, np.uint8)]), start, end - start)
         h = spans.hashes()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,5 +88,13 @@ def map_arrow(df: DataFrame, make, schema) -> DataFrame:
         call = make()
         for batch in batches:
             yield from call(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """At a task's end: return to the system what it no longer holds, as Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)

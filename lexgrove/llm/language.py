@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import chunks
-from lexgrove.llm.common import map_arrow, materialise, with_few, with_small
+from lexgrove.llm.common import give_back, map_arrow, materialise, with_few, with_small
 
 BUCKETS = 4096
 #: The trigrams that make a declared language a class, those of the whole that each class's are smoothed with, and the declared
@@ -88,6 +88,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                             sums[who[k]] = np.zeros(BUCKETS)
                         sums[who[k]] += counts[k - i]
         yield from flush()
+        give_back()
 
     cells = rows.select("declared", "text").mapInArrow(run, "declared string, cell int, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
     cells = materialise(cells, "language-trigrams")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexgrove.llm import chunks, encoders
-from lexgrove.llm.common import map_arrow, materialise
+from lexgrove.llm.common import give_back, map_arrow, materialise
 
 WINDOW = 2048
 SHARD_IDS = 1 << 20
@@ -278,6 +278,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, shard_i
                     size = 0
         if held:
             yield from flush()
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexgrove.llm import chunks, encoders
-from lexgrove.llm.common import map_arrow, running_sum, shared_dir, with_small
+from lexgrove.llm.common import give_back, map_arrow, running_sum, shared_dir, with_small
 
 MAGIC = 0x3252_5041_4952_584C
 #: Symbols take three bytes. Ids of a shard, least count of a replaced pair, and buckets of the first count.
@@ -210,6 +210,7 @@ def write_shards(docs: DataFrame, path: str, end: int, target: str, shard_ids: i
                     yield from flush()
                     held = 0
         yield from flush()
+        give_back()
 
     ordered.mapInArrow(run, schema).write.parquet(target)
 
