@@ -74,4 +74,47 @@ ranked as (select *, cast(row_number() over (partition by query_id order by scor
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
 
-ORACLES = {"op7_top_k": TOP_K, "op2_mixing": MIXING, "op10_near_duplicates": NEAR_DUPLICATES}
+MERKLE = r"""
+with recursive base as (
+  select doc_id, coalesce('=' || lang, '') as tree,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered,
+    list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) as crc
+  from documents),
+leaves as (
+  select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when xor(crc, 4294967295) % 3 = 0 then sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) end as other
+  from base),
+numbered as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by tree) as n from leaves),
+nodes(tree, level, place, digest, n) as (
+  select tree, 0, place, leaf, n from numbered
+  union all
+  select tree, level + 1, place // 8, sha256(string_agg(digest, '' order by place)), (n + 7) // 8 from nodes where n > 1 group by tree, level, place // 8, n),
+subroots as (select tree, level as height, digest, row_number() over (order by tree) - 1 as place, count(*) over () as n from nodes where n = 1),
+tops(level, place, digest, n) as (
+  select 0, place, digest, n from subroots
+  union all
+  select level + 1, place // 8, sha256(string_agg(digest, '' order by place)), (n + 7) // 8 from tops where n > 1 group by level, place // 8, n),
+every as (
+  select tree, level, place, digest, n from nodes where n > 1
+  union all
+  select s.tree, s.height + t.level, t.place, t.digest, t.n from tops t, subroots s where t.n > 1),
+sides as (
+  select a.tree, a.level, a.place, coalesce(string_agg(b.digest, '' order by b.place) filter (b.place < a.place), '') as l,
+    coalesce(string_agg(b.digest, '' order by b.place) filter (b.place > a.place), '') as r
+  from every a join every b on a.tree = b.tree and a.level = b.level and a.place // 8 = b.place // 8 group by a.tree, a.level, a.place),
+walk(doc_id, tree, place, leaf, level, spot, acc, proof) as (
+  select doc_id, tree, place, leaf, 0, place, coalesce(other, leaf), '' from numbered
+  union all
+  select w.doc_id, w.tree, w.place, w.leaf, w.level + 1, case when w.level + 1 = s.height then s.place else w.here // 8 end, sha256(x.l || w.acc || x.r), w.proof || x.l || x.r
+  from (select w.*, case when w.level = s.height then s.place else w.spot end as here from walk w join subroots s on w.tree = s.tree) w
+  join subroots s on w.tree = s.tree join sides x on x.tree = w.tree and x.level = w.level and x.place = w.here),
+ends as (select *, row_number() over (partition by tree, place order by level desc) as last from walk)
+select e.doc_id, e.leaf, s.digest as subroot, t.digest as root, sha256(e.proof) as proof_sha256, e.acc as folded_root, e.acc = t.digest as verified,
+  case when e.tree <> '' then substring(e.tree, 2) end as lang, e.place
+from ends e join subroots s on e.tree = s.tree, (select digest from tops where n = 1) t where e.last = 1
+"""
+
+ORACLES = {"op7_top_k": TOP_K, "op2_mixing": MIXING, "op10_near_duplicates": NEAR_DUPLICATES, "op12_manifest": MERKLE}
