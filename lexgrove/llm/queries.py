@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import bpe_count, chosen_path, fingerprints, html_text, language, merkle, mixing, packing, quality, repair, va_file, whitening
+from lexgrove.llm import bpe_count, chosen_path, fingerprints, html_text, language, merkle, mixing, packing, quality, repair, secrets, va_file, whitening
 from lexgrove.llm.common import table
 from lexgrove.llm.encoders import tokenizer_path
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_fingerprints": lambda spark, d: fingerprints.fingerprints(table(spark, d, "documents")),
     "op9_main_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op10_near_duplicates": lambda spark, d: chosen_path.near_duplicates(table(spark, d, "documents")),
+    "op11_secrets": lambda spark, d: secrets.digest(table(spark, d, "documents")),
     "op12_manifest": lambda spark, d: merkle.verify(table(spark, d, "documents")),
     "op13_whitening": lambda spark, d: whitening.whitened(table(spark, d, "embeddings")),
     "language_id_pages": lambda spark, d: language.pages(table(spark, d, "pages")),
