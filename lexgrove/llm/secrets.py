@@ -248,9 +248,9 @@ def word_costs(docs: DataFrame, found: DataFrame, needed: DataFrame) -> DataFram
     """(word, cost) of needed words (word) that the texts hold outside of the found values."""
     split = lambda x: F.explode(F.split(F.lower(x), "[^a-z]+"))
     fits = F.length("word").between(SHORTEST, LONGEST)
-    # what isn't needed is counted under one name, as it is part of the whole
-    said = with_small(docs.select(split(F.col("text")).alias("word")).filter(fits), needed.withColumn("wanted", F.lit(True)), "word", "left")
-    counts = materialise(said.groupBy(F.when(F.col("wanted"), F.col("word")).alias("word")).agg(F.count("*").alias("n")), "secret-words")
+    # each task counts its words before any is shuffled; what isn't needed is counted under one name, as it is part of the whole
+    said = docs.select(split(F.col("text")).alias("word")).filter(fits).groupBy("word").agg(F.count("*").alias("n")).join(needed.withColumn("wanted", F.lit(True)), "word", "left")
+    counts = materialise(said.groupBy(F.when(F.col("wanted"), F.col("word")).alias("word")).agg(F.sum("n").alias("n")), "secret-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     inside = found.select(split(F.col("value")).alias("word")).filter(fits).groupBy("word").agg(F.count("*").alias("within"))
     left = counts.filter("word is not null").join(inside, "word", "left").withColumn("n", F.col("n") - F.coalesce("within", F.lit(0)))
