@@ -23,6 +23,23 @@ def visible(fragment: Column) -> Column:
     return collapsed(bare)
 
 
+def normalised(value: Column) -> Column:
+    """A free-text token as it is compared: characters of category C dropped, compatibility forms resolved (NFKC), trimmed, case-folded; null if
+    nothing is left. ASCII stays in the JVM; only other values go through Arrow, a column at a time."""
+    bare = F.regexp_replace(value, r"\p{C}", "")
+    plain = ~bare.rlike(r"[^\x00-\x7F]")
+
+    @F.pandas_udf("string")
+    def folded(s):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pc.utf8_normalize(pa.Array.from_pandas(s, type=pa.string()), "NFKC").to_pandas()
+        return whole.str.strip().str.casefold()
+
+    return F.nullif(F.when(plain, F.lower(F.trim(bare))).otherwise(folded(F.when(~plain, bare))), F.lit(""))
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 

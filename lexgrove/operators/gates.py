@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import roman
+from lexgrove.operators import publication
 from lexgrove.operators.graph import reachable
 from lexgrove.operators.store import kept
 
@@ -61,23 +60,14 @@ def build_gates(nodes: DataFrame, edges: DataFrame, manifest: DataFrame, norms:
 
 
 def publish(df: DataFrame, violations: DataFrame, path: str, partitions: list[str] | None = None) -> int:
-    """Write df beside what is published if there is no violation, else raise with the first of them; then point to it. What was
-    published before stays until the new build is whole, and is what readers get if anything fails. Returns the rows written."""
-    bad = violations.limit(20).collect()  # a report
-    if bad:
-        raise ValueError(f"not published: {[tuple(x) for x in bad]}")
-    spark, build = df.sparkSession, f"{path}/builds/{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(build)
-    n = spark.read.parquet(build).count()
-    spark.createDataFrame([(build, n)], "build string, n long").coalesce(1).write.mode("append").json(f"{path}/current")
-    return n
+    """Publish df as the next version if there is no violation, else raise with the first of them (see publication). Returns the rows written."""
+    version = publication.publish({"data": df}, violations, path, {"data": partitions} if partitions else None)
+    return publication.versions(df.sparkSession, path).filter(F.col("version") == version).first()["tables"]["data"]
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """What publish last pointed to."""
-    last = spark.read.schema("build string, n long").json(f"{path}/current").select("build", F.col("_metadata.file_modification_time").alias("t")).agg(F.max_by("build", "t").alias("build")).first()
-    return spark.read.parquet(last["build"])
+    """What was published last."""
+    return publication.read(spark, path, "data")
 
 
 def post_load(norms: DataFrame, expected: int, assertions: DataFrame, expected_assertions: int, edges: DataFrame, build_id: str) -> DataFrame:

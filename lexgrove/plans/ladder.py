@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.functions.text import normalised
+
 # Fixed values of the regulation's rules.
 ROOT = "eu-ai-act"
 #: flag -> (point of Article 5(1), the fact that lifts the ban, its lifting value)
@@ -87,7 +89,7 @@ def points(flags: Facts, domain: Column) -> dict[int, Column]:
 def classify(systems: DataFrame, flags: str = "flags", domain: str = "domain", autonomy: str = "autonomy", deployer: str = "deployer") -> DataFrame:
     """systems with risk_category, status, confidence, annex_iii_category, article_6_3_exception_candidate, cited, missing, fria."""
     f, d = Facts(flags), Facts(deployer)
-    area = F.lower(F.trim(F.regexp_replace(F.col(domain), r"\p{C}", "")))
+    area = normalised(F.col(domain))
     hits, pending = [], []
     for flag, (point, lift, value) in PROHIBITED.items():
         lifted = F.lit(False) if lift is None else (f.yes(lift) if value else f.no(lift))

@@ -147,7 +147,7 @@ def audit_merge(spark, d):
 @query("""
 with pools as (select 0 as pool, 'norm' as kind, 'o' || o_orderkey as item_id, o_orderpriority as text from orders where o_orderstatus = 'P'
   union all select 1, 'alignment', 'e' || event_id, event_type || '  ' || props from events where event_type = 'error'
-  union all select 2, 'crossref', 'd' || doc_id, text from documents where n_chars % 50 = 0),
+  union all select 2, 'crossref', 'd' || doc_id, text from documents where text like '%@%' or source = 'src3'),
 t as (select pool, kind, item_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ') as x from pools)
 select pool, kind, item_id, substring(x, 1, 280) as text, length(x) > 280 as truncated from t where not (item_id in (select 'o' || o_orderkey from orders where o_orderkey % 3 = 0))
 """)
@@ -156,7 +156,7 @@ def review_queue(spark, d):
     key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string")).alias("item_id")
     norms = orders.filter("o_orderstatus = 'P'").select(key("o", "o_orderkey"), F.col("o_orderpriority").alias("text"))
     alignments = table(spark, d, "events").filter("event_type = 'error'").select(key("e", "event_id"), F.concat_ws("  ", "event_type", "props").alias("text"))
-    references = table(spark, d, "documents").filter("n_chars % 50 = 0").select(key("d", "doc_id"), "text")
+    references = table(spark, d, "documents").filter("text like '%@%' or source = 'src3'").select(key("d", "doc_id"), "text")
     decided = orders.filter("o_orderkey % 3 = 0").select(key("o", "o_orderkey"))
     return review.pending([("norm", norms), ("alignment", alignments), ("crossref", references)], decided)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import excerpt
+from lexgrove.streaming.logs import last_of, ordered
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +72,9 @@ def events(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoint lines (strategy, item_id, ...), of which the last of each strategy and item counts."""
-    lines = spark.read.schema("strategy string, item_id string, answer_text string, citations array<string>, risk_category string, error string, latency_s double").json(path)
-    placed = lines.withColumn("_n", F.monotonically_increasing_id())
-    last = Window.partitionBy("strategy", "item_id").orderBy(F.desc("_n"))
-    return placed.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_n", "_r")
+    """Checkpoint lines (strategy, item_id, ...), of which the last of each strategy and item counts, however the files are split."""
+    lines = ordered(spark, path, "strategy string, item_id string, answer_text string, citations array<string>, risk_category string, error string, latency_s double")
+    return last_of(lines, ["strategy", "item_id"])
 
 
 GOLD = "id string, kind string, question string, system_text string, gold map<string,string>, gold_citations array<string>"
