@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import chunks, shingles
-from lexgrove.llm.common import give_back, map_arrow, materialise, with_few
+from lexgrove.llm.common import columns, give_back, map_arrow, materialise, with_few
 from lexgrove.llm.graph import components
 
 TREES = 10
@@ -330,7 +330,7 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = with_few(named, gone.withColumnRenamed("h", h), ["doc_id", h], "left_anti")
     again = materialise(found.filter("doc_id = first.doc_id and h = first.h").groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", F.col("h").alias(h)), "path-again")
     if again.isEmpty():
-        return left.select(docs.columns)
-    row = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+        return left.select(columns(docs))
+    row = F.struct(*columns(docs))
     once = with_few(left, again, ["doc_id", h], "left_semi").groupBy("doc_id", h).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
-    return with_few(left, again, ["doc_id", h], "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return with_few(left, again, ["doc_id", h], "left_anti").select(columns(docs)).union(once.select(columns(docs)))

@@ -3,7 +3,8 @@
 A chunk is a run of ASCII white space with the run of other bytes after it, or a mark of punctuation with what follows it up
 to white space. No token of the public vocabularies reaches over the start of a chunk, so a text's tokens are its chunks'
 tokens in turn. The memo finds a chunk by a hash of its bytes and then compares the bytes, so no two chunks are ever taken for
-one another. It holds `most` chunks and starts afresh beyond that, so a worker's memory is bounded by that and by the text at hand.
+one another. It holds at most `most` chunks and BYTES bytes of names and values and starts afresh beyond that; chunks of more than LONG
+bytes (texts without spaces, encoded data) are known for the texts at hand alone. So a worker's memory is bounded by that and by the texts at hand.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import xxhash
 
 #: Bytes that are looked at together; a longer text is looked at alone.
 STEP = 1 << 20
+#: Bytes of names and values that a memo keeps, and bytes of a chunk beyond which it isn't kept.
+BYTES = 64 << 20
+LONG = 64
 #: Words of eight bytes that are hashed and compared by whole arrays; what is beyond, chunk by chunk.
 WIDE = 32
 
@@ -172,6 +176,7 @@ class Memo:
 
     def clear(self) -> None:
         self.size = self.used = 0
+        self.kept: tuple[int, int] | None = None
         self.start, self.count, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
         self.pool = np.zeros(4096, self.kind)
         self.names = Spans(np.zeros(4096, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64))
@@ -211,23 +216,30 @@ class Memo:
             slot[left] = (slot[left] + 1) & self.mask
         return out
 
-    def put(self, names: list[bytes], h: np.ndarray, values: list) -> None:
-        """Add new names, each with its integers."""
+    def append(self, values: list) -> np.ndarray:
+        """Rows that hold integers, with no names yet."""
         count = np.fromiter(map(len, values), np.int32, len(values))
         flat = np.fromiter(itertools.chain.from_iterable(values), self.kind, int(count.sum()))
-        rows, end = np.arange(self.size, self.size + len(names)), self.size + len(names)
+        rows, end = np.arange(self.size, self.size + len(values)), self.size + len(values)
         self.pool = _grown(self.pool, self.used + len(flat))
         self.start, self.count, self.hash = (_grown(x, end) for x in (self.start, self.count, self.hash))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.start[rows], self.count[rows], self.hash[rows] = self.used + np.cumsum(count) - count, count, h
+        self.start[rows], self.count[rows] = self.used + np.cumsum(count) - count, count
+        self.used += len(flat)
+        self.size = end
+        return rows
+
+    def put(self, names: list[bytes], h: np.ndarray, values: list) -> None:
+        """Add new names, each with its integers."""
+        rows = self.append(values)
+        end = self.size
+        self.hash[rows] = h
         raw, length = np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
         kept = Spans(_grown(self.names.data, self.named + len(raw) + 8), _grown(self.names.start, end), _grown(self.names.length, end))
         kept.data[self.named : self.named + len(raw)] = raw
         kept.start[rows], kept.length[rows] = self.named + np.cumsum(length) - length, length
         self.names = kept
         self.named += len(raw)
-        self.used += len(flat)
-        self.size = end
         if 2 * end > self.mask + 1:
             self.table(2 * end)
         else:
@@ -239,20 +251,38 @@ class Memo:
             if Memo.latest is not None:
                 Memo.latest.clear()
             Memo.latest = self
+        if self.kept is not None:  # what the last texts alone needed goes
+            self.size, self.used = self.kept
+            self.kept = None
+            self.pool = _trimmed(self.pool, max(self.used, BYTES // self.pool.itemsize))
         start, end, first = self.bounds(data, at)
-        spans = Spans(np.concatenate([data, np.zeros(8, np.uint8)]), start, end - start)
-        h = spans.hashes()
-        left, rows, afresh = np.arange(len(start)), np.full(len(start), -1, np.int64), False
+        length = end - start
+        brief = np.flatnonzero(length <= LONG)
+        spans = Spans(np.concatenate([data, np.zeros(8, np.uint8)]), start, length)
+        rows = np.full(len(start), -1, np.int64)
+        self.find_or_learn(spans, spans.hashes(), brief, rows, data, start, end)
+        if len(brief) < len(start):
+            long, known = np.flatnonzero(length > LONG), {}
+            which = [known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+            self.kept = self.size, self.used
+            rows[long] = self.append(self.learn(list(known)))[which]
+        return rows, first
+
+    def find_or_learn(self, spans: Spans, h: np.ndarray, left: np.ndarray, rows: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Enter the rows of chunks that may be kept; h holds hashes of all chunks."""
+        every, afresh = left, False
         while True:
             rows[left] = self.find(spans, h, left)
             left = left[rows[left] < 0]
             if not len(left):
-                return rows, first
+                return
             # one of each hash; different chunks of one hash come in the next round
             new = left[np.unique(h[left], return_index=True)[1]]
-            if self.size + len(new) > self.most and self.size and not afresh:
+            size = self.named + self.used * self.pool.itemsize + int(spans.length[new].sum()) * (1 + self.pool.itemsize)
+            if (self.size + len(new) > self.most or size > BYTES) and self.size and not afresh:
                 self.clear()
-                left, rows, afresh = np.arange(len(start)), np.full(len(start), -1, np.int64), True
+                left, afresh = every, True
+                rows[every] = -1
                 continue
             names = [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
             self.put(names, h[new], self.learn(names))
@@ -272,5 +302,9 @@ class Memo:
         return np.diff(np.concatenate([[0], np.cumsum(self.pool[self.start[rows]], dtype=np.int64)])[first])
 
 
+def _trimmed(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) <= 2 * n else x[:n].copy()
+
+
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])

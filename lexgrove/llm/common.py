@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of bytes that are none of the six ASCII spaces.
@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by their quoted names, as names may hold dots."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in df.columns]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: later jobs neither recompute it nor depend on an executor that may be lost."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm import chunks
-from lexgrove.llm.common import give_back, map_arrow, materialise, with_few, with_small
+from lexgrove.llm.common import columns, give_back, map_arrow, materialise, with_few, with_small
 
 BUCKETS = 4096
 #: The trigrams that make a declared language a class, those of the whole that each class's are smoothed with, and the declared
@@ -179,7 +179,7 @@ def kept(docs: DataFrame) -> DataFrame:
     name = "id" + "_" * len("".join(docs.columns))
     rows = docs.select(key.alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
     gone = materialise(identify(rows).filter("not kept").select(F.col("id").alias(name)).distinct(), "language-gone")
-    return with_few(docs.withColumn(name, key), gone, name, "left_anti").select(docs.columns)
+    return with_few(docs.withColumn(name, key), gone, name, "left_anti").select(columns(docs))
 
 
 _LANG = r"(?is)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)"

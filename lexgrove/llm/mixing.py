@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import WORD, materialise, running_sum, with_small
+from lexgrove.llm.common import WORD, columns, materialise, running_sum, with_small
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -137,4 +137,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     # slots hold equally many words, so their number alone makes even ranges and no sample is needed
     many = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.rdd.getNumPartitions())
     ranged = rows.withColumn(place, F.floor(F.col(f"{turn}.at.slot") / max(n, 1) * many).cast("int")).repartitionById(many, place)
-    return ranged.sortWithinPartitions(f"{turn}.at").select(docs.columns)
+    return ranged.sortWithinPartitions(f"{turn}.at").select(columns(docs))

@@ -12,6 +12,8 @@ vec_id and vector are one, and of several vectors of one vec_id the least is ask
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -130,22 +132,21 @@ def read(pairs: DataFrame, k: int) -> DataFrame:
     query's pairs are dealt to PARTS, each of which finds k of its own, so no query's candidates are all in one task."""
 
     def run(batches):
-        at, query, found, out = None, None, [], []
+        at, query, found, out = None, None, [], []  # found: a heap of the k best (score, -cid)
 
         def close():
-            out.extend((query, c, s) for s, c in sorted(((s, c) for s, c in found), key=lambda x: (-x[0], x[1]))[:k])
+            out.extend((query, -c, s) for s, c in found)
 
         for batch in batches:
             for qid, part, cid, upper, qvec, vec in zip(*(batch.column(x).to_pylist() for x in ("qid", "part", "cid", "upper", "qvec", "vec")), strict=True):
                 if (qid, part) != at:
                     if query is not None:
                         close()
-                    at, query, found, least = (qid, part), qid, [], None
-                if least is not None and upper < least:
-                    continue
-                found.append((int(np.frombuffer(qvec, "<i8") @ np.frombuffer(vec, "<i8")), cid))
-                if len(found) >= k:
-                    least = sorted((s for s, _ in found), reverse=True)[k - 1]
+                    at, query, found = (qid, part), qid, []
+                if len(found) < k:
+                    heapq.heappush(found, (int(np.frombuffer(qvec, "<i8") @ np.frombuffer(vec, "<i8")), -cid))
+                elif upper >= found[0][0]:
+                    heapq.heappushpop(found, (int(np.frombuffer(qvec, "<i8") @ np.frombuffer(vec, "<i8")), -cid))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["qid", "cid", "score"])
             out.clear()
         if query is not None:

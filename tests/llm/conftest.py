@@ -27,8 +27,8 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     """With columns that have the names the operators use within."""
-    names = ["_row", "size", "cls", "node", "part", "taken", "held", "score", "_h", "count", "label", "target", "_times"]
-    return spark.createDataFrame(make(odd_rows, range(len(names))), DOCS + "".join(f", {x} long" for x in names)).repartition(3)
+    names = ["_row", "size", "cls", "node", "part", "taken", "held", "score", "_h", "count", "label", "target", "_times", "a.b"]
+    return spark.createDataFrame(make(odd_rows, range(len(names))), DOCS + "".join(f", `{x}` long" for x in names)).repartition(3)
 
 
 @pytest.fixture(scope="session")

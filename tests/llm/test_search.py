@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 
 from lexgrove.llm import va_file
 
@@ -48,3 +51,14 @@ def test_blocks_of_queries(spark, monkeypatch):
     rows = [(i * 10, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)]  # many ties
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(3)
     assert sorted(map(tuple, va_file.search(df).collect())) == brute(rows, 4)
+
+
+def test_a_query_with_very_many_candidates_and_loose_bounds(spark):
+    """Bounds that rule nothing out: all candidates of a query are read, in a time that grows with their number."""
+    r = np.random.default_rng(3)
+    x = r.integers(-50, 50, (100_000, 4))
+    rows = spark.createDataFrame(pa.table({"qid": np.zeros(len(x), np.int64), "cid": np.arange(len(x)), "upper": 1e9 - np.arange(len(x)), "qvec": [np.array([3, -1, 2, 5], "<i8").tobytes()] * len(x), "vec": [v.astype("<i8").tobytes() for v in x]}).to_pandas())
+    began = time.time()
+    got = sorted((-s, c) for _, c, s in va_file.read(rows, 11).collect())[:11]
+    score = x @ [3, -1, 2, 5]
+    assert got == sorted(zip((-score).tolist(), range(len(x)), strict=True))[:11] and time.time() - began < 120

@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -216,3 +217,22 @@ def test_windows_hold_every_id_once(sizes):
         for doc, start, length in pieces:
             seen[at[doc] + start : at[doc] + start + length] += 1
     assert (seen == 1).all()
+
+
+def test_a_memo_is_bounded_in_bytes(monkeypatch):
+    """Chunks of unspaced text are right, within a batch and over batches, and none of them stays."""
+    monkeypatch.setattr(chunks, "BYTES", 1 << 20)
+    memo = chunks.Memo(lambda raw: [list(x) for x in raw], chunks.spaced)
+    r = random.Random(9)
+    line = lambda: "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(r.choice((5, 21, 22, 300))))
+    again = [line() for _ in range(50)]
+    for n in range(60):
+        texts = [" ".join([line() for _ in range(40)] + again) + f" word{n}" for _ in range(3)]
+        values, at = memo.values(*chunks.utf8(pa.array(texts)))
+        assert [bytes(values[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] == [x.encode() for x in texts]
+        assert memo.named <= 1 << 20 and len(memo.pool) * 4 <= 4 << 20
+    assert memo.size < 60 * 3 * 90
+    before = memo.size, memo.named
+    memo.values(*chunks.utf8(pa.array(["x" * 5_000_000])))
+    memo.values(*chunks.utf8(pa.array(["word1"])))
+    assert memo.size <= before[0] + 1 and len(memo.pool) * 4 <= 4 << 20
