@@ -1,12 +1,15 @@
 """Main text of web pages by removing site templates.
 
-A page is read once into blocks of text and into elements with a hash of their subtree: its tags and its text, without attributes,
-and outside of a marked article with numbers between words made alike. Spark counts, host by host, in how many different contexts each subtree stands; a context is the least
-hash of the blocks outside of it, so copies and most near copies of an article are one. As another part of the template may be the least
+A page is read once into blocks of text and into elements with a hash of their subtree, rolled up from their children's: its tags and its text, without
+attributes, and outside of a marked article with numbers between words made alike. What is outside of a page's marked article and doesn't hold it is hashed by its shape
+alone: tags and class names, like children once, so that a menu whose links differ from page to page is one subtree. Spark counts, host by host, in how many different contexts
+each subtree stands; a context is the least hash of the blocks outside of it, so copies and most near copies of an article are one. As another part of the template may be the least
 everywhere, CONTEXTS hashes each give a count and the greatest counts. What recurs across many pages of its host is template and
 goes. Of the rest, only the article counts where a page marks one, and elements whose tag says that they hold no text of the
 article, or whose class, id or role names nothing but such a part ("site-footer", "comment-list", not "share-price"), go too;
-within an article only those of adverts, notices, side bars and readers' comments, and never headings, paragraphs, items or quotes.
+within an article only those of adverts, notices, side bars and readers' comments, and never headings, paragraphs, items or quotes. A part
+whose name is that of its own first heading ("cookies" over "Cookies") is text, but for readers' comments and the like; a form that holds an
+article or a main heading is the page's own and takes nothing away; inline parts that go don't split the block around them.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows of equal page_id are separate pages;
 unclosed elements end with what holds them or with the page; an empty table gives no rows; other columns are ignored.
@@ -14,6 +17,7 @@ unclosed elements end with what holds them or with the page; an empty table give
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import itertools
@@ -35,7 +39,10 @@ PAGES_ELSEWHERE, SHARE_ELSEWHERE = 4, 0.25
 #: Odd factors that make one hash several.
 CONTEXTS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag ends at the first > outside of quotes; where a quote isn't closed before the next <, at the first > at all.
+_NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|$)|<(/?)({_NAME})((?:[^<>"']|"[^"<]*"|'[^'<]*')*)>|<(/?)({_NAME})([^<>]*)>|<[!?/][^>]*>""", re.S)
+_HEADED = re.compile(r"\s*<h[1-6]\b[^>]*>(.{0,300}?)</h[1-6]", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 #: Elements of HTML by kind.
@@ -44,7 +51,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe textarea title xmp svg math".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp svg".split())
 NO_TEXT = RAW | frozenset("head nav footer aside form button select dialog menu object canvas audio video".split())
 #: Words of classes, ids and roles that name a part which isn't the article's text: everywhere, and outside of a marked article.
 NOT_ARTICLE = frozenset(
@@ -52,6 +59,8 @@ NOT_ARTICLE = frozenset(
     "gdpr notice notices sidebar sidenav newsletter subscribe subscription signup popup modal overlay nav navbar navigation breadcrumb breadcrumbs social sharing".split()
 )
 NOT_MAIN = NOT_ARTICLE | frozenset("menu menubar footer header masthead contentinfo banner login share related recommended pagination pager toolbar complementary search alert".split())
+#: Of these, what isn't text even under a heading of its name.
+READERS = frozenset("comment comments reply replies disqus respond newsletter subscribe subscription signup related recommended share social sharing".split())
 #: Words that say where or how such a part is shown.
 NEUTRAL = frozenset(
     "site main page top bottom left right bar box list area section wrapper wrap container block slot inner outer widget item items links link global primary secondary body content mobile desktop "
@@ -80,6 +89,17 @@ def names_part(value: str, inside: bool) -> bool:
     return False
 
 
+def plain_name(text: str) -> str:
+    return re.sub("[^a-z0-9]+", "-", html.unescape(re.sub("<[^>]*>", " ", text)).lower()).strip("-")
+
+
+def heads_itself(value: str, source: str, at: int) -> bool:
+    """Whether a class or id is what the heading says that follows at once."""
+    found = _HEADED.match(source, at)
+    name = plain_name(value)
+    return bool(found) and name == plain_name(found[1]) and not READERS & set(name.split("-"))
+
+
 def site_of(host: str) -> int:
     return xxhash.xxh64_intdigest(host) - (1 << 63)
 
@@ -94,49 +114,60 @@ class Page:
         self.read(source)
 
     def read(self, source: str) -> None:
-        stack: list[tuple] = []  # open elements: tag, excludes, article, first block, first part of the subtree
-        subtree: list[str] = []
-        excluded = inside = at = 0
+        stack: list[list] = []  # open elements: tag, excludes, mutes, article, first block, class
+        parts: list[tuple[list[str], dict[int, None]]] = [([], {})]  # of each open block element: its children's hashes or texts, and shapes
+        found: list[tuple] = []
+        held_open: collections.Counter[str] = collections.Counter()
+        excluded = muted = inside = at = 0
         text: list[str] = []
 
         def flush() -> None:
             if text:
                 whole = " ".join(html.unescape("".join(text)).split())
                 if whole:
-                    self.blocks.append((whole, inside > 0, excluded > 0))
-                    subtree.append(whole if inside else alike(whole))
+                    self.blocks.append((whole, inside > 0, excluded > muted))
+                    parts[-1][0].append(whole if inside else alike(whole))
+                    parts[-1][1][0] = None
                 text.clear()
 
         def close() -> None:
-            nonlocal excluded, inside
-            tag, excludes, article, block, part = stack.pop()
+            nonlocal excluded, muted, inside
+            tag, excludes, mutes, article, block, name = stack.pop()
+            held_open[tag] -= 1
             if tag in BLOCK:
                 flush()
-                subtree.append("</>")
+                inner, shapes = parts.pop()
+                exact = xxhash.xxh64_intdigest("\0".join([tag, *inner])) >> 1
+                shape = xxhash.xxh64_intdigest(f"{tag}.{name}:{list(shapes)}") >> 1
+                parts[-1][0].append(f"<{exact:x}>")
+                parts[-1][1][shape] = None
                 if tag not in ("html", "body", "article", "main") and len(self.blocks) > block:
-                    self.elements.append((block, len(self.blocks), xxhash.xxh64_intdigest("".join(subtree[part:])) >> 1, inside > 0))
+                    found.append((block, len(self.blocks), exact, shape, inside > 0))
             excluded -= excludes
+            muted -= mutes
             inside -= article
 
         for m in _TOKEN.finditer(source):
             if m.start() < at:
                 continue
-            if m.start() > at:
+            if m.start() > at and not muted:
                 text.append(source[at : m.start()])
             at = m.end()
-            tag = m[2]
+            tag, ends, said = (m[2], m[1], m[3]) if m[2] else (m[5], m[4], m[6])
             if tag is None:
                 continue
             tag = tag.lower()
             if tag in BLOCK:
                 flush()
-            elif tag == "br":
+                if not ends and tag != "html" and held_open["head"]:  # a head that isn't closed ends here
+                    while stack[-1][0] != "head":
+                        close()
+                    close()
+            elif tag == "br" and not muted:
                 text.append(" ")
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
+            if ends:
+                for i in range(len(stack) - 1 if held_open[tag] else -1, -1, -1):
                     if stack[i][0] == tag:
-                        if tag in NO_TEXT:
-                            flush()
                         while len(stack) > i:
                             close()
                         break
@@ -153,33 +184,40 @@ class Page:
                             close()
                     elif stack[i][0] in BLOCK:
                         break
-            attributes = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+            attributes = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in _ATTRIBUTE.findall(said)} if said else {}
             hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
             article = tag in ("article", "main") or attributes.get("role") in ("main", "article")
+            if (article or tag == "h1") and excluded and not hidden and all(x[0] == "form" for x in stack if x[1]):
+                for x in stack:
+                    x[1] = 0
+                excluded = 0
             excludes = tag in NO_TEXT or hidden or (tag == "header" and not inside)
             if attributes and not excludes and tag not in PLAIN and (tag in PARTS or not inside):
                 within = bool(inside) or article
-                excludes = any(names_part(attributes[x], within) for x in ("class", "id", "role") if attributes.get(x))
+                excludes = any(names_part(attributes[x], within) and not heads_itself(attributes[x], source, at) for x in ("class", "id", "role") if attributes.get(x))
             article = article and not excludes and not excluded
-            if excludes:
-                flush()
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            if m[3].endswith("/") and tag not in BLOCK:
+            if said.endswith("/") and tag not in BLOCK:
                 continue
             self.marked |= article
-            stack.append((tag, excludes, article, len(self.blocks), len(subtree)))
+            mutes = excludes and tag not in BLOCK
+            stack.append([tag, int(excludes), int(mutes), article, len(self.blocks), _DIGITS.sub("0", attributes.get("class", ""))])
+            held_open[tag] += 1
             if tag in BLOCK:
-                subtree.append(f"<{tag}>")
+                parts.append(([], {}))
             excluded += excludes
+            muted += mutes
             inside += article
-        if at < len(source):
+        if at < len(source) and not muted:
             text.append(source[at:])
         flush()
         while stack:
             close()
+        held = list(itertools.accumulate((x[1] for x in self.blocks), initial=0))
+        self.elements = [(i, j, shape if self.marked and held[i] == held[j] else exact, within) for i, j, exact, shape, within in found]
 
     def own(self) -> list[bool]:
         """Whether each block is left by everything but the counts."""

@@ -257,6 +257,39 @@ def test_html_elements():
     assert html_text.Page("<DIV>A<!-- <p>x</p> -->b</DIV><p hidden>no</p>").text(frozenset()) == "Ab"
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<article><h1>A</h1><section id='cookies'><h2>Cookies</h2><p>All about cookies</p></section><section id=navigation><h3>Navigation</h3>x</section></article>", "A\nCookies\nAll about cookies\nNavigation\nx"),
+    ("<article><section class='advertising'><h2>Advertising</h2><p>in the 1920s</p></section></article>", "Advertising\nin the 1920s"), ("<div class='section' id='search'><h2>Search</h2><p>how it works</p></div>", "Search\nhow it works"),
+    ("<article>Body<div id='comments'><h2>Comments</h2><p>x</p></div></article>", "Body"), ("<form id=f><div>top</div><article><p>Body</p><form>in</form></article></form>", "Body"), ("<form><h1>Title</h1><p>Body</p></form><form>in</form>", "Title\nBody"),
+    ("<p>one <script>x</script>two <button>b</button>three</p>", "one two three"), ("<p>See <span hidden>x</span> it</p>", "See it"), ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+    ('<p class="x>never closed quote</p><p>next</p>', "never closed quote\nnext"), ('<p title="a > b">kept</p>', "kept"), ("<head><meta charset=x><body><p>Body</p>", "Body"), ("<p>a<span hidden>b<b>c</b></span>d<p>e", "ad\ne"),
+    ("<div hidden><p>no</p></div><p>yes</p>", "yes"), ("<p>a<svg><text>t</text></svg>b</p>", "ab"),
+])
+def test_parts_of_pages(source, want):
+    assert html_text.Page(source).text(frozenset()) == want
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.time()
+    page = html_text.Page("<div>x" * 60_000)
+    assert len(page.blocks) == 60_000 and time.time() - began < 20
+
+
+def test_menus_with_other_links_on_each_page_are_template(spark):
+    """Outside of marked articles shapes are counted, and what holds the article is never one."""
+    menu = lambda i: "<nav><ul>" + "".join(f"<li><a href='/{i}-{k}'>link {i * 7 + k}x{k}</a></li>" for k in range(2 + i % 4)) + "</ul></nav>"
+    rows = [(i, "https://m.example.com/x", f"<body><div class=wrap>{menu(i)}<div class='box'>teaser of {i} words</div><article><p>story number {i} told</p></article></div></body>") for i in range(20)]
+    got = {x["page_id"]: x for x in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(x["text"] == f"story number {i} told" and x["template_chars"] > 20 for i, x in got.items())
+
+
+def test_the_counts_see_most_pages_templates(spark, sf):
+    got = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).toPandas()
+    assert (got.template_chars > 0).mean() > 0.25  # hosts of few pages have no template
+
+
 def test_templates_go_and_copied_articles_stay(spark):
     def page(i, host, body):
         return (i, f"https://{host}/p{i}", f"<body><div>welcome to {host}</div><div>{body}</div></body>")
