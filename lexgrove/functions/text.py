@@ -125,6 +125,14 @@ def literal(value: Column) -> Column:
     return F.concat(F.lit('"'), value, F.lit('"'))
 
 
+def term(value: Column, language: Column | None = None, datatype: Column | None = None) -> Column:
+    """A literal with its language tag, else its datatype; the datatype of plain strings is left out."""
+    string = "http://www.w3.org/2001/XMLSchema#string"
+    none = F.lit(None).cast("string")
+    tag, kind = none if language is None else F.nullif(language, F.lit("")), none if datatype is None else F.nullif(datatype, F.lit(""))
+    return F.concat(literal(value), F.when(tag.isNotNull(), F.concat(F.lit("@"), tag)).when(kind.isNotNull() & (kind != string), F.concat(F.lit("^^<"), kind, F.lit(">"))).otherwise(""))
+
+
 def json_object(text: Column, schema: str) -> Column:
     """The object in a reply, with or without a code fence around it; null if it can't be read."""
     bare = F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*[ \t\r\n]*|[ \t\r\n]*```$", "")

@@ -17,6 +17,27 @@ def failures(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key).alias("id"), errors.alias("errors")).filter(F.size("errors") > 0)
 
 
+def report(violations: DataFrame, most: int = 20, special: dict[str, int] | None = None) -> DataFrame:
+    """(gate, ids, n_more): of each gate's violations (gate, id) the first `most` ids in order, or as many as special says, and how many more there are. Ids
+    beyond a gate's share go before anything is gathered."""
+    from lexgrove.operators.windows import capped
+
+    cut = F.lit(most)
+    for gate, n in (special or {}).items():
+        cut = F.when(F.col("gate") == gate, n).otherwise(cut)
+    rows = capped(violations.withColumn("id", F.coalesce("id", F.lit(""))), ["gate"], ["id"], max(most, *(special or {}).values(), 0), "total", "place").filter(F.col("place") <= cut)
+    listed = rows.groupBy("gate").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max("total").alias("total"))
+    return listed.select("gate", "ids", (F.col("total") - F.size("ids")).alias("n_more"))
+
+
+def mistyped(df: DataFrame, key: str, properties: str, types: dict[str, str]) -> DataFrame:
+    """(id, property) of properties (a JSON object) whose value isn't of the type that JSON Schema calls so; absent ones are fine."""
+    from lexgrove.operators.schemas import failures as failing
+
+    schema = {"type": "object", "properties": {k: {"type": v} for k, v in types.items()}}
+    return df.select(F.col(key).alias("id"), F.explode(failing(schema, F.col(properties))).alias("x")).select("id", F.col("x.path").alias("property"))
+
+
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

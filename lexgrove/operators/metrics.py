@@ -18,6 +18,12 @@ def accuracy(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return df.filter(F.col(gold).isNotNull()).agg(F.count("*").alias("n_items"), right.alias("n_correct"), ratio(right, F.count("*")).alias("accuracy"))
 
 
+def mismatches(df: DataFrame, item: str, gold: str, predicted: str) -> DataFrame:
+    """(item, gold, predicted) of the items that accuracy counts as wrong, unanswered ones included."""
+    wrong = F.col(gold).isNotNull() & ~F.col(gold).eqNullSafe(F.col(predicted))
+    return df.filter(wrong).select(item, F.col(gold).alias("gold"), F.col(predicted).alias("predicted"))
+
+
 def confusion(df: DataFrame, gold: str, predicted: str, labels: list[str], missing: str = "no_prediction") -> DataFrame:
     """A row for each gold label with a column for each label and one for missing predictions; all labels are there."""
     seen = df.withColumn("_p", F.coalesce(F.col(predicted), F.lit(missing)))
@@ -67,6 +73,17 @@ def completeness(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return items.agg(F.count("*").alias("n_items"), F.sum("found").alias("n_found"), F.sum("wanted").alias("n_wanted"), ratio(F.sum("found"), F.sum("wanted")).alias("micro"), ratio(F.sum(share), F.count("*") * 1_000_000).alias("macro"))
 
 
+def article_of(cited: Column) -> Column:
+    """An identifier cut to its article or annex; null for any other."""
+    return F.nullif(F.regexp_extract(cited, r"^([^:]+:(?:article|annex)-[a-z0-9]+)", 1), F.lit(""))
+
+
+def article_completeness(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """Completeness of cited arrays when both sides are cut to articles, each named once."""
+    cut = lambda c: F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), article_of)))
+    return completeness(df.select(cut(gold).alias("_gold"), cut(predicted).alias("_predicted")), "_gold", "_predicted")
+
+
 def hallucination(citations: DataFrame, item: str, cited: str, known: DataFrame, key: str) -> DataFrame:
     """Of the distinct cited ids of each item, those that aren't known."""
     distinct = citations.filter(F.col(cited).isNotNull()).select(item, cited).distinct()
@@ -84,6 +101,13 @@ def judge_errors(df: DataFrame, verdict: str, gold: str) -> DataFrame:
     return df.agg(count_of(settled).alias("n_scored"), count_of(~settled).alias("n_abstained"), false_accept.alias("n_false_accept"), false_reject.alias("n_false_reject"), ratio(false_accept, rejects).alias("false_accept_rate"), ratio(false_reject, accepts).alias("false_reject_rate"))
 
 
+def judge_error_items(df: DataFrame, item: str, verdict: str, gold: str) -> DataFrame:
+    """(error, item) of what judge_errors counts: false_accept, false_reject, abstained."""
+    v, g = F.col(verdict), F.col(gold)
+    error = F.when(~F.coalesce(v.isin("accepted", "rejected"), F.lit(False)), "abstained").when((v == "accepted") & (g == "reject"), "false_accept").when((v == "rejected") & (g == "accept"), "false_reject")
+    return df.select(error.alias("error"), item).filter("error is not null")
+
+
 def variance(pairs: DataFrame) -> DataFrame:
     """pairs (label_a, label_b, cited_a, cited_b): flips, and the mean Jaccard of citations where either run cites (null if none)."""
     cites = (F.size("cited_a") > 0) | (F.size("cited_b") > 0)

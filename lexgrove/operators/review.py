@@ -68,6 +68,20 @@ def consolidated(logs: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def audit_counts(events: DataFrame) -> DataFrame:
+    """(log_kind, verdict, model, prompt, n): events by kind, by kind and verdict, and by model and prompt, in one aggregation."""
+    sets = [["log_kind"], ["log_kind", "verdict"], ["model", "prompt"]]
+    counted = events.groupingSets(sets, "log_kind", "verdict", "model", "prompt").agg(F.grouping_id().alias("_set"), F.count("*").alias("n"))
+    return counted.withColumn("by", F.when(F.col("_set") == 7, "kind").when(F.col("_set") == 3, "verdict").otherwise("model")).drop("_set")
+
+
+def judged(runs: DataFrame, artifacts: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """(runs with the last artifact that names them, runs that no artifact names). artifacts hold run, n and others; the greatest n is the last."""
+    others = [c for c in artifacts.columns if c not in (run, "n")]
+    last = artifacts.filter(F.col(run).isNotNull()).groupBy(run).agg(F.max_by(F.struct(*others), "n").alias("_x"))
+    return runs.join(last, run).select(*runs.columns, "_x.*"), runs.join(last, run, "left_anti")
+
+
 def clauses(norms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(norms with actor_canonical, condition_ids and exception_ids; clause nodes id, type, text), clauses of equal normalised text being one."""
     from lexgrove.functions.text import clause_id

@@ -97,6 +97,13 @@ def worst_status(df: DataFrame, groups: list[str], status: str, severity: tuple[
     return df.groupBy(*groups).agg(F.min_by(status, F.when(place > 0, place)).alias("worst_status"), *others)
 
 
+def merged_evidence(items: DataFrame, order: str, norms: str, evidence: str) -> DataFrame:
+    """(norm_set, evidence): what merged items name as evidence, items in order and each name once, where it first comes."""
+    keyed = items.withColumn("norm_set", F.array_join(F.array_sort(F.array_distinct(norms)), ","))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(evidence, F.array().cast("array<string>")).alias("e")))), lambda x: x["e"])
+    return keyed.groupBy("norm_set").agg(F.array_distinct(F.flatten(listed)).alias("evidence"))
+
+
 def merged_backlog(items: DataFrame, order: str, title: str, norms: str, priority: str) -> DataFrame:
     """One item for each set of norms: the first title, how many were merged, and 'must' if any says so."""
     keyed = items.withColumn("norm_set", F.array_join(F.array_sort(F.array_distinct(norms)), ","))

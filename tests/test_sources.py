@@ -106,3 +106,10 @@ def test_logs_results_and_gold(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"items": [item | {"kind": "other"}]}))
     with pytest.raises(PySparkException):
         files.gold_items(spark, str(tmp_path / "b.json")).collect()
+
+
+def test_files_of_one_regulation_do_not_hide_each_other(spark):
+    """An article's own paragraphs are those of its file."""
+    texts = spark.createDataFrame([("a", "h", '<div id="cpt_I"><div id="art_1"><div id="001.001">1. a</div></div></div>'), ("b", "h", '<div id="cpt_I"><div id="art_1">body</div></div>')], "file string, sha256 string, text string")
+    got = {(x["source_span"]["snapshot_file"], x["text"]) for x in anchors.nodes_and_edges(texts, "r", "b1")[0].filter("type = 'Paragraph'").collect()}
+    assert got == {("a", "1. a"), ("b", "body")}
