@@ -180,8 +180,9 @@ def mentions(units: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def targets(found: DataFrame, root: str) -> DataFrame:
-    """A row for each named target, in order: target, and precise, the paragraph that an article's number names."""
-    named = found.select("*", F.posexplode("named").alias("ord", "x")).drop("named")
+    """A row for each named target, in order: target, and precise, the paragraph that an article's number names. A mention that names nothing has one
+    row, without them."""
+    named = found.select("*", F.posexplode_outer("named").alias("ord", "x")).drop("named")
     number = F.when(F.col("kind") == "article", F.col("x.n").cast("string")).otherwise(F.lower(roman(F.col("x.n"))))
     target = F.concat(F.lit(root + ":"), F.col("kind"), F.lit("-"), number)
     return named.withColumn("target", target).withColumn("precise", F.concat("target", F.lit(":paragraph-"), F.col("x.paragraph"))).drop("x")
@@ -198,24 +199,25 @@ def _present(named: DataFrame, nodes: DataFrame) -> DataFrame:
 def resolve(units: DataFrame, key: str, text: str, nodes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(edges, queue). edges: from_id, target (the paragraph if it exists, else what holds it), mention, first of each (from, target) in
     the order of the text; queue: from_id, mention, reason, each once."""
-    found = mentions(units, key, text).withColumnRenamed(key, "from_id")
-    outside = found.filter("external is not null").select("from_id", F.col("external").alias("mention"), F.lit("external_instrument").alias("reason"))
-    named = _present(targets(found.filter("external is null"), root), nodes)
-    lost = named.filter("hit is null").select("from_id", "mention", F.lit("unresolved_target").alias("reason"))
+    named = _present(targets(mentions(units, key, text).withColumnRenamed(key, "from_id"), root), nodes)
     first = F.min(F.struct("rule", "start", "ord", "mention")).alias("x")
-    edges = named.filter("hit is not null").groupBy("from_id", F.col("hit").alias("target")).agg(first)
-    return edges.select("from_id", "target", "x.mention", "x.rule", "x.start", "x.ord"), outside.union(lost).distinct()
+    edges = named.filter("external is null and hit is not null").groupBy("from_id", F.col("hit").alias("target")).agg(first)
+    # one plan for both reasons, so each text is read once
+    reason = F.when(F.col("external").isNotNull(), "external_instrument").when(F.col("hit").isNull() & F.col("target").isNotNull(), "unresolved_target")
+    queue = named.select("from_id", F.coalesce("external", "mention").alias("mention"), reason.alias("reason")).filter("reason is not null").distinct()
+    return edges.select("from_id", "target", "x.mention", "x.rule", "x.start", "x.ord"), queue
 
 
 def context_edges(recitals: DataFrame, key: str, text: str, nodes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(edges, queue) of recitals: CONTEXT_FOR edges (from_id, target, mention) to articles they mention, each pair once; mentions that the
     stricter test finds outside, or whose article doesn't exist, are queued."""
     found = mentions(recitals, key, text).withColumnRenamed(key, "from_id").filter("kind = 'article'")
-    outside = found.filter("recital_external").select("from_id", F.coalesce("external", "mention").alias("mention"), F.lit("external_instrument").alias("reason"))
-    named = targets(found.filter("not recital_external"), root).join(nodes.select(F.col("id").alias("target"), F.lit(True).alias("_t")).distinct(), "target", "left")
-    lost = named.filter("_t is null").select("from_id", "mention", F.lit("unresolved_target").alias("reason"))
-    edges = named.filter("_t").groupBy("from_id", "target").agg(F.min(F.struct("start", "mention")).alias("x")).select("from_id", "target", "x.mention", F.lit("CONTEXT_FOR").alias("edge_type"))
-    return edges, outside.union(lost).distinct()
+    named = targets(found, root).join(nodes.select(F.col("id").alias("target"), F.lit(True).alias("_t")).distinct(), "target", "left")
+    outside = F.col("recital_external")
+    reason = F.when(outside, "external_instrument").when(F.col("_t").isNull() & F.col("target").isNotNull(), "unresolved_target")
+    queue = named.select("from_id", F.when(outside, F.coalesce("external", "mention")).otherwise(F.col("mention")).alias("mention"), reason.alias("reason")).filter("reason is not null").distinct()
+    edges = named.filter("_t and not recital_external").groupBy("from_id", "target").agg(F.min(F.struct("start", "mention")).alias("x")).select("from_id", "target", "x.mention", F.lit("CONTEXT_FOR").alias("edge_type"))
+    return edges, queue
 
 
 def article_source(edges: DataFrame, parents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexgrove.operators import dedup, evidence, gates, references, review, windows
+from lexgrove.operators import dedup, evidence, gates, hierarchy, references, review, windows
 from lexgrove.plans import requirements
 from lexgrove.plans.registry import query, table
 
@@ -226,11 +226,27 @@ def near_dup_report(spark, d):
     return windows.positions(rows, ["_s", "id_a", "id_b"], "place").select("id_a", "id_b", "similarity", (F.col("place") + 1).alias("place"))
 
 
-@query("select to_json({'events': (select count(*) from events), 'kinds': (select count(distinct event_type) from events), 'orders': (select count(*) from orders)}) as payload")
+@query("""
+with n as (select n_regionkey, '{"id":"n' || n_nationkey || '","name":"' || n_name || '","customers":' || (select count(*) from customer where c_nationkey = n_nationkey) || '}' as j, n_nationkey from nation),
+queue as (select item_id, text from (select 'd' || doc_id as item_id, substring(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' '), 1, 40) as text, n_chars, doc_id from documents where doc_id not in (select doc_id from labels)) order by n_chars desc, doc_id limit 20)
+select 'r' || r_regionkey as id, (select count(*) from events) as n_events, (select count(distinct event_type) from events) as n_kinds, (select count(*) from documents where doc_id not in (select doc_id from labels)) as n_pending,
+  '{"id":"r' || r_regionkey || '","name":"' || r_name || '"' || coalesce(',"children":[' || (select string_agg(j, ',' order by n_nationkey) from n where n_regionkey = r_regionkey) || ']', '') || '}' as structure,
+  (select string_agg(item_id, ',' order by item_id) from queue) as queue from region
+""")
 def interface_export(spark, d):
-    e = table(spark, d, "events").agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds")).withColumn("_k", F.lit(1))
-    o = table(spark, d, "orders").agg(F.count("*").alias("orders")).withColumn("_k", F.lit(1))
-    return e.join(o, "_k").select(F.to_json(F.struct("events", "kinds", "orders")).cast("string").alias("payload"))
+    """What an interface shows: counts, the first of what waits for review, and each region's structure as one tree."""
+    null, name = F.lit(None), lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    per = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    nation = table(spark, d, "nation").join(per, "n_nationkey", "left")
+    nodes = table(spark, d, "region").select(name("r", "r_regionkey").alias("id"), null.cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("o"), F.col("r_name").alias("name"), null.cast("long").alias("customers"))
+    nodes = nodes.union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey"), F.col("n_nationkey").cast("long"), "n_name", F.coalesce("n", F.lit(0))))
+    trees = hierarchy.nested(nodes, "id", "parent", ["o"], F.struct("id", "name", "customers")).withColumnRenamed("json", "structure")
+    pending = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    first = review.pending([("document", pending.orderBy(F.desc("n_chars"), "doc_id").limit(20).select(name("d", "doc_id").alias("item_id"), "text"))], pending.limit(0).select(F.col("lang").alias("item_id")))
+    counts = table(spark, d, "events").agg(F.count("*").alias("n_events"), F.count_distinct("event_type").alias("n_kinds"))
+    waiting = pending.agg(F.count("*").alias("n_pending"))
+    shown = first.agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("queue"))  # 20 rows
+    return trees.join(F.broadcast(counts)).join(F.broadcast(waiting)).join(F.broadcast(shown)).select("id", "n_events", "n_kinds", "n_pending", "structure", "queue")  # one row each
 
 
 @query("""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
 from lexgrove.operators import gates, metrics, review
-from lexgrove.plans import requirements
+from lexgrove.plans import requirements, tools
 from lexgrove.plans.registry import query, table
-from lexgrove.sources import anchors, formex
+from lexgrove.sources import anchors, files, formex
 
 _S = "string"
 
@@ -210,3 +210,42 @@ select gate, string_agg(id, ',' order by id) as ids, max(total) - count(*) as n_
 def violation_report(spark, d):
     rows = table(spark, d, "events").filter("value < 20").select(F.col("event_type").alias("gate"), F.lpad(F.col("event_id").cast(_S), 9, "0").alias("id"))
     return gates.report(rows, 20, {"error": 5}).select("gate", F.array_join("ids", ",").alias("ids"), "n_more")
+
+
+@query("""
+with items as (select d.doc_id, case lang when 'en' then 'classification' when 'de' then 'qa' when 'fr' then 'retrieval' else 'other' end as kind, quality, l.doc_id is not null as labelled, text from documents d left join labels l on d.doc_id = l.doc_id)
+select doc_id, '/kind' as path, 'enum' as keyword from items where kind = 'other' union all select doc_id, '/gold', 'required' from items where not labelled
+union all select doc_id, '/system_features', 'required' from items where kind = 'classification' and coalesce(quality = 0, true)
+union all select doc_id, '/question', 'required' from items where kind in ('qa', 'retrieval') and not coalesce(quality = 1, false)
+""")
+def gold_item_failures(spark, d):
+    """Documents as gold items: the language tells the kind, and labels what is there."""
+    kind = F.when(F.col("lang") == "en", "classification").when(F.col("lang") == "de", "qa").when(F.col("lang") == "fr", "retrieval").otherwise("other")
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    rows = table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.to_json(F.struct(
+        F.col("doc_id").cast(_S).alias("id"), kind.alias("kind"), F.when(F.col("quality").isNotNull(), F.struct("quality")).alias("gold"), F.array(F.lit("a")).alias("gold_citations"),
+        F.when(good, F.struct(F.lit(True).alias("x"))).alias("system_features"), F.when(good, F.lit("What?")).alias("question"))).alias("item"))
+    return files.gold_failures(rows, "doc_id", "item")
+
+
+@query("""
+with asked as (select o_orderkey, 'norm:' || o_orderkey as norm_id, o_orderkey % 2 = 0 as ok, o_orderkey % 9 as n, o_orderkey % 5 as s from orders),
+al as (select l_orderkey, l_linenumber, l_partkey, l_linenumber % 2 = 1 as taken from lineitem)
+select norm_id, true as found, case when ok and n < 8 and s > 0 then 'satisfied_by_evidence' else 'requires_human_review' end as status, case when n < 8 then 'text ' || n end as source_text,
+  coalesce((select string_agg('a' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '>p' || l_partkey, ',' order by 'a' || l_orderkey || '-' || l_linenumber || '-' || l_partkey) from al where l_orderkey = o_orderkey and taken), '') as accepted,
+  (select count(*) from al where l_orderkey = o_orderkey and not taken) as n_not_accepted, case when s > 0 then 'span ' || s end as span_text, array_to_string(list_filter([case when n = 8 then 'source' end, case when s = 0 then 'span' end], lambda x: x is not null), ',') as missing from asked
+union all select 'norm:c' || c_custkey, false, 'not_applicable', null, '', 0, null, 'norm' from customer
+""")
+def explained_requirements(spark, d):
+    """Orders as norms with their source, span and alignments; ids that no norm has are answered too."""
+    k, text = F.col("o_orderkey"), lambda c: c.cast(_S)
+    norms = table(spark, d, "orders").select(F.concat(F.lit("norm:"), text(k)).alias("norm_id"), text(k % 9).alias("source_node_id"), F.concat(F.lit("s"), text(k % 5)).alias("source_span_id"), F.when(k % 2 == 0, "accepted").otherwise("rejected").alias("judge_verdict"), F.lit("keep").alias("action"), F.lit("logs").alias("object"))
+    nodes = spark.range(8).select(F.col("id").cast(_S).alias("id"), F.lit("Paragraph").alias("type"), F.concat(F.lit("text "), F.col("id").cast(_S)).alias("text"))
+    spans = spark.range(1, 5).select(F.concat(F.lit("s"), F.col("id").cast(_S)).alias("span_id"), F.concat(F.lit("span "), F.col("id").cast(_S)).alias("text"), F.lit(None).cast(_S).alias("reason"))
+    name = F.concat_ws("-", F.concat(F.lit("a"), F.col("l_orderkey").cast(_S)), "l_linenumber", "l_partkey")
+    aligned = table(spark, d, "lineitem").select(name.alias("id"), F.concat(F.lit("norm:"), F.col("l_orderkey").cast(_S)).alias("source_norm_id"), F.concat(F.lit("p"), F.col("l_partkey").cast(_S)).alias("target_id"), F.when(F.col("l_linenumber") % 2 == 1, "accepted").otherwise("rejected").alias("judge_verdict"))
+    ids = norms.select("norm_id").union(table(spark, d, "customer").select(F.concat(F.lit("norm:c"), F.col("c_custkey").cast(_S))))
+    found = tools.explained(norms, nodes, spark.createDataFrame([("AI system",)], "term string"), aligned, spans, ids)
+    shown = F.array_join(F.transform("accepted", lambda x: F.concat(x["assertion"], F.lit(">"), x["target"])), ",")
+    return found.select("norm_id", "found", "status", "source_text", shown.alias("accepted"), "n_not_accepted", "span_text", F.array_join("missing", ",").alias("missing"))

@@ -52,6 +52,33 @@ def explain(norms: DataFrame, nodes: DataFrame, definitions: DataFrame, assertio
     return out.select("norm_id", F.col("_node_text").alias("source_text"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("n_alignments", F.lit(0)).alias("n_alignments"))
 
 
+def explained(norms: DataFrame, nodes: DataFrame, definitions: DataFrame, assertions: DataFrame, spans: DataFrame, ids: DataFrame) -> DataFrame:
+    """(norm_id, found, status, source_type, source_text, terms, accepted, n_not_accepted, span_text, span_reason, missing) of each asked id (norm_id).
+
+    norms: norm_id, source_node_id, source_span_id, judge_verdict, action, object; nodes: id, type, text; definitions: term; assertions: id, source_norm_id,
+    target_id, judge_verdict; spans: span_id, text, reason (see files.spans). An id that no norm has isn't an error but a missing fact; a norm that wasn't accepted is
+    explained and needs review, like one whose source or span can't be had. accepted: (assertion, target) in order.
+    """
+    asked = ids.distinct().join(norms, "norm_id", "left")
+    base = asked.join(nodes.select(F.col("id").alias("source_node_id"), F.col("type").alias("source_type"), F.col("text").alias("source_text")), "source_node_id", "left")
+    base = base.join(spans.select(F.col("span_id").alias("source_span_id"), F.col("text").alias("span_text"), F.col("reason").alias("span_reason")), "source_span_id", "left")
+    named = mentioned(definitions.select("term"), "term", norms.join(ids.distinct(), "norm_id", "left_semi").select("norm_id", F.concat_ws(" ", "action", "object").alias("_t")), "_t")
+    terms = named.groupBy("norm_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    taken = F.col("judge_verdict") == "accepted"
+    by_norm = assertions.groupBy(F.col("source_norm_id").alias("norm_id")).agg(
+        F.array_sort(F.collect_list(F.when(taken, F.struct(F.col("id").alias("assertion"), F.col("target_id").alias("target"))))).alias("accepted"), count_of(~F.coalesce(taken, F.lit(False))).alias("n_not_accepted"))
+    out = base.join(terms, "norm_id", "left").join(by_norm, "norm_id", "left")
+    found = F.col("source_span_id").isNotNull() | F.col("source_node_id").isNotNull() | F.col("judge_verdict").isNotNull()
+    missing = F.array_compact(F.array(F.when(~found, "norm"), F.when(found & F.col("source_text").isNull(), "source"), F.when(found & F.col("span_text").isNull(), "span")))
+    whole = out.withColumn("found", found).withColumn("missing", missing)
+    status = F.when(~F.col("found"), "not_applicable").when((F.col("judge_verdict") == "accepted") & (F.size("missing") == 0), "satisfied_by_evidence").otherwise("requires_human_review")
+    empty = F.array().cast("array<string>")
+    return whole.select(
+        "norm_id", "found", status.alias("status"), "source_type", "source_text", F.coalesce("terms", empty).alias("terms"), F.coalesce("accepted", F.array().cast("array<struct<assertion: string, target: string>>")).alias("accepted"),
+        F.coalesce("n_not_accepted", F.lit(0)).alias("n_not_accepted"), "span_text", "span_reason", "missing",
+    )
+
+
 def requirements_by_article(norms: DataFrame) -> DataFrame:
     """(group, n_accepted, n_review) of requirement groups; articles first, by number."""
     grouped = norms.withColumn("group", group_of(F.col("source_node_id"))).filter(is_requirement(F.col("group")))

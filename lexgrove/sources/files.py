@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import excerpt
+from lexgrove.operators.schemas import invalid
 from lexgrove.streaming.logs import last_of, ordered
 
 
@@ -87,6 +88,43 @@ def gold_items(spark: SparkSession, path: str) -> DataFrame:
     return items.withColumn("id", F.when(F.coalesce(good, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not a gold item: "), F.coalesce("id", F.lit("?"))))))
 
 
+#: What a gold item must be like, by its kind.
+GOLD_ITEM = {
+    "type": "object", "required": ["id", "kind", "gold", "gold_citations"], "properties": {"id": {"type": "string"}, "kind": {"enum": ["classification", "retrieval", "qa"]}},
+    "allOf": [
+        {"if": {"properties": {"kind": {"const": "classification"}}, "required": ["kind"]}, "then": {"required": ["system_features"]}},
+        {"if": {"properties": {"kind": {"enum": ["retrieval", "qa"]}}, "required": ["kind"]}, "then": {"required": ["question"], "properties": {"question": {"type": "string", "minLength": 1}}}},
+    ],
+}
+
+
+def gold_failures(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, keyword) of what items, as JSON texts, lack for their kind."""
+    return invalid(items, key, text, GOLD_ITEM)
+
+
+def scenario_items(scenarios: DataFrame, risk: dict[str, str], root: str) -> DataFrame:
+    """scenarios (benchmark_index, risk_level, role, intended_use, system_type, input_data, domain, related_articles) as classification items: the
+    description is put together as text and no features are made up. An unknown risk level fails the job."""
+    names = F.create_map(*[F.lit(x) for pair in risk.items() for x in pair])
+    known = F.coalesce(names[F.col("risk_level")], F.raise_error(F.concat(F.lit("no such risk level: "), F.coalesce("risk_level", F.lit("null")))).cast("string"))
+    said = F.concat(F.lit("Role: "), "role", F.lit(". Intended use: "), "intended_use", F.lit(". System type: "), "system_type", F.lit(". Input data: "), "input_data", F.lit(". Domain: "), "domain", F.lit("."))
+    none = F.lit(None).cast("string")
+    return scenarios.select(
+        F.concat(F.lit("bench:scenario:"), F.col("benchmark_index").cast("string")).alias("id"), F.lit("classification").alias("kind"), none.alias("question"), said.alias("system_text"), known.alias("risk_category"), none.alias("answer_text"),
+        F.transform("related_articles", lambda a: F.concat(F.lit(f"{root}:article-"), a.cast("string"))).alias("gold_citations"),
+    )
+
+
+def qa_items(pairs: DataFrame, root: str) -> DataFrame:
+    """pairs (benchmark_index, question, answer, relevant_article) as items of the same columns as scenario_items, to be united with these."""
+    none = F.lit(None).cast("string")
+    return pairs.select(
+        F.concat(F.lit("bench:qa:"), F.col("benchmark_index").cast("string")).alias("id"), F.lit("qa").alias("kind"), "question", none.alias("system_text"), none.alias("risk_category"), F.col("answer").alias("answer_text"),
+        F.array(F.concat(F.lit(f"{root}:article-"), F.col("relevant_article").cast("string"))).alias("gold_citations"),
+    )
+
+
 def benchmark_items(payload: DataFrame, risk: dict[str, str], root: str) -> DataFrame:
     """payload (data array of structs: risk_level, system, related_articles) as items with an ordinal, a category and cited ids."""
     rows = payload.select(F.posexplode("data").alias("benchmark_index", "x")).select("benchmark_index", "x.*")

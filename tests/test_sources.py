@@ -113,3 +113,14 @@ def test_files_of_one_regulation_do_not_hide_each_other(spark):
     texts = spark.createDataFrame([("a", "h", '<div id="cpt_I"><div id="art_1"><div id="001.001">1. a</div></div></div>'), ("b", "h", '<div id="cpt_I"><div id="art_1">body</div></div>')], "file string, sha256 string, text string")
     got = {(x["source_span"]["snapshot_file"], x["text"]) for x in anchors.nodes_and_edges(texts, "r", "b1")[0].filter("type = 'Paragraph'").collect()}
     assert got == {("a", "1. a"), ("b", "body")}
+
+
+def test_scenarios_and_questions_are_items_of_one_table(spark):
+    risk = {"high": "high_risk", "low": "minimal_or_none"}
+    scenarios = spark.createDataFrame([(1, "high", "r", "u", "t", "i", "d", [5, 6])], "benchmark_index int, risk_level string, role string, intended_use string, system_type string, input_data string, domain string, related_articles array<int>")
+    pairs = spark.createDataFrame([(2, "Q?", "A.", 9)], "benchmark_index int, question string, answer string, relevant_article int")
+    got = {x["id"]: x for x in files.scenario_items(scenarios, risk, "r").unionByName(files.qa_items(pairs, "r")).collect()}
+    assert got["bench:scenario:1"]["gold_citations"] == ["r:article-5", "r:article-6"] and got["bench:scenario:1"]["risk_category"] == "high_risk"
+    assert got["bench:scenario:1"]["system_text"] == "Role: r. Intended use: u. System type: t. Input data: i. Domain: d." and got["bench:qa:2"]["question"] == "Q?"
+    with pytest.raises(PySparkException, match="no such risk level"):
+        files.scenario_items(scenarios.selectExpr("* except (risk_level)", "'odd' as risk_level"), risk, "r").collect()
