@@ -249,3 +249,33 @@ def explained_requirements(spark, d):
     found = tools.explained(norms, nodes, spark.createDataFrame([("AI system",)], "term string"), aligned, spans, ids)
     shown = F.array_join(F.transform("accepted", lambda x: F.concat(x["assertion"], F.lit(">"), x["target"])), ",")
     return found.select("norm_id", "found", "status", "source_text", shown.alias("accepted"), "n_not_accepted", "span_text", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""
+with n as (select o_custkey, o_orderkey, 'norm:' || o_orderkey as norm_id, o_orderstatus <> 'P' as ok, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from orders),
+g as (select o_custkey, count(*) as n_norms, count(*) filter (not ok) as n_refused, coalesce(string_agg(norm_id, ',' order by norm_id) filter (not ok), '') as refused, string_agg(norm_id, ',' order by r) filter (r <= 8) as used from n group by o_custkey)
+select o_custkey, case when n_refused > 0 then 'refused' when o_custkey % 3 = 0 then 'requires_human_review' else 'applicable_missing_evidence' end as status, n_norms, n_refused, refused, case when n_refused > 0 then '' else used end as used, n_refused = 0 and n_norms > 8 as truncated from g
+""")
+def backlog_gates(spark, d):
+    """Customers as systems and their orders as norms: backlogs refused for a norm that isn't accepted, cut at eight norms, and judged."""
+    norms = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.concat(F.lit("norm:"), F.col("o_orderkey").cast(_S)).alias("norm_id"), F.when(F.col("o_orderstatus") != "P", "accepted").otherwise("needs_human_review").alias("judge_verdict"))
+    gated = requirements.backlog_gate(norms, "o_custkey", ["o_orderdate", "o_orderkey"], 8)
+    verdicts = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_custkey") % 3 == 0, "rejected").otherwise("accepted").alias("judge_verdict"))
+    out = requirements.surfaced(gated, verdicts, "o_custkey")
+    return out.select("o_custkey", "status", "n_norms", "n_refused", F.array_join("refused", ",").alias("refused"), F.array_join("used", ",").alias("used"), "truncated")
+
+
+@query("""
+with d as (select *, doc_id % 4 as k, coalesce(text, '') as t from documents)
+select 's' || doc_id as span_id, case when k = 0 then 'graph' when k < 3 then 'extra' end as source,
+  case when k = 0 then substring(t, 1, least(5, length(t))) when k = 1 and length(t) >= 3 then substring(t, 3, length(t) - 2) end as text,
+  case when k = 3 then 'unknown_span' when k = 2 then 'checksum_mismatch' when k = 1 and length(t) < 2 then 'bad_offsets' end as reason from d where k <> 1 or length(t) >= 3
+""")
+def resolved_spans(spark, d):
+    """Spans of documents that two sources name, one source, or none."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast(_S).alias("file"), (F.col("doc_id") % 4).alias("k"), F.coalesce("text", F.lit("")).alias("text")).filter("k <> 1 or length(text) >= 3")
+    texts = docs.select("file", F.lit("x").alias("sha256"), "text")
+    span = lambda rows, sha, start, stop: rows.select(F.concat(F.lit("s"), "file").alias("span_id"), "file", sha.alias("snapshot_sha256"), start.cast("int").alias("start"), stop.cast("int").alias("stop"))
+    graph = span(docs.filter("k = 0"), F.lit("x"), F.lit(0), F.least(F.lit(5), F.length("text")))
+    extra = span(docs.filter("k < 3"), F.when(F.col("k") == 2, "y").otherwise("x"), F.lit(2), F.length("text"))
+    return tools.resolve_spans(texts, graph, extra, docs.select(F.concat(F.lit("s"), "file").alias("span_id")))

@@ -97,6 +97,31 @@ def worst_status(df: DataFrame, groups: list[str], status: str, severity: tuple[
     return df.groupBy(*groups).agg(F.min_by(status, F.when(place > 0, place)).alias("worst_status"), *others)
 
 
+def backlog_gate(norms: DataFrame, system: str, order: list[str], most: int, shown: int = 20) -> DataFrame:
+    """(system, status, n_norms, refused, n_refused, used, truncated): whether a backlog may be generated for each system from its norms (norm_id, judge_verdict). One norm
+    that isn't accepted refuses the whole: `refused` lists the first of them, `used` is empty. Else the first `most` norms by order are used, and `truncated` tells
+    whether that leaves any out."""
+    from lexgrove.operators.windows import first_per_group
+
+    bad = ~F.coalesce(F.col("judge_verdict") == "accepted", F.lit(False))
+    counts = norms.groupBy(system).agg(F.count("*").alias("n_norms"), F.count(F.when(bad, 1)).alias("n_refused"))
+    lost = first_per_group(norms.filter(bad), [system], ["norm_id"], shown).groupBy(system).agg(F.array_sort(F.collect_list("norm_id")).alias("refused"))
+    first = first_per_group(norms, [system], order, most).groupBy(system).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("norm_id").alias("_id")))), lambda x: x["_id"]).alias("_used"))
+    joined = counts.join(first, system).join(lost, system, "left")
+    refuses, none = F.col("n_refused") > 0, F.array().cast("array<string>")
+    return joined.select(
+        system, F.when(refuses, "refused").otherwise("applicable_missing_evidence").alias("status"), "n_norms", F.coalesce("refused", none).alias("refused"), "n_refused",
+        F.when(refuses, none).otherwise(F.col("_used")).alias("used"), (~refuses & (F.col("n_norms") > most)).alias("truncated"),
+    )
+
+
+def surfaced(gated: DataFrame, verdicts: DataFrame, system: str) -> DataFrame:
+    """gated with the judge's verdict (system, judge_verdict) on each generated backlog: one that isn't accepted goes to people; refused ones stay refused."""
+    joined = gated.join(verdicts.select(system, F.col("judge_verdict").alias("_verdict")), system, "left")
+    status = F.when((F.col("status") != "refused") & ~F.coalesce(F.col("_verdict") == "accepted", F.lit(False)), "requires_human_review").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("_verdict")
+
+
 def merged_evidence(items: DataFrame, order: str, norms: str, evidence: str) -> DataFrame:
     """(norm_set, evidence): what merged items name as evidence, items in order and each name once, where it first comes."""
     keyed = items.withColumn("norm_set", F.array_join(F.array_sort(F.array_distinct(norms)), ","))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import excerpt
-from lexgrove.operators.joins import mentioned
+from lexgrove.operators.joins import first_match, mentioned
 from lexgrove.operators.metrics import count_of
 from lexgrove.plans.requirements import article_number, group_of, is_requirement
+from lexgrove.sources.files import spans
 
 
 def coverage(nodes: DataFrame, norms: DataFrame | None = None, articles: int = 113, recitals: int = 180, annexes: int = 13) -> DataFrame:
@@ -29,6 +30,16 @@ def source_trace(nodes: DataFrame, ids: DataFrame, most: int = 500) -> DataFrame
     return ids.join(found, "id", "left").withColumn("status", F.when(F.col("_known"), "applicable").otherwise("rejected_as_unsupported")).drop("_known")
 
 
+def resolve_spans(texts: DataFrame, nodes: DataFrame, extra: DataFrame, ids: DataFrame) -> DataFrame:
+    """(span_id, source, text, reason) of asked ids (span_id): the span of the first node that names it, among nodes before extra ones, cut from its snapshot
+    if that has the checksum (see files.spans). nodes and extra: span_id, file, snapshot_sha256, start, stop; an id that none names has reason unknown_span."""
+    order = ["file", "start", "stop"]
+    found = first_match(ids.distinct(), [("graph", nodes), ("extra", extra)], "span_id", order)
+    cut = spans(texts, found.filter("source is not null"))
+    joined = found.select("span_id", "source").join(cut, "span_id", "left")
+    return joined.withColumn("reason", F.when(F.col("source").isNull(), "unknown_span").otherwise(F.col("reason"))).select("span_id", "source", "text", "reason")
+
+
 def trace_alignment(assertions: DataFrame, mapping_runs: DataFrame, judge_runs: DataFrame, ids: DataFrame) -> DataFrame:
     """Assertions of each id as source norm, or if there are none as target, with their two runs; a run that isn't there is a missing fact."""
     asked, rest = ids.select(F.col("id").alias("asked")), assertions.withColumnRenamed("id", "assertion_id")
