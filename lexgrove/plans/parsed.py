@@ -279,3 +279,15 @@ def resolved_spans(spark, d):
     graph = span(docs.filter("k = 0"), F.lit("x"), F.lit(0), F.least(F.lit(5), F.length("text")))
     extra = span(docs.filter("k < 3"), F.when(F.col("k") == 2, "y").otherwise("x"), F.lit(2), F.length("text"))
     return tools.resolve_spans(texts, graph, extra, docs.select(F.concat(F.lit("s"), "file").alias("span_id")))
+
+
+@query("""
+select o_orderkey, case when coalesce(bool_or(l_partkey % 3 < 2 and l_partkey % 4 > 0), false) then 'must' else 'should' end as priority from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey
+""")
+def backlog_priorities(spark, d):
+    """Orders as backlog items of the norms of their parts, some of which hold under conditions only."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "obligation").when(k % 3 == 1, "prohibition").otherwise("right")
+    norms = table(spark, d, "part").select(F.concat(F.lit("n"), k.cast(_S)).alias("norm_id"), kind.alias("deontic_type"), F.when(k % 4 == 0, F.array(F.lit("if so"))).alias("conditions"))
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat(F.lit("n"), F.col("l_partkey").cast(_S))).alias("norm_ids")).join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return requirements.priorities(items, norms, "o_orderkey").select("o_orderkey", "priority")

@@ -115,6 +115,14 @@ def backlog_gate(norms: DataFrame, system: str, order: list[str], most: int, sho
     )
 
 
+def priorities(items: DataFrame, norms: DataFrame, key: str) -> DataFrame:
+    """items (key, norm_ids, ...) with priority, whatever they said themselves: must if one of their norms (norm_id, deontic_type, conditions) is an obligation or a
+    prohibition without conditions, else should."""
+    binding = norms.filter(F.col("deontic_type").isin("obligation", "prohibition") & (F.coalesce(F.size("conditions"), F.lit(0)) < 1)).select("norm_id").distinct()
+    must = items.select(key, F.explode("norm_ids").alias("norm_id")).join(binding, "norm_id", "left_semi").select(key, F.lit("must").alias("_must")).distinct()
+    return items.drop("priority").join(must, key, "left").withColumn("priority", F.coalesce("_must", F.lit("should"))).drop("_must")
+
+
 def surfaced(gated: DataFrame, verdicts: DataFrame, system: str) -> DataFrame:
     """gated with the judge's verdict (system, judge_verdict) on each generated backlog: one that isn't accepted goes to people; refused ones stay refused."""
     joined = gated.join(verdicts.select(system, F.col("judge_verdict").alias("_verdict")), system, "left")
