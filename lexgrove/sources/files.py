@@ -16,10 +16,11 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, ...) of the snapshots that a manifest lists."""
+def manifest(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(file, sha256, ...) of the snapshots that a manifest lists, or of those in one of its folders."""
     listed = spark.read.schema("snapshots array<struct<file string, sha256 string, source_document string, celex string, eli string, manifestation string, language string, retrieved_at string, legal_status string, notes string>>").json(path, multiLine=True)
-    return listed.select(F.explode("snapshots").alias("x")).select("x.*")
+    found = listed.select(F.explode("snapshots").alias("x")).select("x.*")
+    return found.filter(F.col("file").startswith(f"{folder}/")) if folder else found
 
 
 def verified(found: DataFrame, listed: DataFrame) -> DataFrame:
@@ -60,6 +61,13 @@ def registry(spark: SparkSession, listed: DataFrame, build_id: str) -> tuple[Dat
     return nodes, edges
 
 
+def derived_edges(listed: DataFrame, build_id: str) -> DataFrame:
+    """DERIVED_FROM_SOURCE edges from each listed file to its document, the base act where the manifest names none."""
+    src, dst = F.concat(F.lit("file:"), "file"), F.coalesce("source_document", F.lit("eu-ai-act"))
+    edges = listed.select(F.lit("DERIVED_FROM_SOURCE").alias("edge_type"), src.alias("src"), dst.alias("dst"))
+    return edges.withColumn("edge_id", F.concat(F.lit("edge:"), "src", F.lit("-derived-from-"), "dst")).withColumn("build_id", F.lit(build_id))
+
+
 def events(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
     """A log of JSON lines, blank ones skipped; rows without a kind get this one. A missing file is an empty log."""
     full = schema if "log_kind" in schema else f"{schema}, log_kind string"

@@ -124,3 +124,19 @@ def test_scenarios_and_questions_are_items_of_one_table(spark):
     assert got["bench:scenario:1"]["system_text"] == "Role: r. Intended use: u. System type: t. Input data: i. Domain: d." and got["bench:qa:2"]["question"] == "Q?"
     with pytest.raises(PySparkException, match="no such risk level"):
         files.scenario_items(scenarios.selectExpr("* except (risk_level)", "'odd' as risk_level"), risk, "r").collect()
+
+
+def test_defined_terms_are_edges_or_errors(spark):
+    spans = lambda *x: spark.createDataFrame([*x], "id string, inner string")
+    term = lambda x: f"<QUOT.START/>{x}<QUOT.END/> means"
+    nodes, edges = formex.defined_terms(spans(("p1", term("AI system")), ("p2", term("risk"))), "r", "b")
+    assert {(x["src"], x["dst"]) for x in edges.collect()} == {("p1", "r:definition:ai-system"), ("p2", "r:definition:risk")} and nodes.count() == 2
+    with pytest.raises(PySparkException, match="no quoted term: p2"):
+        formex.defined_terms(spans(("p1", term("a")), ("p2", "none")), "r", "b")[1].collect()
+    with pytest.raises(PySparkException, match="another point defines"):
+        formex.defined_terms(spans(("p1", term("AI system")), ("p2", term("ai-system"))), "r", "b")[0].collect()
+
+
+def test_files_derive_from_their_documents(spark):
+    listed = spark.createDataFrame([("formex/a.xml", "omnibus"), ("b.html", None)], "file string, source_document string")
+    assert {tuple(x) for x in files.derived_edges(listed, "b").select("src", "dst", "edge_type").collect()} == {("file:formex/a.xml", "omnibus", "DERIVED_FROM_SOURCE"), ("file:b.html", "eu-ai-act", "DERIVED_FROM_SOURCE")}
