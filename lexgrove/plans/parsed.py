@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
-from lexgrove.operators import gates, metrics, review
+from lexgrove.operators import evidence, gates, joins, metrics, review
 from lexgrove.plans import requirements, tools
 from lexgrove.plans.registry import query, table
-from lexgrove.sources import anchors, files, formex
+from lexgrove.sources import anchors, files, formex, guideline
 
 _S = "string"
 
@@ -291,3 +291,66 @@ def backlog_priorities(spark, d):
     norms = table(spark, d, "part").select(F.concat(F.lit("n"), k.cast(_S)).alias("norm_id"), kind.alias("deontic_type"), F.when(k % 4 == 0, F.array(F.lit("if so"))).alias("conditions"))
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat(F.lit("n"), F.col("l_partkey").cast(_S))).alias("norm_ids")).join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     return requirements.priorities(items, norms, "o_orderkey").select("o_orderkey", "priority")
+
+
+def _guidelines(spark, d):
+    """(file, text): a guideline for each nation, whose seven sections describe segments and have its suppliers as subtopics."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    topics = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", (F.col("s_suppkey") % 7 + 1).cast("int").alias("k"))
+    letters = F.translate(F.col("s_suppkey").cast(_S), "0123456789", "abcdefghij")
+    lines = _inner(topics.withColumn("g", F.concat_ws("-", "n_nationkey", "k")), "g", "s_suppkey", F.concat(F.lit("Topic "), letters, F.lit(". Supplier number "), F.col("s_suppkey").cast(_S), F.lit(" is meant. More of it.\n")))
+    parts = nation.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("g", F.concat_ws("-", "n_nationkey", "k")).join(lines, "g", "left")
+    section = F.concat(F.lit("1."), F.col("k").cast(_S), F.lit(" Part "), F.col("k").cast(_S), F.lit(" of "), "n_name", F.lit("\nAbout part "), F.col("k").cast(_S), F.lit("\nof seven.\n\n"), F.coalesce("inner", F.lit("")))
+    whole = _inner(parts.withColumn("t", section), "n_nationkey", "k", F.col("t"))
+    return whole.select(F.col("n_nationkey").cast(_S).alias("file"), F.concat(F.lit("Preface\n"), "inner").alias("text"))
+
+
+@query("select cast(n_nationkey as varchar) as file, cast(k as integer) as ord, 'Part ' || k || ' of ' || n_name as name, 'About part ' || k || ' of seven.' as description from nation, (select unnest(range(1, 8)) as k)")
+def guideline_sections(spark, d):
+    return guideline.sections(_guidelines(spark, d)).select("file", "ord", "name", "description")
+
+
+@query("""
+select cast(s_nationkey as varchar) as file, cast(s_suppkey % 7 + 1 as integer) as ord, cast(row_number() over (partition by s_nationkey, s_suppkey % 7 order by s_suppkey) as integer) as k,
+  'Topic ' || translate(cast(s_suppkey as varchar), '0123456789', 'abcdefghij') as heading, 'Supplier number ' || s_suppkey || ' is meant.' as description from supplier
+""")
+def guideline_subtopics(spark, d):
+    return guideline.subtopics(_guidelines(spark, d))[0].select("file", "ord", "k", "heading", "description")
+
+
+@query("""
+with n as (select o_orderkey, 'article-' || (o_orderkey % 40 + 8) as g from orders), s as (select l_orderkey, min(case l_returnflag when 'A' then 'satisfied_by_evidence' when 'R' then 'requires_human_review' end) as status from lineitem group by l_orderkey)
+select g as "group", count(*) filter (status = 'satisfied_by_evidence') as satisfied_by_evidence, count(*) filter (status = 'requires_human_review') as requires_human_review, count(*) filter (status is null) as applicable_missing_evidence from n left join s on o_orderkey = l_orderkey group by g
+""")
+def requirement_board(spark, d):
+    """Orders as requirements of articles by what their lines' flags say of the evidence."""
+    needs = table(spark, d, "orders").select(F.col("o_orderkey").alias("norm_id"), F.concat(F.lit("article-"), (F.col("o_orderkey") % 40 + 8).cast(_S)).alias("group"))
+    flag = F.when(F.col("l_returnflag") == "A", "satisfied_by_evidence").when(F.col("l_returnflag") == "R", "requires_human_review")
+    statuses = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("norm_id")).agg(F.min(flag).alias("status"))
+    return tools.board(needs, statuses, ["satisfied_by_evidence", "requires_human_review", "applicable_missing_evidence"])
+
+
+@query("""
+with nodes as (select 'r:c' || c_custkey as id from customer union all select 'r:c' || o_custkey || ':o' || o_orderkey from orders)
+select id from nodes where not exists (select 1 from nodes b where starts_with(b.id, nodes.id || ':'))
+""")
+def leaf_nodes(spark, d):
+    """Customers without orders, and orders."""
+    head = F.concat(F.lit("r:c"), F.col("c_custkey").cast(_S))
+    nodes = table(spark, d, "customer").select(head.alias("id")).union(table(spark, d, "orders").select(F.concat(F.lit("r:c"), F.col("o_custkey").cast(_S), F.lit(":o"), F.col("o_orderkey").cast(_S))))
+    return joins.leaves(nodes)
+
+
+@query("select o_orderkey as edge_id, o_orderpriority as edge_type from orders")
+def flat_edges(spark, d):
+    return evidence.flat_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("edge_type"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
+
+
+@query("""
+with n as (select count(*) as n from orders)
+select 'articles' as gate, '' || n as id from n where n <> 1000 union all select 'paragraph', 'r:article-5:paragraph-2' from orders where (select count(*) from nation where n_nationkey = 99) = 0
+""")
+def body_gate_violations(spark, d):
+    """The acts of all orders as one body that must have 1,000 articles, and none of whose paragraphs is known."""
+    elems = formex.elements(_acts(spark, d))
+    return gates.body_gates(elems, spark.createDataFrame([("r:article-9:paragraph-9",)], "id string"), "r", 1000)
