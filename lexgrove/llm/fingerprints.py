@@ -10,7 +10,7 @@ Documents are ordered by falling doc_id and dealt to ranges of it; a range's las
 
 Defined results: null text is empty; empty texts have the empty fingerprint, like one another (1) and unlike all else (0); rows
 with null doc_id come last; rows of equal doc_id are ordered by a hash of their text; a sole document is its own next; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; very long texts are parsed whole; other columns are ignored.
 """
 
 from __future__ import annotations

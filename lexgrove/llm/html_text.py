@@ -12,7 +12,8 @@ whose name is that of its own first heading ("cookies" over "Cookies") is text,
 article or a main heading is the page's own and takes nothing away; inline parts that go don't split the block around them.
 
 Defined results: null and empty html give empty text; a null url is a host of its own; rows of equal page_id are separate pages;
-unclosed elements end with what holds them or with the page; an empty table gives no rows; other columns are ignored.
+unclosed elements end with what holds them or with the page; an empty table gives no rows; very
+long and deeply nested pages are read whole, in linear time; other columns are ignored.
 """
 
 from __future__ import annotations

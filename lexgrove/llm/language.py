@@ -9,7 +9,8 @@ trigrams of letters, counted over all rows that declare it and smoothed towards
 A row is kept if its best class is a language with a posterior of SURE at least.
 
 Defined results: null and empty texts have no text evidence; null declarations, hosts and suffixes no evidence or a group of their
-own; without any declared language all rows are of none and rejected; rows of equal id are judged each; an empty table gives no rows.
+own; without any declared language all rows are of none and rejected; rows of equal id are judged each; an empty table gives no rows;
+very long texts are read whole; other columns are ignored, and kept by the pipeline stage.
 """
 
 from __future__ import annotations

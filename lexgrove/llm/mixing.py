@@ -9,7 +9,7 @@ documents each time that a document is taken stands where the slot of its first
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents without words and
 sources without words take 0; an empty table gives an empty mix; rows with equal doc_id are separate documents that tie by
-source and text hash; extra columns are ignored by the digest and kept by the pipeline stage.
+source and text hash; very long texts count whole; extra columns are ignored by the digest and kept by the pipeline stage.
 """
 
 from __future__ import annotations

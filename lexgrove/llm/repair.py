@@ -10,7 +10,8 @@ follows, 0), then rules (2 x u4), expansion lengths (u4), symbols (their low u2,
 first symbol (u8) and first id (u8) of each document and of the end. Files are rows of a Parquet table, whose writer's commits survive lost executors.
 
 Defined results: null and empty texts are the end id alone; rows with null doc_id come last; rows of equal doc_id are separate
-documents, ordered by a hash of their text; an empty table makes no shard and no rows; other columns are ignored.
+documents, ordered by a hash of their text; an empty table makes no shard and no rows; very long texts are
+encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations

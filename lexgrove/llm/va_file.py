@@ -7,7 +7,8 @@ greatest lower bound goes; the rest is read exactly, in the order of the upper b
 
 Defined results: rows with null vec_id, or a vector that is null, empty, of another length than the most usual one (of those, the
 shortest), or holds null or non-finite components, take no part; a query skips all rows of its own vec_id; rows that agree in
-vec_id and vector are one, and of several vectors of one vec_id the least is asked and each may be found; ties go to the smaller vec_id; fewer candidates give fewer ranks; an empty table gives no rows. Products must fit in 53 bits.
+vec_id and vector are one, and of several vectors of one vec_id the least is asked and each may be found; ties go to the smaller vec_id; fewer candidates give fewer ranks; an empty table gives no rows;
+other columns are ignored. Products must fit in 53 bits.
 """
 
 from __future__ import annotations
