@@ -170,7 +170,7 @@ class Memo:
 
     latest: Memo | None = None
 
-    def __init__(self, learn: Callable[[list[bytes]], list], bounds: Callable, most: int = 1 << 20, kind=np.int32):
+    def __init__(self, learn: Callable[[list[bytes]], list | tuple[np.ndarray, np.ndarray]], bounds: Callable, most: int = 1 << 20, kind=np.int32):
         self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
         self.clear()
 
@@ -216,11 +216,14 @@ class Memo:
             slot[left] = (slot[left] + 1) & self.mask
         return out
 
-    def append(self, values: list) -> np.ndarray:
-        """Rows that hold integers, with no names yet."""
-        count = np.fromiter(map(len, values), np.int32, len(values))
-        flat = np.fromiter(itertools.chain.from_iterable(values), self.kind, int(count.sum()))
-        rows, end = np.arange(self.size, self.size + len(values)), self.size + len(values)
+    def append(self, values: list | tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Rows that hold integers (lists of them, or their counts and all of them), with no names yet."""
+        if isinstance(values, tuple):
+            count, flat = values
+        else:
+            count = np.fromiter(map(len, values), np.int32, len(values))
+            flat = np.fromiter(itertools.chain.from_iterable(values), self.kind, int(count.sum()))
+        rows, end = np.arange(self.size, self.size + len(count)), self.size + len(count)
         self.pool = _grown(self.pool, self.used + len(flat))
         self.start, self.count, self.hash = (_grown(x, end) for x in (self.start, self.count, self.hash))
         self.pool[self.used : self.used + len(flat)] = flat
@@ -229,7 +232,7 @@ class Memo:
         self.size = end
         return rows
 
-    def put(self, names: list[bytes], h: np.ndarray, values: list) -> None:
+    def put(self, names: list[bytes], h: np.ndarray, values: list | tuple[np.ndarray, np.ndarray]) -> None:
         """Add new names, each with its integers."""
         rows = self.append(values)
         end = self.size
@@ -302,6 +305,13 @@ class Memo:
         return np.diff(np.concatenate([[0], np.cumsum(self.pool[self.start[rows]], dtype=np.int64)])[first])
 
 
+def forget() -> None:
+    """Empty the memo that this worker holds, for steps that look at no texts: workers stay, and their memory counts beside what a step needs."""
+    if Memo.latest is not None:
+        Memo.latest.clear()
+        Memo.latest = None
+
+
 def _trimmed(x: np.ndarray, n: int) -> np.ndarray:
     return x if len(x) <= 2 * n else x[:n].copy()
 

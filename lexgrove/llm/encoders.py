@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -14,6 +15,18 @@ WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The byte-level alphabet: the n-th byte that is no visible Latin-1 character stands as code point 256 + n.
 ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
+#: A space in that alphabet, and all other bytes of WORD's words.
+SPACE = chr(ALPHABET[0x20])
+SPELT = "".join(chr(ALPHABET.get(b, b)) for b in (*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)))
+#: Words that the model is asked for at once.
+GROUP = 32
+_POINT = np.array([ALPHABET.get(b, b) for b in range(256)], np.uint32)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: What follows 0xC3 in WORD's other letters: all of U+00C0 to U+00FF but the signs of times and division.
+_SECOND = np.zeros(256, bool)
+_SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
 _MADE: dict[str, Encoder] = {}
 
 
@@ -23,6 +36,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def words(raw: np.ndarray, size: np.ndarray, spaced: bool) -> np.ndarray:
+    """Which of the chunks in raw, one after the other, WORD matches; spaced: those with a space before them, else those without."""
+    if not len(raw):
+        return np.zeros(len(size), bool)
+    start = np.cumsum(size) - size
+    second = np.zeros(len(raw), bool)
+    second[1:] = (raw[:-1] == 0xC3) & _SECOND[raw[1:]]
+    good = _LETTER[raw] | second
+    good[:-1] |= second[1:]
+    if spaced:
+        first = start[size > 0]
+        good[first] = raw[first] == 0x20
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    return (bad[start + size] == bad[start]) & (size > int(spaced))
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """WORD's letters in lower case."""
+    out = raw + np.uint8(0x20) * ((raw >= 0x41) & (raw <= 0x5A))
+    out[1:] += np.uint8(0x20) * ((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97))
+    return out
+
+
 class Encoder:
     """Ids of the tokenizer in a .json file, without added special tokens.
 
@@ -36,30 +72,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.plain = self.library.normalizer is None
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        #: Whether no token of words' bytes holds a space after another byte.
+        across = re.compile(f"[{SPELT}]+{SPACE}[{SPELT}{SPACE}]*")
+        self.apart = self.plain and not any(SPACE in x and across.fullmatch(x.lstrip(SPACE)) for x in tokens)
+        #: Bytes that each id stands for.
+        self.bytes = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
+        self.bytes[list(tokens.values())] = list(map(len, tokens))
         #: Whether the model, asked for a word alone, agrees with the whole way.
         tried = ["over", " over", "Été", " Çaß"] if self.plain else ["over", "Été", "çaß"]
         self.direct = False
         whole = self.learn([x.encode() for x in tried])
         self.direct = True
-        self.direct = whole == self.learn([x.encode() for x in tried])
+        self.direct = all(map(np.array_equal, whole, self.learn([x.encode() for x in tried])))
         self.memo = Memo(self.learn, spaced if self.plain else bare)
 
-    def learn(self, chunks: list[bytes]) -> list:
-        """Ids of each chunk. A word of plain letters is one piece for the model; all else goes the library's whole way."""
-        texts = [x.decode("utf-8", "replace") for x in chunks]
-        out: list = [None] * len(texts)
-        rest, tokenize, space = [], self.library.model.tokenize, "\u0120"
-        for i, x in enumerate(texts):
-            if not WORD.fullmatch(x) or not self.direct:
-                rest.append(i)
-                continue
-            word = x if self.plain else x.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(ALPHABET)
-            out[i] = [t.id for t in tokenize(space + word[1:] if word[0] == " " else word)]
-        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of the chunks. A word of plain letters is one piece for the model; all else goes the library's whole way."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        word = words(raw, size, self.plain) if self.direct else np.zeros(len(chunks), bool)
+        rest = np.flatnonzero(~word).tolist()
+        others = [e.ids for e in self.library.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)]
+        count = np.zeros(len(chunks), np.int32)
+        count[rest] = np.fromiter(map(len, others), np.int32, len(others))
+        ids, count[word] = self.of_words(raw[np.repeat(word, size)], np.cumsum(size[word]))
+        of_word = np.repeat(word, count)
+        out = np.zeros(len(of_word), np.int32)
+        out[of_word] = ids
+        out[~of_word] = np.fromiter(itertools.chain.from_iterable(others), np.int32, len(out) - len(ids))
+        return count, out
+
+    def of_words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words that end at these bytes. Where no token of the vocabulary reaches over a word's first space, the model is asked for
+        GROUP words at once, and the ids fall to the words by their bytes."""
+        # the words' bytes in the byte-level alphabet, one code point each
+        text, tokenize = _POINT[raw if self.plain else lowered(raw)].astype("<u4").tobytes().decode("utf-32-le"), self.library.model.tokenize
+        cut = [0, *(np.append(ends[GROUP - 1 : -1 : GROUP], ends[-1:]) if self.apart else ends).tolist()]
+        ids: list[int] = []
+        stop = []
+        for a, b in itertools.pairwise(cut):
+            ids += [t.id for t in tokenize(text[a:b])]
+            stop.append(len(ids))
+        found = np.array(ids, np.int32)
+        if self.apart:
+            over = np.cumsum(self.bytes[found])
+            last = np.searchsorted(over, ends)
+            if len(ends) and not np.array_equal(over[np.minimum(last, len(over) - 1)], ends):
+                raise ValueError("a token reaches over a word's end")
+            stop = last + 1
+        return found, np.diff(stop, prepend=0).astype(np.int32)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts given as (bytes, offsets)."""

@@ -180,7 +180,8 @@ STEP = 1 << 19
 
 
 def _parts(batch: pa.RecordBatch, most: int = STEP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, ids, offsets) of slices of a batch that hold about so many ids."""
+    """(rows, ids, offsets) of slices of a batch that hold about so many ids. The texts are encoded by then, so their memo goes."""
+    chunks.forget()
     at = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
     for i, j in chunks.steps(at, most):
         part = batch.slice(i, j - i)
