@@ -96,9 +96,9 @@ def _edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     begins = begins[:-1]
     before = np.ones(len(data), bool)
     before[1:] = space[:-1]
-    begins[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
-    wide = np.flatnonzero(_MARK[data[2:]] & (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)) + 2
-    begins[wide] = True
+    mark = np.flatnonzero(_MARK[data[1:]]) + 1
+    last, second = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    begins[mark[_LETTER[last] | ((second == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))]] = True
     return space, before, begins
 
 
@@ -177,9 +177,9 @@ class Memo:
     def clear(self) -> None:
         self.size = self.used = 0
         self.kept: tuple[int, int] | None = None
-        self.start, self.count, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
+        self.start, self.count, self.hash = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
         self.pool = np.zeros(4096, self.kind)
-        self.names = Spans(np.zeros(4096, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64))
+        self.names = Spans(np.zeros(4096, np.uint8), np.zeros(1024, np.int32), np.zeros(1024, np.int32))
         self.named = 0
         self.table(self.most)
 

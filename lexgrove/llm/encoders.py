@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
@@ -20,6 +21,8 @@ SPACE = chr(ALPHABET[0x20])
 SPELT = "".join(chr(ALPHABET.get(b, b)) for b in (*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)))
 #: Words that the model is asked for at once.
 GROUP = 32
+#: What spells the end of a word for a model whose tokens mark it; the byte-level alphabet lacks it.
+END = "\n"
 _POINT = np.array([ALPHABET.get(b, b) for b in range(256)], np.uint32)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -59,6 +62,31 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def spelt(library):
+    """The library's own model with its merges, but with END for the mark that tokens at a word's end have, so that it can be asked for many words at once.
+    None where that isn't known to give the same ids.
+
+    A letter and the END after it merge before all else. So each word becomes the symbols that the model begins with when it is asked for the word
+    alone, and as tokens hold END at their end only, nothing merges over it.
+    """
+    from tokenizers.models import BPE
+
+    model = json.loads(library.to_str())["model"]
+    mark, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    if model.get("type") != "BPE" or not mark or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    if not all(x in vocab and x + mark in vocab for x in SPELT) or any(END in x or mark in x.removesuffix(mark) for x in vocab):
+        return None
+
+    def name(token: str) -> str:
+        return token.removesuffix(mark) + END if token.endswith(mark) else token
+
+    merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    ends = [(x, END) for x in vocab if len(x) == 1 and x + mark in vocab]
+    # no cache: groups of words hardly come again
+    return BPE({name(x): i for x, i in vocab.items()} | {END: max(vocab.values()) + 1}, [*ends, *((name(a), name(b)) for a, b in merges)], cache_capacity=0)
+
+
 class Encoder:
     """Ids of the tokenizer in a .json file, without added special tokens.
 
@@ -76,9 +104,12 @@ class Encoder:
         #: Whether no token of words' bytes holds a space after another byte.
         across = re.compile(f"[{SPELT}]+{SPACE}[{SPELT}{SPACE}]*")
         self.apart = self.plain and not any(SPACE in x and across.fullmatch(x.lstrip(SPACE)) for x in tokens)
+        #: The model to ask where words' ends are spelt, and the mark that its tokens have there instead.
+        self.spelt = None if self.plain else spelt(self.library)
+        mark = self.library.model.end_of_word_suffix if self.spelt else ""
         #: Bytes that each id stands for.
         self.bytes = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
-        self.bytes[list(tokens.values())] = list(map(len, tokens))
+        self.bytes[list(tokens.values())] = [len(x.removesuffix(mark)) for x in tokens]
         #: Whether the model, asked for a word alone, agrees with the whole way.
         tried = ["over", " over", "Été", " Çaß"] if self.plain else ["over", "Été", "çaß"]
         self.direct = False
@@ -104,18 +135,21 @@ class Encoder:
         return count, out
 
     def of_words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of words that end at these bytes. Where no token of the vocabulary reaches over a word's first space, the model is asked for
-        GROUP words at once, and the ids fall to the words by their bytes."""
+        """(ids, counts) of words that end at these bytes. Where no token of the vocabulary reaches over a word's first space, or words' ends can be
+        spelt, the model is asked for GROUP words at once, and the ids fall to the words by their bytes."""
         # the words' bytes in the byte-level alphabet, one code point each
-        text, tokenize = _POINT[raw if self.plain else lowered(raw)].astype("<u4").tobytes().decode("utf-32-le"), self.library.model.tokenize
-        cut = [0, *(np.append(ends[GROUP - 1 : -1 : GROUP], ends[-1:]) if self.apart else ends).tolist()]
+        points, tokenize, marks = _POINT[raw if self.plain else lowered(raw)], self.library.model.tokenize, 0
+        if self.spelt:
+            points, tokenize, marks = np.insert(points, ends, ord(END)), self.spelt.tokenize, np.arange(1, len(ends) + 1)
+        text, stops, many = points.astype("<u4").tobytes().decode("utf-32-le"), ends + marks, self.apart or self.spelt
+        cut = [0, *(np.append(stops[GROUP - 1 : -1 : GROUP], stops[-1:]) if many else stops).tolist()]
         ids: list[int] = []
         stop = []
         for a, b in itertools.pairwise(cut):
             ids += [t.id for t in tokenize(text[a:b])]
             stop.append(len(ids))
         found = np.array(ids, np.int32)
-        if self.apart:
+        if many:
             over = np.cumsum(self.bytes[found])
             last = np.searchsorted(over, ends)
             if len(ends) and not np.array_equal(over[np.minimum(last, len(over) - 1)], ends):
