@@ -117,6 +117,17 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
+def joined(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of names."""
+    return np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
+
+
+def parted(raw: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Names given as (bytes, lengths)."""
+    whole, ends = raw.tobytes(), np.cumsum(size)
+    return [whole[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+
+
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,13 +176,13 @@ class Spans:
 
 
 class Memo:
-    """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time. A table of hashes, a power of two and at most half
+    """Runs of integers in a pool, one run for each chunk that was met, learnt many at a time; arrays: learn takes them as (bytes, lengths). A table of hashes, a power of two and at most half
     full, leads to the chunks' rows. A worker holds one full memo at a time: the one that it used before is emptied when it turns to another."""
 
     latest: Memo | None = None
 
-    def __init__(self, learn: Callable[[list[bytes]], list | tuple[np.ndarray, np.ndarray]], bounds: Callable, most: int = 1 << 20, kind=np.int32):
-        self.learn, self.bounds, self.most, self.kind = learn, bounds, most, kind
+    def __init__(self, learn: Callable[..., list | tuple[np.ndarray, np.ndarray]], bounds: Callable, most: int = 1 << 20, kind=np.int32, arrays: bool = False):
+        self.learn, self.bounds, self.most, self.kind = learn if arrays else lambda raw, size: learn(parted(raw, size)), bounds, most, kind
         self.clear()
 
     def clear(self) -> None:
@@ -232,12 +243,11 @@ class Memo:
         self.size = end
         return rows
 
-    def put(self, names: list[bytes], h: np.ndarray, values: list | tuple[np.ndarray, np.ndarray]) -> None:
-        """Add new names, each with its integers."""
+    def put(self, raw: np.ndarray, length: np.ndarray, h: np.ndarray, values: list | tuple[np.ndarray, np.ndarray]) -> None:
+        """Add new names (bytes, lengths), each with its integers."""
         rows = self.append(values)
         end = self.size
         self.hash[rows] = h
-        raw, length = np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
         kept = Spans(_grown(self.names.data, self.named + len(raw) + 8), _grown(self.names.start, end), _grown(self.names.length, end))
         kept.data[self.named : self.named + len(raw)] = raw
         kept.start[rows], kept.length[rows] = self.named + np.cumsum(length) - length, length
@@ -268,7 +278,7 @@ class Memo:
             long, known = np.flatnonzero(length > LONG), {}
             which = [known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
             self.kept = self.size, self.used
-            rows[long] = self.append(self.learn(list(known)))[which]
+            rows[long] = self.append(self.learn(*joined(list(known))))[which]
         return rows, first
 
     def find_or_learn(self, spans: Spans, h: np.ndarray, left: np.ndarray, rows: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
@@ -287,8 +297,10 @@ class Memo:
                 left, afresh = every, True
                 rows[every] = -1
                 continue
-            names = [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            self.put(names, h[new], self.learn(names))
+            length = (end - start)[new]
+            ends = np.cumsum(length)
+            raw = data[np.repeat(start[new] - ends + length, length) + np.arange(int(ends[-1]))]
+            self.put(raw, length, h[new], self.learn(raw, length))
 
     def values(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, offsets): each text's values, one chunk's after the other's."""

@@ -30,7 +30,7 @@ from lexgrove.llm import chunks, encoders
 from lexgrove.llm.common import give_back, map_arrow, running_sum, shared_dir, with_small
 
 MAGIC = 0x3252_5041_4952_584C
-#: Symbols take three bytes. Ids of a shard, least count of a replaced pair, and buckets of the first count.
+#: Symbols take three bytes. Ids of a shard, least count of a replaced pair, and most buckets (a power of two) that chosen pairs are found by.
 SYMBOLS = 1 << 24
 SHARD_IDS = 1 << 21
 LEAST = 4
@@ -38,71 +38,76 @@ BUCKET_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _replaced(rank: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _won(rank: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which places have a lower rank than both of their neighbours; near: whether a place and the next one are neighbours."""
+    won = np.ones(len(rank), bool)
+    won[1:] &= ~near | (rank[1:] < rank[:-1])
+    won[:-1] &= ~near | (rank[:-1] < rank[1:])
+    return won
+
+
+def _replaced(rank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the places `at` (sorted) of chosen pairs with their ranks, those replaced and their ranks: no two are neighbours; of
     a run of one pair every other place is, else lower ranks win."""
-    if len(at):
-        joins = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] == rank[:-1])])
-        head = np.maximum.accumulate(np.where(joins, 0, np.arange(len(at))))
-        even = (np.arange(len(at)) - head) % 2 == 0
-        at, rank = at[even], rank[even]
-    none = 1 << 30
-    order = np.full(n + 2, none, np.int32)
-    order[at + 1] = rank
-    here, left, right = rank, order[at], order[at + 2]
-    won = (here < left) & (here < right)
+    near, none = at[1:] == at[:-1] + 1, np.int32(1 << 30)
+    joins = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1
+    if len(joins):
+        head = np.maximum.accumulate(np.where(np.diff(joins, prepend=-1) > 1, np.arange(len(joins)), 0))
+        rank = rank.copy()
+        rank[joins[(np.arange(len(joins)) - head) % 2 == 0]] = none
+    won = _won(rank, near)
     # a place between a better loser and no winner still fits
-    taken = np.zeros(n + 2, bool)
-    taken[at[won] + 1] = True
-    fits = ~won & ~taken[at] & ~taken[at + 2]
-    order[:] = none
-    order[at[fits] + 1] = rank[fits]
-    won |= fits & (here < order[at]) & (here < order[at + 2])
+    fits = ~won & (rank < none)
+    fits[1:] &= ~(near & won[:-1])
+    fits[:-1] &= ~(near & won[1:])
+    fits = np.flatnonzero(fits)
+    won[fits[_won(rank[fits], np.diff(at[fits]) == 1)]] = True
+    won = np.flatnonzero(won)
     return at[won], rank[won]
 
 
-def _bucket(key: np.ndarray) -> np.ndarray:
-    return ((key * _ODD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document and of the end, rules, expansion lengths)."""
     if len(ids) and int(ids.max()) >= vocabulary or vocabulary + len(ids) // 2 > SYMBOLS:
         raise ValueError(f"symbols of {SYMBOLS} can't hold a vocabulary of {vocabulary} and the rules of {len(ids)} ids")
-    seq = ids.astype(np.uint64)
+    seq = ids.astype("<u4")
     last = np.zeros(len(seq), bool)
     last[at[1:][np.diff(at) > 0] - 1] = True
-    rules, length = [np.zeros((0, 2), np.uint64)], [np.ones(vocabulary, np.int64)]
+    rules, length = [np.zeros((0, 2), np.uint32)], [np.ones(vocabulary, np.int64)]
     made = vocabulary
     # places where a pair may be frequent: all at first, then those of new symbols and of frequent pairs that had to wait; other pairs only get fewer
     places = np.flatnonzero(~last[:-1]) if len(seq) > 1 else np.zeros(0, np.int64)
     while len(places):
-        key = seq[places] << np.uint64(32) | seq[places + 1]
-        bucket = _bucket(key)
-        often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least
-        some = np.flatnonzero(often[bucket])
-        places, key, bucket = places[some], key[some], bucket[some]
+        key = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))[places]  # a symbol and, in the high half, the next one
         pairs, times = np.unique(key, return_counts=True)
         pairs, times = pairs[times >= least], times[times >= least]
         if not len(pairs):
             break
-        pairs = pairs[np.lexsort((pairs, -times))]
+        pairs = pairs[np.argsort(-times, kind="stable")]
         # of chosen pairs in one bucket the most frequent stays; the others have their turn in a later round
-        at_bucket = _bucket(pairs)
-        ranks = np.full(1 << BUCKET_BITS, -1, np.int32)
+        bits = min(BUCKET_BITS, (16 * len(pairs)).bit_length())
+        at_bucket = _bucket(pairs, bits)
+        ranks = np.full(1 << bits, -1, np.int32)
         ranks[at_bucket[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rank = ranks[bucket]
-        same = np.flatnonzero((rank >= 0) & (pairs[rank] == key))
-        found, number = _replaced(rank[same], places[same], len(seq))
+        rank = ranks[_bucket(key, bits)]
+        some = np.flatnonzero(rank >= 0)
+        places, rank = places[some], rank[some]
+        same = np.flatnonzero(pairs[rank] == key[some])
+        found, number = _replaced(rank[same], places[same])
         # a pair that better ones left in one place waits; the best pair keeps half of its places at least, so rounds go on
         enough = np.bincount(number, minlength=len(pairs)) > 1
-        found, number = found[enough[number]], number[enough[number]]
-        used, symbol = np.unique(number, return_inverse=True)
-        rule = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1)
+        held = np.flatnonzero(enough[number])
+        found, symbol = found[held], (made + np.cumsum(enough, dtype=np.uint32) - 1)[number[held]]
+        rule = pairs[enough]
+        rule = np.stack([rule & np.uint64(0xFFFFFFFF), rule >> np.uint64(32)], 1).astype(np.uint32)
         known = np.concatenate(length)
         rules.append(rule)
         length = [known, known[rule[:, 0]] + known[rule[:, 1]]]
-        seq[found] = made + symbol
+        seq[found] = symbol
         last[found] = last[found + 1]
         stays = np.ones(len(seq), bool)
         stays[found + 1] = False
@@ -111,10 +116,11 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAS
         again[found[found > 0] - 1] = True  # the symbol before a new one, or the one that went, whose place is before it now
         gone = found[(found > 1)] - 1
         again[gone[~stays[gone]] - 1] = True
+        stays = np.flatnonzero(stays)
         seq, last, again = seq[stays], last[stays], again[stays]
         places = np.flatnonzero(again & ~last)
         places = places[places < len(seq) - 1]
-        made += len(used)
+        made += len(rule)
     firsts = np.zeros(len(at), np.int64)
     firsts[1:][np.diff(at) > 0] = np.flatnonzero(last) + 1
     return seq, np.maximum.accumulate(firsts), np.concatenate(rules), np.concatenate(length)[vocabulary:]
@@ -123,7 +129,7 @@ def compress(ids: np.ndarray, at: np.ndarray, vocabulary: int, least: int = LEAS
 def pack(ids: np.ndarray, at: np.ndarray, doc_ids: list, vocabulary: int) -> bytes:
     seq, firsts, rules, length = compress(ids, at, vocabulary)
     body = b"".join([
-        rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), (seq & np.uint64(0xFFFF)).astype("<u2").tobytes(), (seq >> np.uint64(16)).astype("u1").tobytes(),
+        rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), (seq & np.uint32(0xFFFF)).astype("<u2").tobytes(), (seq >> np.uint32(16)).astype("u1").tobytes(),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is not None for x in doc_ids], "u1").tobytes(),
         firsts.astype("<u8").tobytes(), at.astype("<u8").tobytes(),
     ])
