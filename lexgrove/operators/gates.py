@@ -103,18 +103,34 @@ def post_load(norms: DataFrame, expected: int, assertions: DataFrame, expected_a
     return rows[0].union(rows[1]).union(rows[2]).select("gate", F.col("n").cast("long").alias("n")).orderBy("gate")
 
 
+def claims(elems: DataFrame, root: str) -> DataFrame:
+    """(gate, id): each article of a main body's elements, each paragraph's identifier that isn't of three digits each, each paragraph by its id, and each numbered
+    point of an article outside a paragraph; nothing of quoted acts."""
+    name = F.col("attrs")["IDENTIFIER"]
+    parts = F.split(name, r"\.")
+    parag, shown = F.col("tag") == "PARAG", F.coalesce(name, F.lit(""))
+    path = F.concat(F.lit(f"{root}:article-"), F.get(parts, F.lit(0)).try_cast("int").cast("string"), F.lit(":paragraph-"), F.get(parts, F.lit(1)).try_cast("int").cast("string"))
+    says = lambda when, gate, key: F.when(when, F.struct(F.lit(gate).alias("gate"), key.alias("id")))
+    outside = (F.col("tag") == "NP") & ~F.array_contains("tags", "PARAG") & F.array_contains("tags", "ARTICLE")
+    each = F.array(
+        says(F.col("tag") == "ARTICLE", "articles", F.lit(None).cast("string")), says(parag & ~shown.rlike(r"^[0-9]{3}\.[0-9]{3}$"), "identifier", shown),
+        says(parag & path.isNotNull(), "paragraph", path), says(outside, "stray_point", F.col("elem").cast("string")),
+    )
+    return elems.filter(~F.array_contains("tags", "QUOT.S")).select(F.explode(F.array_compact(each)).alias("x")).select("x.*")
+
+
 def body_gates(elems: DataFrame, paragraphs: DataFrame, root: str, articles: int) -> DataFrame:
     """(gate, id) of a main body's elements: as many articles as there must be, paragraph identifiers of three digits each that name an
     existing paragraph, and no numbered point outside a paragraph."""
-    live = elems.filter(~F.array_contains("tags", "QUOT.S"))
-    count = live.agg(F.count(F.when(F.col("tag") == "ARTICLE", 1)).alias("n")).filter(F.col("n") != articles).select(F.lit("articles").alias("gate"), F.col("n").cast("string").alias("id"))
-    name = F.col("attrs")["IDENTIFIER"]
-    parts = F.split(name, r"\.")
-    parag = live.filter("tag = 'PARAG'").select(F.coalesce(name, F.lit("")).alias("name"), F.concat(F.lit(f"{root}:article-"), F.get(parts, F.lit(0)).try_cast("int").cast("string"), F.lit(":paragraph-"), F.get(parts, F.lit(1)).try_cast("int").cast("string")).alias("id"))
-    shape = parag.filter(~F.col("name").rlike(r"^[0-9]{3}\.[0-9]{3}$")).select(F.lit("identifier").alias("gate"), F.col("name").alias("id"))
-    lost = parag.filter("id is not null").join(paragraphs.select("id"), "id", "left_anti").select(F.lit("paragraph").alias("gate"), "id")
-    stray = live.filter((F.col("tag") == "NP") & ~F.array_contains("tags", "PARAG") & F.array_contains("tags", "ARTICLE")).select(F.lit("stray_point").alias("gate"), F.col("elem").cast("string").alias("id"))
-    return count.union(shape).union(lost).union(stray)
+    return violated(claims(elems, root), paragraphs, articles)
+
+
+def violated(said: DataFrame, paragraphs: DataFrame, articles: int) -> DataFrame:
+    """(gate, id) of a body's claims (gate, id). What they come from is read once, as claims are narrow."""
+    found = kept(said)
+    count = found.agg(F.count(F.when(F.col("gate") == "articles", 1)).alias("n")).filter(F.col("n") != articles).select(F.lit("articles").alias("gate"), F.col("n").cast("string").alias("id"))
+    lost = found.filter("gate = 'paragraph'").join(paragraphs.select("id"), "id", "left_anti").select("gate", "id")
+    return count.union(found.filter("gate in ('identifier', 'stray_point')")).union(lost)
 
 
 def annex_gates(annexes: DataFrame) -> DataFrame:
